@@ -13,6 +13,7 @@ within the triangle bound |d(x, v) - d(y, v)| <= 4.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ from marginalia.llm.common import by_group, checkpoint, components
 BITS = 64
 RADIUS = 4
 WORDS = 4
-STAGE_WORDS = 5  # word shingles of pipeline stages
+#: Pipeline stages take five-word shingles, and the distance that texts of a similarity of 0.8 to 1 come to.
+STAGE = {"words": 5, "radius": 7, "blocks": 9}
 BLOCKS = 5
 LEVELS = 8
 CAP = 2048
@@ -68,26 +70,29 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _shards(nodes: DataFrame, radius: int) -> DataFrame:
-    """One row for each fingerprint and block tree: its leaf, by its distances to the vantage points."""
-    blocks = radius + 1
+def _shards(nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """One row for each fingerprint and tree: its leaf, by its distances to the vantage points.
+
+    Two fingerprints within ``radius`` bits agree in ``blocks - radius`` blocks at least, so there is a
+    tree for each choice of so many blocks; its leaf is made of the leaves of those blocks.
+    """
     edges = [round(k * BITS / blocks) for k in range(blocks + 1)]
     leaves = []
     for b in range(blocks):
         mask = sum(1 << i for i in range(edges[b], edges[b + 1]))
         inside = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
-        distances = [F.bit_count(inside.bitwiseXOR(F.lit(_signed(v & mask)))) for v in VANTAGE[:LEVELS]]
-        leaves.append(F.xxhash64(F.lit(b), *distances))
-    return nodes.select("node", "fp", F.explode(F.array(*leaves)).alias("g"))
+        leaves.append(F.xxhash64(F.lit(b), *[F.bit_count(inside.bitwiseXOR(F.lit(_signed(v & mask)))) for v in VANTAGE[:LEVELS]]).alias(f"leaf{b}"))
+    trees = [F.xxhash64(F.lit(k), *[f"leaf{b}" for b in chosen]) for k, chosen in enumerate(combinations(range(blocks), blocks - radius))]
+    return nodes.select("node", "fp", *leaves).select("node", "fp", F.explode(F.array(*trees)).alias("g"))
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cap: int = CAP) -> DataFrame:
     """Spanning edges (a, b) of the graph that joins distinct fingerprints within ``radius`` bits.
 
     nodes: (node, fp), one row for each distinct fingerprint. No pair list is made: each shard gives
     the edges from its nodes to the smallest node that they reach inside the shard.
     """
-    rows = _shards(nodes, radius)
+    rows = _shards(nodes, radius, blocks)
     sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap)
     shell = F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(VANTAGE[LEVELS])))).cast("int")
     split = (
@@ -141,7 +146,7 @@ def _clusters(fp: np.ndarray, radius: int) -> Iterator[np.ndarray]:
             yield np.array(group)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS, cap: int = CAP) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable.
 
     Null and wordless texts have fingerprint 0 and link like any other. Rows with a null doc_id come
@@ -150,6 +155,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     hashed = checkpoint(fingerprints(docs, doc_id, text, words))
     nodes = checkpoint(hashed.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(links(nodes.where("node is not null"), radius, cap))
+    found = components(links(nodes.where("node is not null"), radius, blocks, cap))
     classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return hashed.join(classes, "fp").select("doc_id", "fp", "component_id")
