@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import checkpoint
 
 LEAST_WORDS = 5
+#: Bits of the filter that is broadcast (8 MB), whatever the input.
+FILTER_BITS = 1 << 26
 
 
 def _place(doc_id: Column, line: Column) -> Column:
@@ -33,62 +35,73 @@ def _lines(docs: DataFrame) -> DataFrame:
     return parts.select("doc_id", "at", F.trim("line").alias("line")).where("line <> ''")
 
 
-def _digest(line: Column) -> Column:
-    return F.unhex(F.md5(line.cast("binary")))
+def _keys(line: Column) -> tuple[Column, Column]:
+    """128 bits for a line's text, as two longs."""
+    return F.xxhash64(line).alias("k"), F.xxhash64(F.lit(1), line).alias("k2")
 
 
-def _half_keys(line: Column, n: Column) -> Column:
-    """Keys by which a line meets all lines within one edit: half of the words, at either end, for either length."""
-    keys = []
-    for longer in (n, n + 1):  # words of the longer line of a pair
-        half = F.floor(longer / 2).cast("int")
-        for side, sign in ((0, 1), (1, -1)):
-            keys.append(F.xxhash64(F.lit(side), longer, F.call_function("substring_index", line, F.lit(" "), half * sign)))
-    return F.array(*keys)
+def _halves(words: Column) -> Column:
+    """Keys by which a line meets all lines within one edit: half of the words of the longer line of a
+    pair, at either end."""
+    n = F.size(words)
+    out = []
+    for half in (F.floor(n / 2).cast("int"), F.floor((n + 1) / 2).cast("int")):
+        out += [F.xxhash64(F.lit(0), half, F.slice(words, 1, half)), F.xxhash64(F.lit(1), half, F.slice(words, n - half + 1, half))]
+    return F.array_distinct(F.array(*out))
+
+
+def _passing(lines: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The lines whose key may be among the chosen ones: a bitmap of FILTER_BITS bits, broadcast.
+
+    The bitmap has the same size for any input; where it fills up it lets more lines pass, and the
+    join after it still decides.
+    """
+    bit = lambda k: F.pmod(k, F.lit(FILTER_BITS))
+    maps = chosen.select(bit(F.col("k")).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("_bucket"))
+    maps = checkpoint(maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("_bits")))
+    place = F.bitmap_bit_position(bit(F.col("k")))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = lines.join(F.broadcast(maps), F.bitmap_bucket_number(bit(F.col("k"))) == F.col("_bucket"))
+    return found.where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("_bucket", "_bits")
 
 
 def earlier_neighbours(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(k, first): for each line text (k: its digest) that has an earlier occurrence of itself or of a
+    """(k, k2, first): for each line text (k and k2: its keys) that has an earlier occurrence of itself or of a
     line within one word, the place of the earliest such line. docs: (doc_id, text)."""
     lines = _lines(docs)
-    words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    own = lines.select(
-        _digest(F.col("line")).alias("k"),
-        _place(F.col("doc_id"), F.col("at")).alias("place"),
-        words.alias("n"),
-        F.when(words >= least_words, _half_keys(F.col("line"), words)).alias("halves"),
-    )
-    own = own.select("k", "place", "n", *[F.col("halves")[i].alias(f"h{i}") for i in range(4)])
-    texts = checkpoint(own.groupBy("k").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"), *[F.first(f"h{i}").alias(f"h{i}") for i in range(4)]))
+    own = lines.select(*_keys(F.col("line")), _place(F.col("doc_id"), F.col("at")).alias("place"), F.split("line", " ").alias("words"))
+    own = own.select("k", "k2", "place", F.when(F.size("words") >= least_words, _halves(F.col("words"))).alias("halves"))
+    own = own.select("k", "k2", "place", *[F.get("halves", F.lit(i)).alias(f"h{i}") for i in range(4)])
+    texts = own.groupBy("k", "k2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"), *[F.first(f"h{i}").alias(f"h{i}") for i in range(4)]).persist()
     # lines that share half of their words with another text
-    halves = texts.where("h0 is not null").select("k", "place", F.explode(F.array(*[f"h{i}" for i in range(4)])).alias("half"))
+    halves = texts.where("h0 is not null").select("k", F.explode(F.array(*[f"h{i}" for i in range(4)])).alias("half")).where("half is not null")
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("half")
-    chosen = halves.join(shared, "half", "left_semi").select("k", "place").distinct()
-    doc = F.floor(F.col("place") / F.lit(2**31).cast("decimal(11,0)")).cast("decimal(20,0)")
-    wanted = chosen.withColumn("d", doc).select("k", "place", "d", (F.col("place") - F.col("d") * F.lit(2**31).cast("decimal(11,0)")).cast("int").alias("at"))
-    asked = wanted.groupBy("d").agg(F.collect_list(F.struct("k", "place", "at")).alias("asked"))
-    held = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).cast("decimal(20,0)").alias("d"), "text")
-    fetched = held.join(asked, "d").select(F.split("text", "\n").alias("ls"), F.explode("asked").alias("q"))
-    fetched = fetched.select("q.k", "q.place", F.trim(F.get("ls", F.col("q.at"))).alias("line"))
-    # rows that share a doc_id may have other texts at the place
-    candidates = checkpoint(fetched.where(_digest(F.col("line")) == F.col("k")).dropDuplicates(["k"]))
-    word = candidates.select("k", "place", F.posexplode(F.split("line", " ")).alias("i", "w"))
-    word = word.select("k", "place", "i", F.xxhash64("w", "i").alias("z"), F.xxhash64("w", F.col("i") - 1).alias("y"))
-    upto = W.partitionBy("k").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy("k")
+    chosen = checkpoint(halves.join(shared, "half", "left_semi").select("k").distinct().join(texts.select("k", "k2", "place"), "k"))
+    written = _passing(lines.select(*_keys(F.col("line")), "line"), chosen).groupBy("k", "k2").agg(F.first("line").alias("line"))
+    # ids in the order of places stand for these in what follows
+    candidates = checkpoint(written.join(chosen, ["k", "k2"]).orderBy("place").withColumn("id", F.monotonically_increasing_id()))
+    word = candidates.select("id", F.posexplode(F.split("line", " ")).alias("i", "w"))
+    word = word.select("id", "i", F.xxhash64("w", "i").alias("z"), F.xxhash64("w", F.col("i") - 1).alias("y"))
+    upto = W.partitionBy("id").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = W.partitionBy("id")
     variant = F.bit_xor("z").over(upto).bitwiseXOR(F.col("z")).bitwiseXOR(F.bit_xor("y").over(whole)).bitwiseXOR(F.bit_xor("y").over(upto))
-    full = F.bit_xor("z").over(whole)
-    rows = word.select("k", "place", "i", variant.alias("v"), full.alias("f"))
-    keys = rows.select("k", "place", F.explode(F.when(F.col("i") == 0, F.array(F.struct(F.lit(-1).alias("slot"), F.col("f").alias("key")), F.struct(F.col("i").alias("slot"), F.col("v").alias("key")))).otherwise(F.array(F.struct(F.col("i").alias("slot"), F.col("v").alias("key"))))).alias("e"))
-    keys = checkpoint(keys.select("k", "place", "e.slot", "e.key"))
-    by_slot = keys.groupBy("key", "slot").agg(F.min("place").alias("m"), F.count(F.lit(1)).alias("n"))
+    rows = word.select("id", "i", variant.alias("v"), F.bit_xor("z").over(whole).alias("f"))
+    pick = lambda slot, key: F.struct(slot.alias("slot"), key.alias("key"))
+    one = F.array(pick(F.col("i"), F.col("v")))
+    keys = rows.select("id", F.explode(F.when(F.col("i") == 0, F.concat(one, F.array(pick(F.lit(-1), F.col("f"))))).otherwise(one)).alias("e"))
+    keys = keys.select("id", "e.slot", "e.key").persist()
+    by_slot = keys.groupBy("key", "slot").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("n"))
     by_key = by_slot.groupBy("key").agg(F.min(F.when(F.col("slot") < 0, F.col("m"))).alias("mf"), F.min(F.when(F.col("slot") >= 0, F.col("m"))).alias("mv"), F.sum("n").alias("n")).where("n > 1").drop("n")
     best = by_slot.join(by_key, "key").select("key", "slot", F.least("m", F.when(F.col("slot") < 0, F.col("mv")).otherwise(F.col("mf"))).alias("best"))
-    hits = keys.join(best, ["key", "slot"]).where("best < place").groupBy("k").agg(F.min("best").alias("best"))
-    left = hits.join(candidates.select("k", "line"), "k")
-    right = candidates.select(F.col("place").alias("best"), F.col("line").alias("other"))
-    near = left.join(right, "best").where(_within_one(F.split("line", " "), F.split("other", " "))).select("k", "best")
-    return texts.join(near, "k", "left").where("copies > 1 or best is not null").select("k", F.least("place", "best").alias("first"))
+    hits = keys.join(best, ["key", "slot"]).where("best < id").groupBy("id").agg(F.min("best").alias("best"))
+    left = hits.join(candidates.select("id", "k", "k2", "place", "line"), "id")
+    right = candidates.select(F.col("id").alias("best"), F.col("line").alias("other"), F.col("place").alias("before"))
+    near = left.join(right, "best").where(F.col("before") < F.col("place"))
+    near = near.where(_within_one(F.split("line", " "), F.split("other", " "))).select("k", "k2", "before")
+    out = checkpoint(texts.join(near, ["k", "k2"], "left").where("copies > 1 or before is not null").select("k", "k2", F.least("place", "before").alias("first")))
+    keys.unpersist()
+    texts.unpersist()
+    return out
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -117,13 +130,13 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_wor
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     first = earlier_neighbours(base, least_words)
-    seen = _lines(base).select("doc_id", "at", _digest(F.col("line")).alias("k"))
-    gone = seen.join(first, "k").where(_place(F.col("doc_id"), F.col("at")) > F.col("first"))
+    seen = _lines(base).select("doc_id", "at", *_keys(F.col("line")))
+    gone = seen.join(first, ["k", "k2"]).where(_place(F.col("doc_id"), F.col("at")) > F.col("first"))
     gone = gone.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(F.struct("at", "k")).alias("_gone"))
     joined = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_d")), "left")
     parts = F.split(F.col(text), "\n")
     numbered = F.transform(parts, lambda x, i: F.struct(i.alias("at"), x.alias("x")))
-    kept = F.filter(numbered, lambda p: ~F.array_contains(F.col("_gone"), F.struct(p["at"].alias("at"), _digest(F.trim(p["x"])).alias("k"))))
+    kept = F.filter(numbered, lambda p: ~F.array_contains(F.col("_gone"), F.struct(p["at"].alias("at"), F.xxhash64(F.trim(p["x"])).alias("k"))))
     new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda p: p["x"]), "\n"))
     lines = F.coalesce(F.size(parts), F.lit(0))
     lines = F.when(F.col(text).isNull(), 0).otherwise(lines)
