@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how byte-level BPE splits text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-WORDS_KEPT = 400_000
+WORDS_KEPT = 700_000
 LONGEST_KEPT = 48
 ALONE = 0xFFFFFFFF
 NEVER = 1 << 40
@@ -50,9 +50,10 @@ class SpeculativeBpe:
             self.ranks[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.longest: dict[bytes, int] = {}
         for t in self.ids:
-            self.longest[t[:2]] = max(self.longest.get(t[:2], 0), len(t))
+            self.longest[t[:4]] = max(self.longest.get(t[:4], 0), len(t))
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
+        self.shown = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
@@ -92,7 +93,7 @@ class SpeculativeBpe:
         """Greedy longest match."""
         out, at, n, ids, longest = [], 0, len(word), self.ids, self.longest
         while at < n:
-            end = min(n, at + max(longest.get(word[at : at + 2], 1), 1))
+            end = min(n, at + longest.get(word[at : at + 4], 3))
             while (found := ids.get(word[at:end])) is None:
                 end -= 1
             out.append(found)
@@ -196,12 +197,14 @@ class SpeculativeBpe:
         for w in fresh.intersection(self.older):
             known[w] = self.older[w]
         new = sorted(fresh.difference(known))
-        found = dict(zip(new, self.learn(new), strict=True))
-        known.update((w, x) for w, x in found.items() if len(w) <= LONGEST_KEPT)
+        known.update(zip(new, self.learn(new), strict=True))
         out = []
         for words in split:
-            ids = np.frombuffer(b"".join([known[w] if w in known else found[w] for w in words]), np.int32)
-            out.append((ids, b"".join([self.bytes[i] for i in ids.tolist()]).decode("utf-8", "replace")))
+            ids = np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
+            out.append((ids, b"".join(map(self.shown.__getitem__, ids.tolist())).decode("utf-8", "replace")))
+        for w in new:
+            if len(w) > LONGEST_KEPT:
+                del known[w]
         return out
 
 
