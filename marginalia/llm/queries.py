@@ -93,3 +93,50 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_language_id, op2_secret_scan, op3_line_dedup, op4_chat_format, op5_quality, op6_simhash, op7_bpe, op8_decontaminate, op9_embedding_dedup, op10_html_extract)
     return {f.__name__: f for f in own} | {"pipeline": _pipeline}
+
+
+_LINES_SQL = """
+WITH l AS (
+  SELECT doc_id, i - 1 AS ln, x AS raw, trim(x, ' ') AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS xs FROM documents WHERE text IS NOT NULL) d,
+       LATERAL (SELECT unnest(d.xs) AS x, unnest(range(1, len(d.xs) + 1)) AS i)
+), t AS (
+  SELECT line, min(struct_pack(d := doc_id, a := ln)) AS pos FROM l WHERE line <> '' GROUP BY line
+), w AS (SELECT line, pos, string_split(line, ' ') AS ws FROM t WHERE len(string_split(line, ' ')) >= 5
+), v AS (
+  SELECT line, pos, -1 AS slot, line AS key FROM w
+  UNION ALL
+  SELECT line, pos, s AS slot, array_to_string(list_concat(ws[1:s], ws[s + 2:]), ' ') AS key
+  FROM w, LATERAL (SELECT unnest(range(0, len(w.ws))) AS s)
+), bs AS (SELECT key, slot, min(pos) AS m FROM v GROUP BY key, slot
+), bk AS (SELECT key, min(m) FILTER (slot < 0) AS mf, min(m) FILTER (slot >= 0) AS mv FROM bs GROUP BY key
+), n AS (
+  SELECT v.line, min(least(bs.m, CASE WHEN v.slot < 0 THEN coalesce(bk.mv, bs.m) ELSE coalesce(bk.mf, bs.m) END)) AS best
+  FROM v JOIN bs ON bs.key = v.key AND bs.slot = v.slot JOIN bk ON bk.key = v.key GROUP BY v.line
+), f AS (SELECT t.line, least(t.pos, coalesce(n.best, t.pos)) AS first FROM t LEFT JOIN n USING (line)
+), k AS (
+  SELECT l.doc_id, l.ln, l.raw, l.line = '' OR struct_pack(d := l.doc_id, a := l.ln) <= f.first AS kept
+  FROM l LEFT JOIN f USING (line)
+)
+SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY ln) FILTER (kept), '') AS text, count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_removed
+FROM k GROUP BY doc_id
+"""
+
+_CHATS_SQL = r"""
+WITH s AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(role) + length(text) + (length(role || text) - length(replace(replace(replace(role || text, '\', ''), '<', ''), '[', ''))) AS n FROM s
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n + 8 + 8 + 7) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    """Of the operators that SQL can express; the others are tested against brute force."""
+    return {"op3_line_dedup": _LINES_SQL, "op4_chat_format": _CHATS_SQL}
