@@ -44,11 +44,11 @@ def merge_intervals(zeros) -> list[tuple[float, float]]:
     return out
 
 
-def private_tree(counts: list[int], low: float, high: float, bins: int, eps: float | None, noise: Noise) -> list[float]:
+def private_tree(counts: list[int], low: float, high: float, bins: int, eps: float | None, noise: Noise, cap: int | None = None) -> list[float]:
     """Edges of the leaves of a PrivTree over dyadic counts (2**DEPTH cells).
 
     A node splits at its midpoint while max(count - depth * decay, theta - decay), with Laplace noise,
-    is over theta = n / bins; first in, first out, until there are ``bins`` leaves.
+    is over theta = n / bins; first in, first out, until there are ``cap`` leaves (``bins`` unless given).
     """
     total = [0]
     for c in counts:
@@ -60,7 +60,7 @@ def private_tree(counts: list[int], low: float, high: float, bins: int, eps: flo
     for a, b, depth in queue:
         count = total[b] - total[a]
         score = max(count - depth * decay, theta - decay) + (float(noise.laplace(scale, 1)[0]) if eps else 0.0)
-        if score > theta and n < bins and b - a > 1:
+        if score > theta and n < (cap or bins) and b - a > 1:
             mid = (a + b) // 2
             queue += [(a, mid, depth + 1), (mid, b, depth + 1)]
             n += 1
