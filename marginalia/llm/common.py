@@ -33,6 +33,12 @@ def shared_folder(spark: SparkSession) -> str:
     return made.get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Hadoop knows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder."""
     spark = df.sparkSession
