@@ -182,15 +182,49 @@ def test_edge_rows_and_empty_tables(spark):
     assert decontaminate.find(_docs(spark, EDGE), bench.where("false")).count() == 0
 
 
-def test_pipeline_against_its_operators(spark):
+def test_pipeline_matches_brute_force(spark):
+    """The classifier's own scores, then plain Python for lines, fingerprints, benchmark items and tokens."""
     import corpus_pipeline
 
     docs = queries.table(spark, SMALL, "documents")
-    out = corpus_pipeline.run(spark, SMALL).toPandas()
-    assert 0 < len(out) < docs.count() and out.doc_id.is_unique and (out.n_tokens == out.ids.map(len)).all()
-    assert [n for n, _ in corpus_pipeline.STAGES][0].startswith("quality") and len(corpus_pipeline.STAGES) == 5
+    labels = queries.table(spark, SMALL, "labels").where(queries.fold(F.col("doc_id"), 5) != 0)
+    model = quality.fit(quality.sample(docs, labels))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    accepted = [x for x, s in zip(rows, model.score([t for _, t in rows]), strict=True) if s >= quality.ACCEPT]
+    texts = _brute_lines(accepted)
+    ids = np.array(sorted(texts))
+    fp = np.array([simhash.fingerprint(texts[i], 5) for i in ids.tolist()], np.uint64)
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 7
+    label = ids.copy()
+    for _ in range(len(ids)):
+        label = np.array([label[r].min() for r in near])
+    kept = [int(i) for i, c in zip(ids, label, strict=True) if i == c]
+    grams = lambda t: [" ".join(t[k : k + 5]) for k in range(len(t) - 4)]
+    words = lambda t: decontaminate.WORD.findall(t.lower())
+    items = [grams(words(r["text"])) for r in queries.table(spark, SMALL, "benchmark").collect()]
+    clean = [i for i in kept if not any(sum(g in own for g in item) >= 0.8 * len(item) for own in [set(grams(words(texts[i])))] for item in items)]
+    theirs = Tokenizer.from_file(public_tokenizers.path(queries.VOCABULARY))
+    want = {i: theirs.encode(texts[i], add_special_tokens=False).ids for i in clean}
+    got = {r["doc_id"]: list(r["ids"]) for r in corpus_pipeline.run(spark, SMALL).collect()}
+    assert len(corpus_pipeline.STAGES) == 5 and got == want
 
 
 def test_digests_of_empty_texts(spark):
     got = queries.op2_secret_scan(spark, SMALL).where("n_assign + n_access + n_hex = 0").first()
     assert got["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_base_secrets_against_the_plain_patterns(spark):
+    import re
+
+    plain = [
+        ("assign", re.compile(r"""(?a:(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""), lambda m: len(m.group(2)) >= 12),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m.group()) >= 18),
+        ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m.group()) >= 16),
+    ]
+    got = {r["doc_id"]: r for r in queries.op2_secret_scan(spark, "/root/testdata/sf0.01").collect()}
+    for doc_id, text in duckdb.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet'").fetchall():
+        found = [(m.start(), k, m.end(), name) for k, (name, p, good) in enumerate(plain) for m in p.finditer(text or "") if good(m)]
+        told = ",".join(f"{name}:{s}:{e}" for s, _, e, name in sorted(found))
+        assert got[doc_id]["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        assert [got[doc_id][f"n_{n}"] for n, _, _ in plain] == [sum(f[3] == n for f in found) for n, _, _ in plain]
