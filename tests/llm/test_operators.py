@@ -62,6 +62,42 @@ def test_dense_groups_are_split_without_loss(spark, cap):
     assert all(got.get(k, k) == label[k] for k in range(len(u)))
 
 
+def _brute_similar(texts):
+    """The first text of each one's group, by the Jaccard similarity of sets of five words."""
+    own = []
+    for t in texts:
+        w = t.lower().split()
+        own.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(own)))
+    for i in range(len(own)):
+        for j in range(i):
+            if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("cap", [8, 2048])
+def test_similar_texts_are_those_of_the_shingle_sets(spark, cap):
+    rng = np.random.default_rng(3)
+    texts = [None, "", " \n", "one two", "One  two", "x " * 20000]
+    for k in range(12):
+        words = [f"w{x}" for x in rng.integers(5000, size=400)]
+        texts += [" ".join(words), " ".join(words).upper()]
+        for changed in (1, 3, 6, 30):  # similarities of about 0.98, 0.93, 0.86 and 0.5
+            copy = list(words)
+            for at in rng.choice(400, changed, replace=False):
+                copy[at] = "other"
+            texts.append(" ".join(copy))
+    rows = [(k, t) for k, t in enumerate(texts)] + [(3, "one two"), (None, "one two"), (None, "no id")]
+    got = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), cap=cap).collect()
+    assert len(got) == len(rows)
+    assert sorted(r["component_id"] for r in got if r["doc_id"] is None and r["component_id"] is not None) == [3]
+    label = _brute_similar([t or "" for t in texts])
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == dict(enumerate(label))
+    assert simhash.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def _brute_lines(rows):
     def near(a, b):
         a, b = a.split(" "), b.split(" ")
@@ -193,12 +229,8 @@ def test_pipeline_matches_brute_force(spark):
     accepted = [x for x, s in zip(rows, model.score([t for _, t in rows]), strict=True) if s >= quality.ACCEPT]
     texts = _brute_lines(accepted)
     ids = np.array(sorted(texts))
-    fp = np.array([simhash.fingerprint(texts[i], 5) for i in ids.tolist()], np.uint64)
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 7
-    label = ids.copy()
-    for _ in range(len(ids)):
-        label = np.array([label[r].min() for r in near])
-    kept = [int(i) for i, c in zip(ids, label, strict=True) if i == c]
+    label = _brute_similar([texts[i] for i in ids.tolist()])
+    kept = [int(i) for k, i in enumerate(ids) if label[k] == k]
     grams = lambda t: [" ".join(t[k : k + 5]) for k in range(len(t) - 4)]
     words = lambda t: decontaminate.WORD.findall(t.lower())
     items = [grams(words(r["text"])) for r in queries.table(spark, SMALL, "benchmark").collect()]
