@@ -232,8 +232,8 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
 
     Candidates come from the vantage-point trees of two fingerprints (pairs that agree in AGREE blocks and
     differ in ``reach`` bits or fewer in one of them). In each shard a fixed-size sketch orders them into
-    a greatest spanning forest; its edges are verified on the whole shingle sets. Of pairs at a
-    similarity of just 0.8 about one in twenty is not looked at, of those at 0.85 one in a hundred.
+    a greatest spanning forest; its edges are verified on the whole shingle sets. Pairs close to
+    0.8 can be missed: one in twenty or so at just 0.8 by a binomial estimate; 3 of 48 pairs at sf0.1.
     Texts without words (null, empty) form one group. A null doc_id gives a null component unless its
     group has another id. Repeated rows stay repeated; an empty table gives an empty result.
     """
