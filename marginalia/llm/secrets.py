@@ -99,7 +99,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
                 elif kind2 != "plus":
                     break
             if spans:
-                known[name] = spans
+                known[name] = spans = list(dict.fromkeys(spans))  # x = x + x adds nothing
                 yield name, spans
 
 
