@@ -23,8 +23,9 @@ GRAM, OVERLAP, ANSWER_OVERLAP = 5, 0.8, 0.5
 WINDOW, STRIDE, SHARE = 64, 32, 0.65
 K1, B = 1.2, 0.75
 ITEMS_IN_BLOCK = 16
-#: Items of one index, which bounds what is broadcast; a larger benchmark is searched index by index.
-ITEMS_IN_INDEX = 4000
+#: Items and characters of one index, which bound what is broadcast (block maxima: terms x items / 16);
+#: a larger benchmark is searched index by index.
+ITEMS_IN_INDEX, CHARS_IN_INDEX = 2000, 1 << 20
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 MIX = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(GRAM)], np.uint64)
@@ -32,17 +33,16 @@ MIX = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(GRAM)], n
 
 @dataclass
 class Index:
-    """terms: word to number; impact: terms (and one row of zeros) x items."""
+    """terms: word to number; block_max: terms (and one row of zeros) x blocks."""
 
     items: list[int]
     terms: dict[str, int]
-    impact: np.ndarray
     block_max: np.ndarray
     least: np.ndarray  # of each block
     threshold: np.ndarray  # of each item
     tokens: list[np.ndarray] = field(default_factory=list)
     question: list[int] = field(default_factory=list)  # tokens before the answer
-    by_block: list[np.ndarray] = field(default_factory=list)  # impact, cut into its blocks
+    by_block: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # a block's terms in order, and their impact (and one row of zeros) x its items
 
     @classmethod
     def build(cls, rows: list[tuple[int, str | None]]) -> Index:
@@ -55,23 +55,37 @@ class Index:
         tokens = [np.array([terms[w] for w in words]) for _, words, _ in rows]
         df = Counter(w for _, words, _ in rows for w in set(words))
         mean = sum(map(len, tokens)) / max(1, n)
-        impact = np.zeros((len(terms) + 1, n), np.float32)
-        for k, (_, words, _) in enumerate(rows):
-            for w, tf in Counter(words).items():
-                idf = np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
-                impact[terms[w], k] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
+        impacts: list[tuple[np.ndarray, np.ndarray]] = []
+        for _, words, _ in rows:
+            counts = Counter(words)
+            tf = np.array(list(counts.values()), np.float64)
+            of = np.array([df[w] for w in counts])
+            idf = np.log(1 + (n - of + 0.5) / (of + 0.5))
+            impacts.append((np.array([terms[w] for w in counts]), (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))).astype(np.float32)))
         blocks = range(0, n, ITEMS_IN_BLOCK)
-        block_max = np.stack([impact[:, k : k + ITEMS_IN_BLOCK].max(axis=1) for k in blocks], axis=1) if n else np.zeros((1, 0), np.float32)
+        block_max = np.zeros((len(terms) + 1, len(blocks)), np.float32)
+        by_block = []
+        for b, k in enumerate(blocks):
+            own = impacts[k : k + ITEMS_IN_BLOCK]
+            there = np.unique(np.concatenate([t for t, _ in own]))
+            table = np.zeros((len(there) + 1, len(own)), np.float32)
+            for i, (t, x) in enumerate(own):
+                table[np.searchsorted(there, t), i] = x
+            block_max[there, b] = table[:-1].max(axis=1)
+            by_block.append((there, table))
         # the run of an item that is sure to lie in one window
         sure = WINDOW - STRIDE + 1
-        own = [min(float(impact[np.unique(t[s : s + sure]), k].sum()) for s in range(max(1, len(t) - sure + 1))) for k, t in enumerate(tokens)]
-        threshold = np.array(own, np.float32) * SHARE
+        least_runs = []
+        for t, (of, x) in zip(tokens, impacts, strict=True):
+            weight = dict(zip(of.tolist(), x.tolist(), strict=True))
+            least_runs.append(min(sum(weight[w] for w in set(t[s : s + sure].tolist())) for s in range(max(1, len(t) - sure + 1))))
+        threshold = np.array(least_runs, np.float32) * SHARE
         least = np.array([threshold[k : k + ITEMS_IN_BLOCK].min() for k in blocks], np.float32)
         question = []
         for (_, words, text), t in zip(rows, tokens, strict=True):
             sentences = [s for s in SENTENCE.split(text.strip()) if WORD.search(s)]
             question.append(len(t) - len(WORD.findall(sentences[-1].lower())) if len(sentences) > 1 else 0)
-        return cls([i for i, _, _ in rows], terms, impact, block_max, least, threshold, tokens, question, [np.ascontiguousarray(impact[:, k : k + ITEMS_IN_BLOCK]) for k in blocks])
+        return cls([i for i, _, _ in rows], terms, block_max, least, threshold, tokens, question, by_block)
 
     def hits(self, texts: list[str | None]) -> list[tuple[int, int, float, float, float]]:
         """(number of the text, item, best score, question overlap, answer overlap) of the items that whole texts hold."""
@@ -91,10 +105,12 @@ class Index:
             for b in np.flatnonzero(left.any(axis=0)).tolist():
                 first = b * ITEMS_IN_BLOCK
                 kept = np.flatnonzero(left[:, b])
-                impact = self.by_block[b]
+                terms, impact = self.by_block[b]
+                at = np.minimum(np.searchsorted(terms, own[kept]), len(terms) - 1)
+                at = np.where(terms[at] == own[kept], at, len(terms))
                 score = np.zeros((len(kept), impact.shape[1]), np.float32)
                 for k in range(own.shape[1]):
-                    score += impact[own[kept, k]]
+                    score += impact[at[:, k]]
                 for r, k in zip(*np.nonzero(score >= self.threshold[first : first + ITEMS_IN_BLOCK] * 0.999), strict=True):
                     key = (int(of[kept[r]]), int(k) + first)
                     best[key] = max(best.get(key, 0.0), float(score[r, k]))
@@ -144,12 +160,13 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     spark = docs.sparkSession
     shape = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    parts = -(-items.count() // ITEMS_IN_INDEX) or 1
+    size = items.agg(F.count("t").alias("items"), F.sum(F.length("t")).alias("chars")).first()
+    parts = max(1, -(-size["items"] // ITEMS_IN_INDEX), -(-(size["chars"] or 0) // CHARS_IN_INDEX))
     out = spark.createDataFrame([], shape)
     for part in range(parts):
         rows = items if parts == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
         index = Index.build(sorted((r["i"], r["t"]) for r in rows.collect()))
-        shared = spark.sparkContext.broadcast(index)  # the tables of at most about ITEMS_IN_INDEX items
+        shared = spark.sparkContext.broadcast(index)  # the tables of about ITEMS_IN_INDEX items at most
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -260,3 +260,16 @@ def test_base_secrets_against_the_plain_patterns(spark):
         told = ",".join(f"{name}:{s}:{e}" for s, _, e, name in sorted(found))
         assert got[doc_id]["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
         assert [got[doc_id][f"n_{n}"] for n, _, _ in plain] == [sum(f[3] == n for f in found) for n, _, _ in plain]
+
+
+def test_constants_added_to_themselves_stay_one_span():
+    text = 'token = "aZ3kQ9xT7bLm2"\n' + "token = token + token\n" * 200
+    assert [x[:3] for x in secrets.spans(text) if x[0] == "literal"] == [("literal", 9, 22)]
+
+
+def test_a_benchmark_of_many_indexes_finds_the_same(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = lambda: {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, items).collect()}
+    whole = found()
+    monkeypatch.setattr(decontaminate, "CHARS_IN_INDEX", 3000)
+    assert whole and found() >= whole
