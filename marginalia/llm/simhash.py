@@ -289,7 +289,9 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
                 own = np.unique(shingles(batch.column(1)[k].as_py(), words)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([own], pa.list_(pa.int64()))], ["node", "own"])
 
-    known = checkpoint(base.join(asked, "node", "left_semi").select("node", "text").dropDuplicates(["node"]).mapInArrow(sets, "node long, own array<long>"))
+    # one row of each text leaves a task, however many copies there are (a semi join would be moved below the aggregation)
+    texts = base.select("node", "text").dropDuplicates(["node"]).join(asked, "node").select("node", "text")
+    known = checkpoint(texts.mapInArrow(sets, "node long, own array<long>"))
     side = lambda c: known.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}"))
     shared = F.size(F.array_intersect("own_a", "own_b"))
     total = F.size("own_a") + F.size("own_b") - shared
