@@ -273,3 +273,19 @@ def test_a_benchmark_of_many_indexes_finds_the_same(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(decontaminate, "CHARS_IN_INDEX", 3000)
     assert whole and found() >= whole
+
+
+def test_a_group_around_the_least_similarity_stays_whole(spark):
+    """Every candidate pair of 0.8 or more, whatever its estimate, links its texts."""
+    rng = np.random.default_rng(8)
+    words = [f"w{x}" for x in rng.integers(5000, size=400)]
+    texts = []
+    for k in range(300):  # similarities of pairs of about 0.75 to 0.85
+        copy = list(words)
+        for at in rng.choice(400, int(rng.integers(4, 7)), replace=False):
+            copy[at] = f"other{k}"
+        texts.append(" ".join(copy))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    label = _brute_similar(texts)
+    assert len({x for x in label if label.count(x) > 1}) == 1
+    assert [got[k] for k in range(len(texts))] == label
