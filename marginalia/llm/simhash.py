@@ -286,7 +286,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
         for batch in batches:
             fps, sketches = [], []
             for x in batch.column(2):
-                h = shingles(x.as_py(), words)
+                h = np.unique(shingles(x.as_py(), words))  # as the similarity: repeats do not count
                 fps.append((_majority(h), _majority((h ^ (h >> np.uint64(29))) * MIX)) if len(h) else (0, 0))
                 sketches.append(sketch(h))
             both = np.array(fps, np.uint64).reshape(-1, 2).T.copy().view(np.int64)

@@ -289,3 +289,13 @@ def test_a_group_around_the_least_similarity_stays_whole(spark):
     label = _brute_similar(texts)
     assert len({x for x in label if label.count(x) > 1}) == 1
     assert [got[k] for k in range(len(texts))] == label
+
+
+def test_repeats_inside_a_line_do_not_hide_a_copy(spark):
+    rng = np.random.default_rng(9)
+    words = [[f"w{x}" for x in rng.integers(5000, size=300)] for _ in range(6)]
+    texts = [" ".join(w) for w in words] + [" ".join(w[:100] + w[100:110] * 200 + w[110:]) for w in words]
+    label = _brute_similar(texts)
+    assert label == [0, 1, 2, 3, 4, 5] * 2
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == label
