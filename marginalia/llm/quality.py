@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that are fitted: the documented bound of the sample and of what is broadcast.
-SAMPLE_ROWS = 3000
-BUCKETS, DIMENSIONS, NEIGHBOURS, BLOCK = 1 << 12, 48, 15, 256
+SAMPLE_ROWS = 4000
+BUCKETS, DIMENSIONS, NEIGHBOURS, BLOCK = 1 << 13, 48, 15, 256
 ACCEPT = 0.3
 
 
@@ -96,29 +96,54 @@ class Model:
         return np.clip(out, 0.0, 1.0)
 
 
-def fit(rows: list[tuple[str | None, int]], seed: int = 11) -> Model:
-    """Fit the space and keep the labelled vectors; no rows give a model that scores 0.5."""
+Vector = tuple[bytes, bytes]
+
+
+def sparse(text: str | None) -> Vector:
+    """The features that are not 0: their places (two bytes each) and counts (four)."""
+    counts = features(text)
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes(), counts[at].astype("<f4").tobytes()
+
+
+def _dense(vectors: list[Vector]) -> np.ndarray:
+    out = np.zeros((len(vectors), BUCKETS), np.float32)
+    for row, (at, counts) in zip(out, vectors, strict=True):
+        row[np.frombuffer(at, "<u2")] = np.frombuffer(counts, "<f4")
+    return out
+
+
+def fit(rows: list[tuple[Vector | str | None, int]], seed: int = 11) -> Model:
+    """Fit the space and keep the labelled vectors; no rows give a model that scores 0.5.
+
+    Rows are whole texts or their sparse features; only BLOCK of them are dense at a time.
+    """
     if not rows:
         return Model(np.ones(BUCKETS, np.float32), np.zeros((BUCKETS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
     labels = np.array([float(y == 1) for _, y in rows])
-    counts = np.stack([features(t) for t, _ in rows])
-    idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 0.3
-    weighted = np.multiply(counts, idf, out=counts)
+    vectors = [x if isinstance(x, tuple) else sparse(x) for x, _ in rows]
+    blocks = [vectors[k : k + BLOCK] for k in range(0, len(vectors), BLOCK)]
+    held = sum((_dense(b) > 0).sum(axis=0) for b in blocks)
+    idf = np.log((1 + len(rows)) / (1 + held)).astype(np.float32) + np.float32(0.3)
     rng = np.random.default_rng(seed)
     q = rng.normal(size=(BUCKETS, min(DIMENSIONS + 8, len(rows)))).astype(np.float32)
     for _ in range(3):  # randomised subspace iteration
-        q, _r = np.linalg.qr(weighted.T @ (weighted @ q))
-    _u, _s, vt = np.linalg.svd(weighted @ q, full_matrices=False)
-    model = Model(idf, (q @ vt.T[:, :DIMENSIONS]).astype(np.float32), np.zeros((0, 1), np.float32), labels, float(labels.mean()))
-    z = weighted @ model.basis
-    model.vectors = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-    return model
-
-
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, cut: int = 4000) -> list[tuple[str | None, int]]:
-    """Up to about ``rows`` labelled rows, chosen by a hash of doc_id after counting the labels.
-
-    Texts are cut in the sample only. A doc_id with several labels counts with each.
+        product = np.zeros_like(q)
+        for b in blocks:
+            weighted = _dense(b) * idf
+            product += weighted.T @ (weighted @ q)
+        q, _r = np.linalg.qr(product)
+    projected = np.concatenate([(_dense(b) * idf) @ q for b in blocks])
+    _u, _s, vt = np.linalg.svd(projected, full_matrices=False)
+    z = projected @ vt.T[:, :DIMENSIONS]
+    return Model(idf, (q @ vt.T[:, :DIMENSIONS]).astype(np.float32), (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)).astype(np.float32), labels, float(labels.mean()))
+
+
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[Vector, int]]:
+    """(sparse features of the whole text, label) of up to about ``rows`` labelled rows, chosen by a hash of doc_id
+    after counting the labels.
+
+    The features are made on the executors; no text leaves them. A doc_id with several labels counts with each.
     """
     known = labels.select(F.col("doc_id"), F.col("quality")).where("quality is not null")
     n = known.count()
@@ -126,8 +151,16 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, cut: int
         return []
     h = F.xxhash64(F.lit(31), F.col("doc_id"))
     part = known.where(F.shiftrightunsigned(h, 11) / float(1 << 53) < min(1.0, rows / n))
-    found = docs.select("doc_id", F.substring("text", 1, cut).alias("t")).join(part, "doc_id").select(h.alias("h"), "doc_id", "t", "quality")
-    return [(r["t"], int(r["quality"])) for r in sorted(found.limit(2 * rows).collect(), key=lambda r: (r["h"], r["doc_id"], r["t"] or ""))]
+    found = docs.select("doc_id", "text").join(F.broadcast(part), "doc_id").select("text", h.alias("h"), F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("long").alias("quality"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, counts = zip(*[sparse(x.as_py()) for x in batch.column(0)], strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(at, pa.binary()), pa.array(counts, pa.binary())], ["h", "doc_id", "quality", "at", "counts"])
+
+    made = found.mapInArrow(run, "h long, doc_id long, quality long, at binary, counts binary").limit(2 * rows).collect()
+    made.sort(key=lambda r: (r["h"], r["doc_id"], bytes(r["at"]), bytes(r["counts"])))
+    return [((bytes(r["at"]), bytes(r["counts"])), int(r["quality"])) for r in made]
 
 
 def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -299,3 +299,13 @@ def test_repeats_inside_a_line_do_not_hide_a_copy(spark):
     assert label == [0, 1, 2, 3, 4, 5] * 2
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[k] for k in range(len(texts))] == label
+
+
+def test_labelled_texts_are_fitted_whole(spark):
+    rng = np.random.default_rng(10)
+    clean = [" ".join("abcdefghij"[: int(n)] for n in rng.integers(2, 9, size=1200)) + "." for _ in range(60)]
+    rows = [(k, t + (" $$ BUY!! 99 <<NOW>> ##" * 150 if k % 2 else "")) for k, t in enumerate(clean)]
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(40)], "doc_id long, quality int")
+    model = quality.fit(quality.sample(spark.createDataFrame(rows, "doc_id long, text string"), labels))
+    scored = model.score([t for _, t in rows[40:]])
+    assert all((s >= quality.ACCEPT) == (k % 2 == 0) for k, s in enumerate(scored))
