@@ -1,11 +1,12 @@
 """Main text of web pages by site style trees.
 
 Pages of a host are merged into one style tree: its nodes are paths of styled elements (tag and
-class). A node's importance is the entropy of what the host's pages show there, in parts of the
-greatest possible: what is the same on page after page says little. Branches of low importance are
-taken out of each page, as are branches whose element or class says that they are menus, headers,
-adverts and the like; an article's own branches are never judged by entropy, so repeated articles
-stay whole. What is left is written block by block.
+class). What a page shows at a node has an importance: its information, log(pages / pages that show the
+same there), in parts of the greatest possible, log(pages); a node's entropy is the mean of these. What
+is the same on page after page says little. All branches of a path count, and pages of a host that show
+the same text count once. Branches of low importance are taken out of each page, as are branches whose
+element or class says that they are menus, headers, adverts and the like; an article's own branches are
+never judged by entropy, so repeated articles stay whole. What is left is written block by block.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A node is judged on hosts of this many pages, and goes below this importance.
+#: A node is judged on hosts of this many unlike pages, and what it shows goes below this importance.
 LEAST_PAGES, LEAST_IMPORTANCE = 8, 0.25
-#: Keys of low nodes that are broadcast at most (8 bytes each); beyond, they are joined by host.
+#: Digest of the rows that count the pages with a path.
+ANY = -1
+#: Keys of low branches that are broadcast at most (8 bytes each); beyond, they are joined by host.
 KEYS_BROADCAST = 1_000_000
 SALTS = 32
 
@@ -48,10 +51,10 @@ PART = re.compile(r"[a-z]+", re.A)
 
 
 class Node:
-    __slots__ = ("article", "gone", "path", "start", "tag")
+    __slots__ = ("article", "gone", "order", "path", "start", "tag")
 
-    def __init__(self, tag: str, path: str, gone: bool, article: bool, start: int):
-        self.tag, self.path, self.gone, self.article, self.start = tag, path, gone, article, start
+    def __init__(self, tag: str, path: str, gone: bool, article: bool, start: int, order: int):
+        self.tag, self.path, self.gone, self.article, self.start, self.order = tag, path, gone, article, start, order
 
 
 def _style(tag: str, raw: str, article: bool) -> tuple[str, bool]:
@@ -67,14 +70,14 @@ def _style(tag: str, raw: str, article: bool) -> tuple[str, bool]:
     return f"{tag}.{style}" if style else tag, gone
 
 
-def walk(source: str, low: frozenset[int] | np.ndarray | None = None, host: str = "", nodes: list[tuple[str, int]] | None = None) -> list[str]:
-    """Blocks of a page's main text, in order. ``low``: sorted keys of branches to leave out; ``nodes``
-    gets (path, digest of its text) of each branch that entropy may judge."""
+def walk(source: str, drop: frozenset[int] = frozenset(), nodes: list[tuple[int, str, int]] | None = None) -> list[str]:
+    """Blocks of a page's main text, in order. ``drop``: branches to leave out, by the order in which they open;
+    ``nodes`` gets (order, path, digest of its text) of each branch that entropy may judge, and at last of the page."""
     blocks: list[str] = []
     inside: list[str] = []  # text of the block at hand
     shown: list[str] = []  # all text that is not hidden by its element, for the digests
-    stack = [Node("", "", False, False, 0)]
-    at = 0
+    stack = [Node("", "", False, False, 0, 0)]
+    at = opened = 0
 
     def flush() -> None:
         if inside:
@@ -94,7 +97,7 @@ def walk(source: str, low: frozenset[int] | np.ndarray | None = None, host: str
         if node.tag not in INLINE:
             flush()
         if nodes is not None and not node.article and node.tag not in INLINE and node.path:
-            nodes.append((node.path, xxhash.xxh64_intdigest(" ".join("".join(shown[node.start :]).split()).encode("utf-8", "replace")) >> 1))
+            nodes.append((node.order, node.path, _digest(shown[node.start :])))
 
     while m := TAG.search(source, at):
         put(source[at : m.start()])
@@ -134,9 +137,9 @@ def walk(source: str, low: frozenset[int] | np.ndarray | None = None, host: str
         article = parent.article or tag in MAIN
         if tag not in INLINE:
             flush()
-        if not (gone or parent.gone or article) and low is not None and len(low):
-            gone = _has(low, key_of(host, path))
-        stack.append(Node(tag, path, gone or parent.gone, article, len(shown)))
+        opened += 1
+        gone |= not article and opened in drop
+        stack.append(Node(tag, path, gone or parent.gone, article, len(shown), opened))
         if tag in RAW and not m[4].rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = end.end() if end else len(source)
@@ -146,11 +149,28 @@ def walk(source: str, low: frozenset[int] | np.ndarray | None = None, host: str
     while len(stack) > 1:
         close()
     flush()
+    if nodes is not None:
+        nodes.append((0, "", _digest(shown)))
     return blocks
 
 
-def key_of(host: str, path: str) -> int:
-    return xxhash.xxh64_intdigest(f"{host}\n{path}".encode("utf-8", "replace")) >> 1
+def _digest(shown: list[str]) -> int:
+    return xxhash.xxh64_intdigest(" ".join("".join(shown).split()).encode("utf-8", "replace")) >> 1
+
+
+def main_text(source: str, low: np.ndarray, host: str) -> list[str]:
+    """Blocks of a page without the branches whose keys are in ``low`` (sorted)."""
+    if not len(low):
+        return walk(source)
+    nodes: list[tuple[int, str, int]] = []
+    blocks = walk(source, nodes=nodes)
+    drop = frozenset(order for order, path, digest in nodes if order and _has(low, key_of(host, path, digest)))
+    return walk(source, drop) if drop else blocks
+
+
+def key_of(host: str, path: str, digest: int) -> int:
+    """Key of what a branch shows; with the digest ANY, of the path."""
+    return xxhash.xxh64_intdigest(f"{host}\n{path}\n{digest}".encode("utf-8", "replace")) >> 1
 
 
 def _has(low: np.ndarray, key: int) -> bool:
@@ -164,24 +184,31 @@ def host_of(url: str | None) -> str:
 
 
 def low_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """(host, key) of the style tree nodes of low importance. pages: (url, html)."""
+    """(host, key) of what style tree nodes show at low importance. pages: (url, html).
+
+    Each unlike page of a host has a row for each of its paths (key = path) and one for each unlike text
+    shown at a path, however many of its branches show it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, keys, digests = [], [], []
+            hosts, shown, paths, keys = [], [], [], []
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 host, nodes = host_of(url), []
                 walk(source.as_py() or "", nodes=nodes)
-                for path, digest in dict(nodes).items():
+                page = nodes.pop()[2]
+                for path, digest in {(p, d) for _, p, d in nodes} | {(p, ANY) for _, p, _ in nodes}:
                     hosts.append(host)
-                    keys.append(key_of(host, path))
-                    digests.append(digest)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(digests, pa.int64())], ["host", "key", "digest"])
+                    shown.append(page)
+                    paths.append(key_of(host, path, ANY))
+                    keys.append(key_of(host, path, digest))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array(c, pa.int64()) for c in (shown, paths, keys)]], ["host", "page", "path", "key"])
 
-    shown = pages.select("url", "html").mapInArrow(run, "host string, key long, digest long").groupBy("host", "key", "digest").agg(F.count(F.lit(1)).alias("n"))
-    tree = shown.groupBy("host", "key").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    importance = (F.log2("pages") - F.col("s") / F.col("pages")) / F.log2("pages")
-    return tree.where((F.col("pages") >= least_pages) & (importance < least)).select("host", "key")
+    rows = pages.select("url", "html").mapInArrow(run, "host string, page long, path long, key long").dropDuplicates(["page", "path", "key"])
+    # what is shown on fewer pages cannot be of low importance, and no such rows are joined
+    counts = rows.groupBy("host", "path", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least_pages ** (1 - least))
+    every = counts.where((F.col("path") == F.col("key")) & (F.col("n") >= least_pages)).select("path", F.col("n").alias("pages"))
+    return counts.where("path <> key").join(every, "path").where(F.log2(F.col("pages") / F.col("n")) < least * F.log2("pages")).select("host", "key")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -211,7 +238,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             out = []
             for k in range(batch.num_rows):
                 keys = np.array(batch.column(3)[k].as_py() or [], np.int64) if joined else shared.value
-                out.append("\n\n".join(walk(batch.column(2)[k].as_py() or "", keys, host_of(batch.column(1)[k].as_py()))))
+                out.append("\n\n".join(main_text(batch.column(2)[k].as_py() or "", keys, host_of(batch.column(1)[k].as_py()))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     return rows.mapInArrow(run, shape)

@@ -309,3 +309,20 @@ def test_labelled_texts_are_fitted_whole(spark):
     model = quality.fit(quality.sample(spark.createDataFrame(rows, "doc_id long, text string"), labels))
     scored = model.score([t for _, t in rows[40:]])
     assert all((s >= quality.ACCEPT) == (k % 2 == 0) for k, s in enumerate(scored))
+
+
+def _extracted(spark, bodies):
+    rows = [(k, f"https://h.example/{k}", f"<body>{b}</body>") for k, b in enumerate(bodies)]
+    return [r["text"] for r in sorted(pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r["page_id"])]
+
+
+def test_a_repeated_sibling_does_not_take_the_text_with_it(spark):
+    got = _extracted(spark, [f"<div class=main><p>Text {k} of its own</p><p>More {k}</p><p>Thanks for reading</p></div>" for k in range(12)])
+    assert got == [f"Text {k} of its own\n\nMore {k}" for k in range(12)]
+
+
+def test_copies_of_a_page_count_once(spark):
+    body = lambda k: f"<div class=top>Same words</div><div class=main><p>Text {k} of its own</p></div>"
+    own = [0] * 90 + list(range(1, 11))
+    assert _extracted(spark, [body(k) for k in own]) == [f"Text {k} of its own" for k in own]
+    assert _extracted(spark, [body(0)] * 20) == ["Same words\n\nText 0 of its own"] * 20
