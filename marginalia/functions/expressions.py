@@ -79,6 +79,11 @@ def bin_code(x: Column, edges: Sequence[float]) -> Column:
     return F.when(v.isNull() | F.isnan(v), F.lit(n - 1)).otherwise(code).cast("int")
 
 
+def count_at_or_below(v: Column, edges: list[float]) -> Column:
+    """How many of the sorted edges are at or below v."""
+    return _search(v, edges, 0)
+
+
 def _search(v: Column, inner: list[float], first: int) -> Column:
     """Balanced comparisons: the number of inner edges at or below v."""
     if not inner:

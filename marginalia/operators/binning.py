@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import warnings
-from collections.abc import Mapping
+from collections.abc import Generator, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -17,7 +18,8 @@ from marginalia.operators.profile import bounds_histogram, private_bounds, profi
 from marginalia.plans.privacy import Noise
 from marginalia.types import Binning, ColumnSpec, Domain, Encoding
 
-DEPTH = 12  # dyadic levels of a PrivTree histogram
+DEPTH = 12  # dyadic levels of a PrivTree histogram; a leaf that still wants to split is counted again, as deep
+CELLS = 1 << 16  # cells that one pass counts at most for the leaves of a column
 MAX_CATEGORIES = 10_000
 
 
@@ -44,30 +46,86 @@ def merge_intervals(zeros) -> list[tuple[float, float]]:
     return out
 
 
-def private_tree(counts: list[int], low: float, high: float, bins: int, eps: float | None, noise: Noise, cap: int | None = None) -> list[float]:
-    """Edges of the leaves of a PrivTree over dyadic counts (2**DEPTH cells).
+Range = tuple[float, float]  # of positions: 0 to 2**DEPTH from the lower to the upper bound
+
+
+@dataclass
+class Cells:
+    """Rows in equal cells between two positions, and the least and greatest position in each cell (if known)."""
+
+    start: float
+    width: float
+    total: list[int]
+    ends: dict[int, Range] = field(default_factory=dict)
+
+    def at(self, k: int) -> float:
+        return self.start + self.width * k
+
+    def count(self, a: int, b: int) -> int:
+        return self.total[b] - self.total[a]
+
+    def finer(self, k: int) -> Cells | None:
+        """The cells inside a cell whose rows share one value, without another count of the table."""
+        if self.count(k, k + 1) and (k not in self.ends or self.ends[k][0] != self.ends[k][1]):
+            return None
+        n, start, width = 1 << DEPTH, self.at(k), self.width
+        counts = [0] * n
+        if rows := self.count(k, k + 1):
+            counts[min(max(int((self.ends[k][0] - start) / width * n), 0), n - 1)] = rows
+        return cells_of(start, width / n, counts, {c: self.ends[k] for c, x in enumerate(counts) if x})
+
+
+def cells_of(start: float, width: float, counts: list[int], ends: dict[int, Range]) -> Cells:
+    return Cells(start, width, [0, *itertools.accumulate(counts)], ends)
+
+
+def grow(counts: list[int], low: float, high: float, bins: int, eps: float | None, noise: Noise, cap: int | None = None, deeper: bool = True) -> Generator[list[Range], list[Cells], list[float]]:
+    """Edges of the leaves of a PrivTree; counts are those of 2**DEPTH equal cells.
 
     A node splits at its midpoint while max(count - depth * decay, theta - decay), with Laplace noise,
     is over theta = n / bins; first in, first out, until there are ``cap`` leaves (``bins`` unless given).
+    That is level by level: where nodes of a level split inside a cell, their ranges are yielded, and the
+    Cells of each are to be sent. Only a node without a number between its edges stays whole
+    (and, unless ``deeper``, a cell of the counts).
     """
-    total = [0]
-    for c in counts:
-        total.append(total[-1] + c)
-    theta = total[-1] / bins
+    cells = cells_of(0.0, 1.0, counts, {})
+    theta = cells.count(0, len(counts)) / bins
     scale = 3.0 / eps if eps else 0.0
     decay = scale * math.log(2)
-    queue, leaves, n = [(0, len(counts), 0)], [], 1
-    for a, b, depth in queue:
-        count = total[b] - total[a]
-        score = max(count - depth * decay, theta - decay) + (float(noise.laplace(scale, 1)[0]) if eps else 0.0)
-        if score > theta and n < (cap or bins) and b - a > 1:
-            mid = (a + b) // 2
-            queue += [(a, mid, depth + 1), (mid, b, depth + 1)]
-            n += 1
-        else:
-            leaves.append((a, b))
     step = (high - low) / len(counts)
-    return [low + step * a for a, _ in sorted(leaves)] + [high]
+    edge = lambda at: high if at >= len(counts) else low + step * at
+    level, leaves, n, depth = [(cells, 0, len(counts))], [], 1, 0
+    while level:
+        split: list[tuple[Cells, int, int]] = []
+        for own, a, b in level:
+            count = own.count(a, b)
+            score = max(count - depth * decay, theta - decay) + (float(noise.laplace(scale, 1)[0]) if eps else 0.0)
+            middle = (own.at(a) + own.at(b)) / 2
+            if score > theta and n < (cap or bins) and (deeper or b - a > 1) and edge(own.at(a)) < edge(middle) < edge(own.at(b)):
+                split.append((own, a, b))
+                n += 1
+            else:
+                leaves.append(own.at(a))
+        inside = [own.finer(a) if b - a == 1 else own for own, a, b in split]
+        asked = [(own.at(a), own.at(b)) for (own, a, b), known in zip(split, inside, strict=True) if known is None]
+        counted = iter((yield asked) if asked else [])
+        level = []
+        for (own, a, b), known in zip(split, inside, strict=True):
+            if b - a == 1:
+                own = known or next(counted)
+                a, b = 0, len(own.total) - 1
+            level += [(own, a, (a + b) // 2), (own, (a + b) // 2, b)]
+        depth += 1
+    return [edge(at) for at in sorted(leaves)] + [high]
+
+
+def private_tree(counts: list[int], low: float, high: float, bins: int, eps: float | None, noise: Noise, cap: int | None = None) -> list[float]:
+    """Edges of the leaves of a PrivTree that stops at the cells of the counts."""
+    try:
+        next(grow(counts, low, high, bins, eps, noise, cap, deeper=False))
+    except StopIteration as done:
+        return done.value
+    raise AssertionError("a tree of whole cells asks for no counts")
 
 
 @dataclass
@@ -90,7 +148,8 @@ class TableBinner:
     spent: float = 0.0
 
     def fit(self, df: DataFrame, public: bool = False) -> TableBinner:
-        """Two to four jobs, whatever the number of columns: profile, fills and categories, bounds, trees."""
+        """Two to four jobs, whatever the number of columns: profile, fills and categories, bounds, trees. Trees that go
+        below DEPTH levels take another job for each DEPTH levels or so, for all columns at once."""
         noise = Noise(self.seed)
         self.schema = df.schema
         self.numeric, self.coded, self.static, self.fills, self.flags, self.spent = {}, {}, {}, {}, {}, 0.0
@@ -140,9 +199,18 @@ class TableBinner:
         if trees:
             counts = dyadic_counts(df, {c: (self.numeric[c].kind, lo, hi) for c, (lo, hi, _, _) in trees.items()})
             for c, (lo, hi, bins, left) in trees.items():
-                self.numeric[c].edges = private_tree(counts[c], lo, hi, bins, left, noise)
                 self.numeric[c].spent = left or 0.0
                 self.spent += left or 0.0
+            growing = {c: grow(counts[c], lo, hi, bins, left, noise) for c, (lo, hi, bins, left) in trees.items()}
+            sent: dict[str, list[Cells] | None] = dict.fromkeys(growing)
+            while sent:
+                asked = {}
+                for c, cells in sent.items():
+                    try:
+                        asked[c] = growing[c].send(cells)
+                    except StopIteration as done:
+                        self.numeric[c].edges = done.value
+                sent = range_counts(df, {c: (self.numeric[c].kind, *trees[c][:2], ranges) for c, ranges in asked.items()}) if asked else {}
         return self
 
     def _number(self, c: str, data_type: T.DataType, kind: str, value, df: DataFrame) -> float | None:
@@ -265,3 +333,30 @@ def dyadic_counts(df: DataFrame, columns: Mapping[str, tuple[str, float, float]]
     for r in rows:
         out[r["c"]][r["cell"]] = r["count"]
     return out
+
+
+def range_counts(df: DataFrame, columns: Mapping[str, tuple[str, float, float, list[Range]]], depth: int = DEPTH) -> dict[str, list[Cells]]:
+    """The Cells of each of a column's ranges of positions (disjoint, of one width), for all columns in one job."""
+    cells, parts = [], {}
+    for c, (kind, lo, hi, ranges) in columns.items():
+        starts, width = sorted(p for p, _ in ranges), ranges[0][1] - ranges[0][0]
+        parts[c] = n = max(2, min(1 << depth, 1 << (CELLS // len(ranges)).bit_length() - 1))
+        x = X.to_number(F.col(f"`{c}`"), kind).cast("double")
+        last = float(1 << DEPTH)
+        at = F.least(F.greatest((x - F.lit(lo)) / F.lit(hi - lo) * last, F.lit(0.0)), F.lit(math.nextafter(last, 0.0)))
+        k = X.count_at_or_below(at, starts) - 1
+        start = X.lookup(F.greatest(k, F.lit(0)), starts)
+        cell = F.least(F.greatest(F.floor((at - start) / F.lit(width) * n), F.lit(0)), F.lit(n - 1)).cast("int")
+        inside = ~F.isnan(x) & (k >= 0) & (at < start + F.lit(width))
+        cells.append(F.struct(F.lit(c).alias("c"), F.when(inside, k).alias("k"), cell.alias("cell"), at.alias("at")))
+    rows = df.select(F.explode(F.array(*cells)).alias("p")).where("p.k is not null").groupBy("p.c", "p.k", "p.cell").agg(F.count(F.lit(1)).alias("n"), F.min("p.at").alias("least"), F.max("p.at").alias("most")).collect()
+    counts = {c: [[0] * parts[c] for _ in ranges] for c, (_, _, _, ranges) in columns.items()}
+    ends: dict[str, list[dict[int, Range]]] = {c: [{} for _ in ranges] for c, (_, _, _, ranges) in columns.items()}
+    for r in rows:
+        counts[r["c"]][r["k"]][r["cell"]] = r["n"]
+        ends[r["c"]][r["k"]][r["cell"]] = (r["least"], r["most"])
+    out = {}
+    for c, (_, _, _, ranges) in columns.items():
+        place = {p: k for k, p in enumerate(sorted(p for p, _ in ranges))}
+        out[c] = [cells_of(p, (q - p) / parts[c], counts[c][place[p]], ends[c][place[p]]) for p, q in ranges]
+    return out

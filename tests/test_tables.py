@@ -121,3 +121,28 @@ def test_entry_works_without_the_llm_folder(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() == 1000 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def _reference_edges(x, low, high, bins):
+    """Every leaf is split at its midpoint while it holds over n / bins rows, first in, first out, up to ``bins`` leaves."""
+    queue, leaves = [(low, high, x)], [high]
+    while queue:
+        a, b, own = queue.pop(0)
+        if len(own) > len(x) / bins and len(leaves) + len(queue) + 1 <= bins:
+            mid = a + (b - a) / 2
+            queue += [(a, mid, own[own < mid]), (mid, b, own[own >= mid])]
+        else:
+            leaves.append(a)
+    return sorted(leaves)
+
+
+@pytest.mark.parametrize("mass", [0, 2000])
+def test_trees_of_skewed_columns_go_below_the_first_count(spark, mass):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.exp(rng.normal(5, 2, 4000)), rng.uniform(7.3e8, 7.3e8 + 40, 1000), np.full(mass, 123.456)])
+    df = spark.createDataFrame([(float(v), float(v) / 2) for v in x], "x double, y double")
+    b = TableBinner("priv-tree", 64, None, {"x": {"lower": 0, "upper": 1e9}, "y": {"lower": 0, "upper": 1e9}}).fit(df)
+    for c, own in (("x", x), ("y", x / 2)):
+        want = _reference_edges(own, 0.0, 1e9, 64)
+        assert len(b.numeric[c].edges) == len(want) and np.allclose(b.numeric[c].edges, want, rtol=1e-12, atol=1e-9)
+        assert min(np.diff(want)) < 1e9 / 4096
