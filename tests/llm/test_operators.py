@@ -188,15 +188,6 @@ def test_embedding_links_against_all_pairs(spark):
         assert all(got[k]["n_links"] == 0 and got[k]["component_id"] == k for k in range(900, 905))
 
 
-def test_pages_keep_the_article_only(spark):
-    page = "<html><head><title>t</title><style>p{}</style></head><body><nav>menu</nav><div class='ad'>buy</div><article><h1>Head &amp; tail</h1><p><b>one<br><p>two\n  x</p><div class=comments>no</div><script>var a='</p>'</script></article><aside>s</aside><div id='cookie-notice'>c</div><footer>f</footer></body>"
-    assert pages.walk(page) == ["Head & tail", "one", "two x"]
-    assert pages.walk("") == [] and pages.walk("plain &lt; text") == ["plain < text"]
-    rows = [(k, f"https://h.example/{k}", f"<body><div class=top>Same words on all pages</div><div class=main><p>Text {k} of its own</p></div></body>") for k in range(12)] + [(99, None, None)]
-    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3] == "Text 3 of its own" and got[99] == ""
-
-
 def test_edge_rows_and_empty_tables(spark):
     path = public_tokenizers.path(queries.VOCABULARY)
     model, judge = langid.fit([("the and of", "en"), ("der die das", "de")] * 20), quality.fit([("good text here.", 1), ("BAD!! BAD!!", 0)] * 5)
@@ -309,20 +300,3 @@ def test_labelled_texts_are_fitted_whole(spark):
     model = quality.fit(quality.sample(spark.createDataFrame(rows, "doc_id long, text string"), labels))
     scored = model.score([t for _, t in rows[40:]])
     assert all((s >= quality.ACCEPT) == (k % 2 == 0) for k, s in enumerate(scored))
-
-
-def _extracted(spark, bodies):
-    rows = [(k, f"https://h.example/{k}", f"<body>{b}</body>") for k, b in enumerate(bodies)]
-    return [r["text"] for r in sorted(pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r["page_id"])]
-
-
-def test_a_repeated_sibling_does_not_take_the_text_with_it(spark):
-    got = _extracted(spark, [f"<div class=main><p>Text {k} of its own</p><p>More {k}</p><p>Thanks for reading</p></div>" for k in range(12)])
-    assert got == [f"Text {k} of its own\n\nMore {k}" for k in range(12)]
-
-
-def test_copies_of_a_page_count_once(spark):
-    body = lambda k: f"<div class=top>Same words</div><div class=main><p>Text {k} of its own</p></div>"
-    own = [0] * 90 + list(range(1, 11))
-    assert _extracted(spark, [body(k) for k in own]) == [f"Text {k} of its own" for k in own]
-    assert _extracted(spark, [body(0)] * 20) == ["Same words\n\nText 0 of its own"] * 20
