@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marginalia.llm import bpe, chat, decontaminate, embed, langid, lines, pages, quality, queries, secrets, simhash
+from marginalia.llm import bpe, chat, decontaminate, langid, lines, pages, quality, queries, secrets, simhash
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -162,32 +162,6 @@ def test_language_and_quality_on_held_out_rows(spark):
     assert np.mean([s for s, y in scored if y]) > 0.6
 
 
-def test_benchmark_passages_are_found(spark):
-    bench = queries.table(spark, SMALL, "benchmark")
-    docs = queries.table(spark, SMALL, "documents")
-    items = {r["item_id"]: r["text"] for r in bench.collect()}
-    want = {(r["doc_id"], i) for r in docs.collect() for i, t in items.items() if t in (r["text"] or "")}
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, bench).collect()}
-    assert want == got
-
-
-def test_embedding_links_against_all_pairs(spark):
-    rng = np.random.default_rng(4)
-    centres = rng.normal(size=(30, 32))
-    x = np.concatenate([c + rng.normal(size=(12, 32)) * 0.12 for c in centres])
-    x = np.concatenate([x, x[:3], rng.normal(size=(40, 32))]).astype(np.float32)
-    rows = [(k, [float(y) for y in v], 0) for k, v in enumerate(x)] + [(900, None, 1), (901, [0.0] * 32, 1), (902, [float("nan")] * 32, 1), (903, [None] * 32, 1), (904, [], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    true = unit @ unit.T >= 0.95
-    np.fill_diagonal(true, False)
-    for cap in (5, 2000):
-        got = {r["vec_id"]: r for r in embed.near_duplicates(df, cap=cap).collect()}
-        links = np.array([got[k]["n_links"] for k in range(len(x))])
-        assert (links <= true.sum(axis=1)).all() and links.sum() >= 0.9 * true.sum()
-        assert all(got[k]["n_links"] == 0 and got[k]["component_id"] == k for k in range(900, 905))
-
-
 def test_edge_rows_and_empty_tables(spark):
     path = public_tokenizers.path(queries.VOCABULARY)
     model, judge = langid.fit([("the and of", "en"), ("der die das", "de")] * 20), quality.fit([("good text here.", 1), ("BAD!! BAD!!", 0)] * 5)
@@ -205,7 +179,6 @@ def test_edge_rows_and_empty_tables(spark):
         assert simhash.near_duplicates(docs).count() == len(rows)
         assert {r["doc_id"] for r in decontaminate.find(docs, bench).collect()} == ({5} if rows else set())
     assert langid.fit([]).predict("abc") == ("und", 0.0, True) and model.predict("123 !")[0] == "und"
-    assert embed.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert decontaminate.find(_docs(spark, EDGE), bench.where("false")).count() == 0
 
 
@@ -258,14 +231,6 @@ def test_constants_added_to_themselves_stay_one_span():
     assert [x[:3] for x in secrets.spans(text) if x[0] == "literal"] == [("literal", 9, 22)]
 
 
-def test_a_benchmark_of_many_indexes_finds_the_same(spark, monkeypatch):
-    docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
-    found = lambda: {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, items).collect()}
-    whole = found()
-    monkeypatch.setattr(decontaminate, "CHARS_IN_INDEX", 3000)
-    assert whole and found() >= whole
-
-
 def test_a_group_around_the_least_similarity_stays_whole(spark):
     """Every candidate pair of 0.8 or more, whatever its estimate, links its texts."""
     rng = np.random.default_rng(8)
