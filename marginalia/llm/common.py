@@ -75,16 +75,41 @@ def by_group(df: DataFrame, key: str, fn: Callable[[pa.Table], Iterator[pa.Recor
     return df.select(columns).repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
+#: Rows of a few numbers that are broadcast at most.
+ROWS_BROADCAST = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """The rows of df, for a join: they are counted, and broadcast if they are ROWS_BROADCAST at most."""
+    df = checkpoint(df)
+    return F.broadcast(df) if df.count() <= ROWS_BROADCAST else df
+
+
+#: Buckets that hot_keys counts first: the most rows that one of its tasks sends.
+BUCKETS = 1 << 18
+
+
+def hot_keys(df: DataFrame, key: str, cap: int) -> DataFrame:
+    """(key, _n) of the values of ``key`` (a well mixed long) that over ``cap`` rows have.
+
+    Rows are counted by bucket of their key first, which a task sums up before it sends, so that most
+    keys, which are rare, are never moved for their count.
+    """
+    bucket = F.pmod(F.shiftright(F.col(key), 20), F.lit(BUCKETS)).cast("int")
+    full = df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > cap).select("_b")
+    within = df.select(key, bucket.alias("_b")).join(F.broadcast(full), "_b", "left_semi")  # BUCKETS rows at most
+    return small_side(within.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap))
+
+
 def hot_pairs(df: DataFrame, key: str, node: str, cap: int) -> DataFrame:
     """Bound the groups of ``key``: a group of over ``cap`` rows is cut into chunks by a hash of
     ``node``, and each row goes to every pair of chunks that its own chunk is in. Adds the columns
     chunk, lo and hi and replaces the key by one of the (group, lo, hi); all pairs of rows still
     meet in some group of 2 * cap rows or so.
     """
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap)
     k = F.coalesce(F.ceil(F.col("_n") / F.lit(float(cap))).cast("int"), F.lit(1))
     return (
-        df.join(sizes, key, "left")
+        df.join(hot_keys(df, key, cap), key, "left")
         .withColumn("_k", k)
         .withColumn("chunk", F.pmod(F.xxhash64(F.lit(17), F.col(node)), F.col("_k")).cast("int"))
         .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))

@@ -77,7 +77,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embed.near_duplicates(table(spark, sf_dir, "embeddings"))
-    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
