@@ -1,10 +1,12 @@
 """Secret scanning by assignment-aware lexing.
 
-A text is lexed into identifiers, string and bare literals and operators. An identifier followed by
-an assignment sign and a value expression gives a name-literal pair; names that were given a literal
-before pass it on when they are assigned to other names (constant propagation, also through +).
-A literal is scored by how sensitive the names it reaches are and by how random it looks; those that
-reach the threshold become spans of kind "literal". The base patterns' spans are always kept.
+At each assignment sign the name before it (an identifier or a quoted key) is read backwards and the value
+expression behind it is lexed: strings (over line ends if triple-quoted), bare and block literals, names, calls,
+brackets and plus signs, also on the lines after. That gives name-literal pairs; names that were given a
+literal before pass it on when they are assigned to other names (constant propagation, also through +).
+The constants form a graph without cycles, along which the sensitivity of names is passed down to the
+literals; those that are sensitive and random enough become spans of kind "literal". The base patterns'
+spans are always kept. Time and memory are in proportion to the text's length.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,16 +34,22 @@ SENSITIVE = {
     "api_key": 1.0, "access_key": 1.0, "accesskey": 1.0, "private_key": 1.0, "privatekey": 1.0, "credential": 0.9,
     "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "signature": 0.5, "salt": 0.4, "key": 0.4,
 }
-THRESHOLD = 0.6
+THRESHOLD, LEAST_WEIGHT = 0.6, 0.5
 
-#: A line can only hold an assignment if it has one of these signs.
-SIGN = re.compile(r"[^\n]*[=:][^\n]*")
-LEX = re.compile(
-    r"""(?P<comment>(?:\#|//)[^\n]*)|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<assign>:=|=>|\+=|(?<![=!<>])=(?!=)|:(?!/))"""
-    r"""|(?P<name>[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*)|(?P<plus>\+)|(?P<bare>[A-Za-z0-9+/_.=-]{8,})|(?P<other>\S)""",
+SIGN = re.compile(r":=|=>|\+=|(?<![=!<>:])=(?!=)|:(?![/:])")
+TOKEN = re.compile(
+    r"""(?P<space>[^\S\n]++)|(?P<line>\n)|(?P<quote>\"{3}|'{3}|["'`])|(?P<comment>\#|//)|(?P<assign>:=|=>|\+=|(?<![=!<>:])=(?!=)|:(?![/:]))"""
+    r"""|(?P<name>[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+)*+)|(?P<bare>[A-Za-z0-9+/_.=-]{8,}+)|(?P<other>\S)""",
     re.A,
 )
-BARE = re.compile(r"\x20*([A-Za-z0-9+/_.=@$!%*-]{8,})")
+BARE = re.compile(r"\x20*+([A-Za-z0-9+/_.=@$!%*-]{8,}+)")
+IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*+(?:\.[A-Za-z_$][\w$]*+)*+", re.A)
+INSIDE = {q: re.compile(rf"(?:[^{q}\\\n]|\\[\s\S])*+") for q in "\"'"} | {"`": re.compile(r"(?:[^`\\]|\\[\s\S])*+")}
+BLOCK = re.compile(r"\x20*+[|>][-+]?+[^\S\n]*+\n")
+BLOCK_LINE = re.compile(r"([^\S\n]++)([^\s][^\n]*+)\n?+")
+#: The first arguments of calls that look like names of variables or settings are no values.
+SETTING = re.compile(r"[A-Z][A-Z0-9]*+(?:_[A-Z0-9]++)++")
+JOINS = {"or", "and", "if", "else", "await", "new"}
 
 
 def sensitivity(name: str) -> float:
@@ -61,46 +70,153 @@ def randomness(value: str) -> float:
     return min(1.0, entropy / math.log2(min(n, 32))) * min(1.0, 0.4 + 0.3 * (classes - 1) + 0.01 * max(0, n - 12))
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """(name, spans of the literals it was given), constants propagated, in the order of the text."""
-    known: dict[str, list[tuple[int, int]]] = {}
-    for line in SIGN.finditer(text):
-        base, tokens, at = line.start(), [], 0
-        source = line.group()
-        while m := LEX.search(source, at):
+@dataclass(slots=True)
+class Constant:
+    """A name at one of its assignments: the literals in its value, and the constants that its value names."""
+
+    name: str
+    literals: list[tuple[int, int]] = field(default_factory=list)
+    parts: list[int] = field(default_factory=list)
+
+
+def _target(text: str, sign: int, least: int) -> str:
+    """The name before an assignment sign, not read back beyond ``least``."""
+    end = sign
+    while end > least and text[end - 1] in " \t":
+        end -= 1
+    if end > least and text[end - 1] in "\"'`":
+        start = text.rfind(text[end - 1], least, end - 1)
+        return text[start + 1 : end - 1] if start >= 0 and "\n" not in text[start:end] else ""
+    start = end
+    while start > least and (text[start - 1].isalnum() or text[start - 1] in "_$.-"):
+        start -= 1
+    return text[start:end].strip(".-")
+
+
+def _value(text: str, at: int, known: dict[str, int], unclosed: dict[str, int], out: Constant) -> tuple[int, list[str]]:
+    """Read a value expression from ``at`` into ``out``; (place where it ends, further names that are assigned in a chain)."""
+    if m := BLOCK.match(text, at):
+        at = m.end()
+        while m := BLOCK_LINE.match(text, at):
+            out.literals.append((m.start(2), m.start(2) + len(m[2].rstrip())))
             at = m.end()
-            kind = m.lastgroup
-            if kind == "comment" and m.group()[0] == "/" and m.start() and source[m.start() - 1] == ":":
-                continue  # the slashes of an address
-            if kind == "comment" and not any(x[0] == "assign" for x in tokens):
-                at = m.start() + 1  # prose, or a heading: read on behind the sign
-                continue
-            tokens.append((kind, m.group(), base + m.start(), base + m.end()))
-            if kind == "assign" and (b := BARE.match(source, at)):
-                value = b.group(1)
-                if not re.fullmatch(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*", value, re.A):
-                    tokens.append(("bare", value, base + b.start(1), base + b.end(1)))
-                    at = b.end()
-        for k, (kind, *_rest) in enumerate(tokens):
-            if kind != "assign" or k == 0:
+        return at, []
+    chain: list[str] = []
+    depth, open_end, name = 0, True, ""  # open_end: the expression goes on behind a line end
+    if (m := BARE.match(text, at)) and not IDENTIFIER.fullmatch(m[1]):
+        out.literals.append(m.span(1))
+        at, open_end = m.end(), False
+    while m := TOKEN.match(text, at):
+        kind, start = m.lastgroup, at
+        if kind == "space":
+            at = m.end()
+            continue
+        if name and kind != "assign":  # a name that was held back until it is known that it is no target
+            called = text.startswith("(", start) and text[start - 1] == name[-1]
+            prefix = kind == "quote" and len(name) <= 2 and text[start - 1] == name[-1]
+            if name in known:
+                out.parts.append(known[name])
+            elif not (called or prefix or depth or name in JOINS):
+                return start, chain
+            open_end, name = name in JOINS, ""
+        at = m.end()
+        if kind == "line":
+            if not (depth or open_end):
+                follows = TOKEN.match(text, at)
+                while follows and follows.lastgroup == "space":
+                    at = follows.end()
+                    follows = TOKEN.match(text, at)
+                if not follows or follows.group() not in "+.":
+                    return at, chain
+        elif kind == "quote":
+            quote = m.group()
+            if start < unclosed.get(quote, -1):
+                if not depth:
+                    return at, chain
                 continue
-            before = tokens[k - 1]
-            name = before[1] if before[0] == "name" else before[1][1:-1] if before[0] == "string" else ""
-            if not name or len(name) > 80:
+            if len(quote) == 3:
+                end = text.find(quote, at)
+            else:
+                end = INSIDE[quote].match(text, at).end()
+                if not text.startswith(quote, end):
+                    unclosed[quote], end = end, -1
+            if end < 0:
+                unclosed[quote] = max(unclosed.get(quote, -1), len(text) if len(quote) == 3 else at)
+                return at, chain
+            if not (depth and SETTING.fullmatch(text, at, end)):
+                out.literals.append((at, end))
+            at, open_end = end + len(quote), False
+        elif kind == "comment":
+            if not depth:
+                return at, chain  # what a comment says is read by itself
+            end = text.find("\n", at)
+            at = len(text) if end < 0 else end
+        elif kind == "assign":
+            if name and not (depth or out.literals or out.parts) and m.group() != ":":
+                chain.append(name)
+                name, open_end = "", True
+                if (b := BARE.match(text, at)) and not IDENTIFIER.fullmatch(b[1]):
+                    out.literals.append(b.span(1))
+                    at, open_end = b.end(), False
                 continue
-            spans: list[tuple[int, int]] = []
-            for kind2, value, start, end in tokens[k + 1 :]:
-                if kind2 == "string":
-                    spans.append((start + 1, end - 1))
-                elif kind2 == "bare":
-                    spans.append((start, end))
-                elif kind2 == "name" and value in known:
-                    spans += known[value]
-                elif kind2 != "plus":
-                    break
-            if spans:
-                known[name] = spans = list(dict.fromkeys(spans))  # x = x + x adds nothing
-                yield name, spans
+            return start, chain
+        elif kind == "name":
+            name = m.group()
+        elif kind == "bare":
+            out.literals.append((start, at))
+            open_end = False
+        else:
+            sign = m.group()
+            if sign in "([":
+                depth, open_end = depth + 1, False
+            elif sign in ")]":
+                if not depth:
+                    return at, chain
+                depth, open_end = depth - 1, False
+            elif sign in "+|?\\":
+                open_end = True
+            elif not depth or sign in "{};":
+                return start if sign == "{" else at, chain
+    if name in known:
+        out.parts.append(known[name])
+    return at, chain
+
+
+def constants(text: str) -> list[Constant]:
+    """The assignments of a text in order; parts point to earlier ones."""
+    found: list[Constant] = []
+    known: dict[str, int] = {}
+    unclosed: dict[str, int] = {}
+    at = last = 0
+    while m := SIGN.search(text, at):
+        at = m.end()
+        name = _target(text, m.start(), last)
+        last = at
+        if not name:
+            continue
+        one = Constant(name)
+        if m.group() == "+=" and name in known:
+            one.parts.append(known[name])
+        at, chain = _value(text, at, known, unclosed, one)
+        if one.literals or one.parts:
+            for given in (name, *chain):
+                known[given] = len(found)
+                found.append(Constant(given, [], [len(found) - 1]) if given != name else one)
+    return found
+
+
+def literals(text: str) -> dict[tuple[int, int], float]:
+    """Spans of literals with the greatest sensitivity of the names that they reach, constants propagated."""
+    found = constants(text)
+    weights = [sensitivity(c.name) for c in found]
+    out: dict[tuple[int, int], float] = {}
+    for k in range(len(found) - 1, -1, -1):  # later constants pass their weight on to those that they are made of
+        for part in found[k].parts:
+            weights[part] = max(weights[part], weights[k])
+        if weights[k]:
+            for span in found[k].literals:
+                out[span] = max(out.get(span, 0.0), weights[k])
+    return out
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -112,12 +228,9 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
     found += [("hex", *m.span(), 1.0) for m in HEX.finditer(text)]
     added: dict[tuple[int, int], float] = {}
     if "=" in text or ":" in text:
-        for name, literals in pairs(text):
-            if weight := sensitivity(name):
-                for start, end in literals:
-                    score = math.sqrt(weight * randomness(text[start:end]))
-                    if weight >= 0.5 and score >= THRESHOLD:
-                        added[start, end] = max(score, added.get((start, end), 0.0))
+        for (start, end), weight in literals(text).items():
+            if weight >= LEAST_WEIGHT and (score := math.sqrt(weight * randomness(text[start:end]))) >= THRESHOLD:
+                added[start, end] = score
     found += [("literal", s, e, score) for (s, e), score in added.items()]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
@@ -125,7 +238,8 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end, score>>) of every whole text.
 
-    A null or empty text has no spans. Repeated rows stay repeated; an empty table gives none.
+    A null or empty text has no spans. Repeated rows stay repeated, a null doc_id stays null, other
+    columns (whatever their names) are not read; an empty table gives none.
     """
     shape = "doc_id long, spans array<struct<kind:string,start:int,end:int,score:double>>"
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
