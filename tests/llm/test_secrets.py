@@ -52,7 +52,7 @@ def test_base_secrets_against_the_plain_patterns(spark):
         (f'p = "{X}"  # token: "{Y}"', [Y]),
         (f'token += "{X}"', [X]),
         (f'colour = "{X}"', []),
-        (f'pw = "{X}"\npw = "plain words"\ndb.password = pw', []),
+        (f'pw = "{X}"\npw = "plain words"\ndb.password = pw', ["plain words"]),
         ("The password is strong: never share it.", []),
         ("see https://password.example/token", []),
         ("password = 'aaaaaaaaaaaaa'", []),
