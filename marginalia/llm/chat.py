@@ -56,9 +56,10 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     """One row for each conversation: (conv_id, formatted, loss, attachments, n_turns, n_media_tokens).
 
     loss: the runs under the loss mask, as (turn, start, length) in code points from the turn's own
-    mark; it covers the bodies of the ``learn`` role. Turns are in order of turn, role and text; ties
-    of all three are alike, repeats stay. A null turn comes first, a null role or text counts as empty,
-    null ids make a conversation. Turns are formatted before they are moved, and joined in blocks of
+    mark; it covers the bodies of the ``learn`` role. Turns are in order of turn, role and text (as it is
+    said, not as it is escaped); ties of all three are alike, repeats stay. A null turn comes first, a null
+    role or text counts as empty, null ids make a conversation. Other columns, whatever their names, are
+    not read. Turns are formatted before they are moved, and joined in blocks of
     TURNS_IN_BLOCK, so that a long conversation does not meet in one task row by row. An empty table
     gives none.
     """
@@ -79,7 +80,11 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
         ).alias("t"),
     )
     block = F.floor(F.col("t.turn") / TURNS_IN_BLOCK)
-    blocks = one.groupBy("conv_id", block.alias("block")).agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    # ties are in the order of what is said, which is read back from its escapes instead of being moved as well
+    said = lambda t: unescape(F.replace(F.substring_index(t["s"], BODY, -1), F.lit(END), F.lit("")))
+    keyed = F.transform("ts", lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), said(t).alias("said"), t.alias("t")))
+    blocks = one.groupBy("conv_id", block.alias("block")).agg(F.collect_list("t").alias("ts"))
+    blocks = blocks.select("conv_id", "block", F.transform(F.sort_array(keyed), lambda k: k["t"]).alias("ts"))
     chats = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "ts"))).alias("bs"))
     ts = chats.select("conv_id", F.flatten(F.transform("bs", lambda b: b["ts"])).alias("ts"))
     runs = F.filter(F.transform("ts", lambda t, i: F.struct(i.alias("turn"), t["start"].alias("start"), t["length"].alias("length"))), lambda r: r["start"].isNotNull())

@@ -20,14 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores behind it as keep it apart from the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only where it is unset (tests) one is made."""
+    """The folder that spark.checkpoint.dir names, or the context's own. Where both are unset one is made if the
+    executors are threads of this machine, as in tests; on a cluster that is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     made = sc._jsc.sc().getCheckpointDir()
     if not made.isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         made = sc._jsc.sc().getCheckpointDir()
     return made.get()

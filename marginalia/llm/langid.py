@@ -1,14 +1,14 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax.
 
 A text is its hashed character 2- to 4-grams, lower-cased, with every non-letter a border. Training
-(numpy, plain SGD, on the driver) uses a bounded sample of labelled rows. Averaging and the linear layer commute, so
-a prediction sums one row of (embedding x weights) for each n-gram of the whole text.
+(numpy, plain SGD, on the driver) uses a bounded sample of labelled rows, as counts of the n-grams of their
+whole texts; pieces of PIECE n-grams, drawn from all of a text, teach short texts too. Averaging and the
+linear layer commute, so a prediction sums one row of (embedding x weights) for each n-gram of the whole text.
 """
 
 from __future__ import annotations
 
 import sys
-import unicodedata  # noqa: F401  (str.isalpha follows this table)
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -18,9 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that training takes of each language, and characters of one: the documented bound of the sample.
-ROWS_PER_LANG, CHARS_PER_ROW = 400, 4000
+#: About how many rows training takes of each language, and how many languages (the most frequent ones) it learns at
+#: most: the documented bounds of the sample, which hold what the driver gets, BUCKETS counts a row at most.
+ROWS_PER_LANG, LANGS = 400, 400
 BUCKETS, DIMENSIONS, EPOCHS, RATE, PIECE = 1 << 15, 16, 12, 2.0, 120
+#: Pieces of the longest texts.
+PIECES = 10
 
 
 @cache
@@ -74,20 +77,29 @@ class Model:
         return self.langs[k], float(p[k]), bool(p[k] < self.reject)
 
 
-def fit(rows: list[tuple[str, str]], seed: int = 5) -> Model:
-    """Train on (text, lang) rows; one in five is held back for the temperature and the threshold of rejection."""
-    rows = [(t, lang) for t, lang in rows if t and lang]
-    langs = sorted({lang for _, lang in rows})
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def counts_of(text: str) -> Counts:
+    """(buckets, counts) of the n-grams of a whole text."""
+    return np.unique(grams(text), return_counts=True)
+
+
+def fit(rows: list[tuple[Counts | str, str]], seed: int = 5) -> Model:
+    """Train on (text or its counts, lang) rows; one in five is held back for the temperature and the threshold of rejection."""
+    counted = [(counts_of(t) if isinstance(t, str) else t, lang) for t, lang in rows if t and lang]
+    counted = [(c, lang) for c, lang in counted if len(c[0])]
+    langs = sorted({lang for _, lang in counted})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    rows = [rows[k] for k in rng.permutation(len(rows))]
-    held = rows[: len(rows) // 5]
+    counted = [counted[k] for k in rng.permutation(len(counted))]
+    held = counted[: len(counted) // 5]
+    draw = lambda c, n: rng.choice(c[0], n, p=c[1] / c[1].sum())
     pieces, target = [], []
-    for text, lang in rows[len(rows) // 5 :]:
-        g = grams(text)
-        for k in range(0, min(len(g), 40 * PIECE), PIECE * 4):  # short pieces teach short texts too
-            pieces.append(rng.choice(g, PIECE))
+    for c, lang in counted[len(counted) // 5 :]:
+        for _ in range(min(PIECES, 1 + int(c[1].sum()) // (4 * PIECE))):
+            pieces.append(draw(c, PIECE))
             target.append(langs.index(lang))
     emb = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
     weights, bias = rng.normal(0, 0.1, (DIMENSIONS, len(langs))), np.zeros(len(langs))
@@ -114,11 +126,10 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> Model:
                 np.add.at(emb, x[own].ravel(), -rate * PIECE * np.repeat(back, PIECE, axis=0))
     model = Model(langs, (emb @ weights).astype(np.float32), bias, 1.0, 0.0)
     z, y = [], []
-    for text, lang in held:
-        for part in (text, text[:200], text[-60:]):
-            if (v := model.logits(part)) is not None:
-                z.append(v)
-                y.append(langs.index(lang))
+    for c, lang in held:
+        z.append(c[1] @ model.table[c[0]] / c[1].sum() + bias)
+        z += [model.table[draw(c, n)].mean(axis=0) + bias for n in (4 * PIECE, PIECE)]
+        y += [langs.index(lang)] * 3
     if z:
         z, y = np.array(z), np.array(y)
 
@@ -138,27 +149,37 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> Model:
     return model
 
 
-def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS_PER_LANG) -> list[tuple[str, str]]:
-    """About ``rows`` rows of each language, chosen by a hash of the key, with the counts pre-aggregated.
+def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS_PER_LANG) -> list[tuple[Counts, str]]:
+    """(counts of the whole text, lang) of about ``rows`` rows of each of the LANGS most frequent languages, chosen by a hash
+    of key and text, repeats once.
 
-    The number of languages is bounded by the label set; texts are cut for training only.
+    The n-grams are counted on the executors; no text leaves them. Null languages and texts teach nothing.
     """
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = labelled.groupBy(F.col(lang).alias("lang")).count().collect()
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
+    counts = labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGS).collect()
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, rows / r["count"]))])
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(29), F.col(key)), 11) / float(1 << 53)
-    chosen = labelled.where(draw < share[F.col(lang)])
-    cut = F.substring(F.col(text), F.greatest(F.lit(1), F.length(text) / 2 - CHARS_PER_ROW // 2).cast("int"), F.lit(CHARS_PER_ROW))
-    picked = chosen.select(F.xxhash64(F.lit(29), F.col(key)).alias("h"), F.col(key).alias("k"), cut.alias("t"), F.col(lang).alias("l"))
-    return [(r["t"], r["l"]) for r in sorted(picked.limit(3 * rows * len(counts)).collect(), key=lambda r: (r["h"], r["k"], r["t"]))]
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, rows / r["count"]))])
+    h = F.xxhash64(F.lit(29), "k", "t")
+    chosen = labelled.withColumn("h", h).where(F.shiftrightunsigned("h", 11) / float(1 << 53) < share[F.col("l")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [counts_of(t.as_py()) for t in batch.column(2)]
+            at, n = ([x[k].astype("<i4").tobytes() for x in made] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["h", "l", "at", "n"])
+
+    made = chosen.select("h", "l", "t").mapInArrow(run, "h long, l string, at binary, n binary").dropDuplicates(["h", "l"])
+    got = sorted(made.collect(), key=lambda r: (r["h"], r["l"]))
+    return [((np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i4")), r["l"]) for r in got]
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected) from the whole text alone.
 
-    A null text or one without a letter is "und" with score 0. Repeated rows stay repeated.
+    A null text or one without a letter is "und" with score 0. Equal scores go to the language first in
+    order. Repeated rows stay repeated, a null doc_id stays null, other columns (whatever their names)
+    are not read; an empty table gives none. Texts of any length are read whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats, whatever the input
 

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 4000
 BUCKETS, DIMENSIONS, NEIGHBOURS, BLOCK = 1 << 13, 48, 15, 256
 ACCEPT = 0.3
+#: Cosines this close are equal: what shares a block changes the last bits of a product.
+TIE = 1e-6
 
 
 def _shape_table() -> np.ndarray:
@@ -89,10 +91,12 @@ class Model:
             own = self.embed(np.stack([features(t) for t in texts[k : k + BLOCK]]))
             cosine = own @ self.vectors.T
             near = min(NEIGHBOURS, cosine.shape[1])
-            at = np.argpartition(-cosine, near - 1, axis=1)[:, :near]
-            weight = np.maximum(np.take_along_axis(cosine, at, axis=1), 0) ** 8 + 1e-9
-            vote = (weight * self.labels[at]).sum(axis=1) + 0.2 * self.prior
-            out[k : k + BLOCK] = vote / (weight.sum(axis=1) + 0.2)
+            least = -np.partition(-cosine, near - 1, axis=1)[:, near - 1 : near]
+            # all labelled rows as near as the last neighbour vote, so that ties have no order
+            row, at = np.nonzero(cosine >= least - TIE)
+            weight = np.maximum(cosine[row, at], 0).astype(np.float64) ** 8 + 1e-9
+            vote = np.bincount(row, weight * self.labels[at], len(own)) + 0.2 * self.prior
+            out[k : k + BLOCK] = vote / (np.bincount(row, weight, len(own)) + 0.2)
         return np.clip(out, 0.0, 1.0)
 
 
@@ -143,39 +147,42 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[
     """(sparse features of the whole text, label) of up to about ``rows`` labelled rows, chosen by a hash of doc_id
     after counting the labels.
 
-    The features are made on the executors; no text leaves them. A doc_id with several labels counts with each.
+    The features are made on the executors; no text leaves them. A doc_id with several labels or texts counts with
+    each, repeats once.
     """
-    known = labels.select(F.col("doc_id"), F.col("quality")).where("quality is not null")
+    known = labels.select(F.col("doc_id"), F.col("quality").cast("long").alias("quality")).where("quality is not null").distinct()
     n = known.count()
     if not n:
         return []
     h = F.xxhash64(F.lit(31), F.col("doc_id"))
     part = known.where(F.shiftrightunsigned(h, 11) / float(1 << 53) < min(1.0, rows / n))
-    found = docs.select("doc_id", "text").join(F.broadcast(part), "doc_id").select("text", h.alias("h"), F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("long").alias("quality"))
+    found = docs.select("doc_id", "text").join(F.broadcast(part), "doc_id").select("text", h.alias("h"), F.col("doc_id").cast("long").alias("doc_id"), "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, counts = zip(*[sparse(x.as_py()) for x in batch.column(0)], strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(at, pa.binary()), pa.array(counts, pa.binary())], ["h", "doc_id", "quality", "at", "counts"])
 
-    made = found.mapInArrow(run, "h long, doc_id long, quality long, at binary, counts binary").limit(2 * rows).collect()
+    made = found.mapInArrow(run, "h long, doc_id long, quality long, at binary, counts binary").distinct().collect()
     made.sort(key=lambda r: (r["h"], r["doc_id"], bytes(r["at"]), bytes(r["counts"])))
     return [((bytes(r["at"]), bytes(r["counts"])), int(r["quality"])) for r in made]
 
 
-def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs with the column score (0 to 1, higher: label 1 likelier) from the whole text alone.
+def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", score: str = "score") -> DataFrame:
+    """The rows of docs with a column ``score`` (0 to 1, higher: label 1 likelier) from the whole text alone.
 
-    Null and empty texts are scored as empty; repeated rows stay repeated; other columns are kept.
+    Null and empty texts are scored as empty; repeated rows stay repeated; other columns are kept, and one
+    that has the name of the score is replaced. Labelled rows as near as the last neighbour all vote. An
+    empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != "score"]
+    names = [c for c in docs.columns if c.lower() != score.lower()]
     at = names.index(text)
-    shape = docs.select(names).schema.add("score", "double")
+    shape = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add(score, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = shared.value.score(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*names, "score"])
+            found = shared.value.score(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*names, score])
 
-    return docs.select(names).mapInArrow(run, shape)
+    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, shape)
