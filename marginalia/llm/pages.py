@@ -38,6 +38,8 @@ from marginalia.llm.common import checkpoint
 LEAST_PAGES, SHARE, FLOOR, STYLES_WHOLE = 8, 0.15, 0.01, 16
 #: Values that are broadcast at most (20 bytes each); beyond, parsed pages are joined with those of their tree.
 VALUES_BROADCAST = 1_000_000
+#: Hosts of their own tree that are broadcast at most (8 bytes each).
+HOSTS_BROADCAST = 1_000_000
 SALTS = 16
 PAGE, STYLE, PLACE, BLOCK = range(4)
 #: Key of the row that marks a tree of enough pages.
@@ -319,7 +321,13 @@ def importances(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     rows = checkpoint(pages.select("url", "html").mapInArrow(run, "host long, template long, page long, kind long, node long, shown long"))
     large = rows.where(F.col("kind") == PAGE).select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     large = large.where(F.col("n") >= least_pages).select("host", F.lit(True).alias("large"))
-    placed = rows.join(large, "host", "left").withColumn("site", F.when(F.col("large"), F.col("host")).otherwise(F.col("template")))
+    large = checkpoint(large)
+    if large.count() <= HOSTS_BROADCAST:
+        placed = rows.join(F.broadcast(large), "host", "left")
+    else:  # hot hosts over SALTS parts
+        large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        placed = rows.withColumn("salt", F.pmod("shown", F.lit(SALTS)).cast("int")).join(large, ["host", "salt"], "left")
+    placed = placed.withColumn("site", F.when(F.col("large"), F.col("host")).otherwise(F.col("template")))
     what = ["site", "kind", "node", "shown"]
     counts = checkpoint(placed.select(*what, "page").distinct().groupBy(*what).agg(F.count(F.lit(1)).alias("n")).where((F.col("kind") != BLOCK) | (F.col("n") > least_pages**0.5)))
     trees = counts.where((F.col("kind") == PAGE) & (F.col("n") >= least_pages)).select("site", F.lit(TREE).cast("long").alias("key"), F.lit(1.0).alias("value"))

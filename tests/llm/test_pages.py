@@ -78,6 +78,7 @@ def test_too_many_values_for_a_broadcast_give_the_same(spark, monkeypatch):
     df = spark.read.parquet(f"{DATA}/pages.parquet").union(spark.read.parquet(f"{DATA}/pages.parquet").limit(5)).union(_frame(spark, [(None, None, None)]))
     want = sorted(map(str, pages.extract(df).collect()))
     monkeypatch.setattr(pages, "VALUES_BROADCAST", -1)
+    monkeypatch.setattr(pages, "HOSTS_BROADCAST", -1)
     assert sorted(map(str, pages.extract(df).collect())) == want and len(want) == df.count()
 
 
