@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import checkpoint
+from marginalia.llm.common import checkpoint, free_name
 
 LEAST_WORDS = 5
+#: Lines that a broadcast tells of at most: those that make up over one of so many parts of all lines.
+HOT_LINES = 100_000
 #: Bits of the filter that is broadcast (8 MB), whatever the input.
 FILTER_BITS = 1 << 26
 
@@ -30,9 +32,9 @@ def _place(doc_id: Column, line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, line): the trimmed lines that have a word, with their place in the text."""
-    parts = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return parts.select("doc_id", "at", F.trim("line").alias("line")).where("line <> ''")
+    """(doc_id, own, at, line): the trimmed lines that have a word, with their place in the text; own: hash of the text."""
+    parts = docs.select("doc_id", F.xxhash64("text").alias("own"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return parts.select("doc_id", "own", "at", F.trim("line").alias("line")).where("line <> ''")
 
 
 def _keys(line: Column) -> tuple[Column, Column]:
@@ -66,8 +68,9 @@ def _passing(lines: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def earlier_neighbours(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(k, k2, first): for each line text (k and k2: its keys) that has an earlier occurrence of itself or of a
-    line within one word, the place of the earliest such line. docs: (doc_id, text)."""
+    """(k, k2, first, hot): for each line text (k and k2: its keys) that has an earlier occurrence of itself or of a
+    line within one word, the place of the earliest such line; hot: whether it is one of at most HOT_LINES lines
+    that are very common. docs: (doc_id, text)."""
     lines = _lines(docs)
     own = lines.select(*_keys(F.col("line")), _place(F.col("doc_id"), F.col("at")).alias("place"), F.split("line", " ").alias("words"))
     own = own.select("k", "k2", "place", F.when(F.size("words") >= least_words, _halves(F.col("words"))).alias("halves"))
@@ -98,7 +101,9 @@ def earlier_neighbours(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataF
     right = candidates.select(F.col("id").alias("best"), F.col("line").alias("other"), F.col("place").alias("before"))
     near = left.join(right, "best").where(F.col("before") < F.col("place"))
     near = near.where(_within_one(F.split("line", " "), F.split("other", " "))).select("k", "k2", "before")
-    out = checkpoint(texts.join(near, ["k", "k2"], "left").where("copies > 1 or before is not null").select("k", "k2", F.least("place", "before").alias("first")))
+    total = texts.agg(F.sum("copies").alias("n")).first()["n"] or 0
+    hot = (F.col("copies") > total / HOT_LINES) & (F.col("copies") > 1)
+    out = checkpoint(texts.join(near, ["k", "k2"], "left").where("copies > 1 or before is not null").select("k", "k2", F.least("place", "before").alias("first"), hot.alias("hot")))
     keys.unpersist()
     texts.unpersist()
     return out
@@ -125,21 +130,31 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_wor
     A line goes if a line before it (by doc_id, then place) has the same words or, where both have
     ``least_words`` words, differs by one word. Blank lines stay. A null text stays null, with no
     lines; an empty text stays empty. Rows that share a doc_id count as one place: the same line at
-    the same place in both stays in both. Rows without a doc_id come after all others. A text may
-    become empty; its row stays. Other columns are kept; an empty table gives none.
+    the same place in both stays in both. Rows without a doc_id come after all others and count as one
+    place as well. A text may become empty; its row stays. Other columns are kept, whatever their names,
+    but columns n_lines and n_removed are replaced; an empty table gives none.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     first = earlier_neighbours(base, least_words)
-    seen = _lines(base).select("doc_id", "at", *_keys(F.col("line")))
-    gone = seen.join(first, ["k", "k2"]).where(_place(F.col("doc_id"), F.col("at")) > F.col("first"))
-    gone = gone.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(F.struct("at", "k")).alias("_gone"))
-    joined = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_d")), "left")
-    parts = F.split(F.col(text), "\n")
-    numbered = F.transform(parts, lambda x, i: F.struct(i.alias("at"), x.alias("x")))
-    kept = F.filter(numbered, lambda p: ~F.array_contains(F.col("_gone"), F.struct(p["at"].alias("at"), F.xxhash64(F.trim(p["x"])).alias("k"))))
-    new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda p: p["x"]), "\n"))
-    lines = F.coalesce(F.size(parts), F.lit(0))
-    lines = F.when(F.col(text).isNull(), 0).otherwise(lines)
-    after = F.when(F.col("_gone").isNull(), lines).otherwise(F.size(kept))
-    out = joined.withColumn("_new", new).withColumn("n_lines", lines.cast("long")).withColumn("n_removed", (lines - after).cast("long"))
-    return out.withColumn(text, F.col("_new")).select(*docs.columns, "n_lines", "n_removed")
+    hot = F.broadcast(first.where("hot").select("k", "k2", F.col("first").alias("first_hot")))  # HOT_LINES rows at most
+    cold = first.where("not hot").select(F.col("k").alias("dealt"), "k2", "first")
+    seen = _passing(_lines(base).select("doc_id", "own", "at", *_keys(F.col("line"))), first)
+    seen = seen.join(hot, ["k", "k2"], "left")
+    # very common lines need no other row: they are dealt by their places
+    seen = seen.withColumn("dealt", F.when(F.col("first_hot").isNull(), F.col("k")).otherwise(F.xxhash64("doc_id", "own", "at")))
+    met = seen.select("dealt", "k2", "doc_id", "own", "at", "first_hot").join(cold, ["dealt", "k2"], "left")
+    gone = met.where(_place(F.col("doc_id"), F.col("at")) > F.coalesce("first_hot", "first"))
+    d, own, at, new = (free_name([*docs.columns, "n_lines", "n_removed"], x) for x in ("d", "own", "at", "new"))
+    gone = gone.groupBy(F.col("doc_id").alias(d), F.col("own").alias(own)).agg(F.array_sort(F.collect_set("at")).alias(at))
+    body = F.col(f"`{text}`")
+    joined = docs.join(gone, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(body) == F.col(own)), "left")
+    # a letter for each line up to the last that goes: as bytes, so that a line's letter is found at once
+    mask = F.array_join(F.transform(at, lambda x, i: F.concat(F.repeat(F.lit("-"), x - F.coalesce(F.get(at, i - 1), F.lit(-1)) - 1), F.lit("x"))), "").cast("binary")
+    joined = joined.withColumn(at, mask)
+    parts = F.split(body, "\n")
+    kept = F.filter(parts, lambda _, i: F.substring(F.col(at), i + 1, F.lit(1)) != F.lit(b"x"))
+    lines = F.when(body.isNull(), 0).otherwise(F.size(parts))
+    after = F.when(F.col(at).isNull(), lines).otherwise(F.size(kept))
+    joined = joined.withColumn(new, F.struct(F.when(F.col(at).isNull(), body).otherwise(F.array_join(kept, "\n")).alias("text"), lines.cast("long").alias("n"), (lines - after).cast("long").alias("gone")))
+    columns = [F.col(new)["text"].alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    return joined.select(*columns, F.col(new)["n"].alias("n_lines"), F.col(new)["gone"].alias("n_removed"))

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marginalia.llm import bpe, decontaminate, langid, lines, pages, quality, queries, simhash
+from marginalia.llm import bpe, decontaminate, quality, queries, simhash
+from tests.llm.test_lines import _brute_lines
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -29,37 +30,6 @@ def test_bpe_round_trip():
         assert ids.tolist() == want and decoded == theirs.decode(want, skip_special_tokens=False)
 
 
-def test_simhash_matches_all_pairs(spark):
-    got = queries.op6_simhash(spark, SMALL).toPandas()
-    fp, ids = got.fingerprint.map(lambda x: int(x, 16)).to_numpy(np.uint64), got.doc_id.to_numpy()
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
-    label = ids.copy()
-    for _ in range(len(ids)):
-        new = np.array([label[r].min() for r in near])
-        if (new == label).all():
-            break
-        label = new
-    assert (label == got.component_id.to_numpy()).all()
-
-
-@pytest.mark.parametrize("cap", [4, 2048])
-def test_dense_groups_are_split_without_loss(spark, cap):
-    rng = np.random.default_rng(1)
-    base = int(rng.integers(1 << 62))
-    fps = list({base ^ sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(60)}) + [int(x) for x in rng.integers(1 << 62, size=60)]
-    fps = [x - (1 << 64) if x >> 63 else x for x in fps]
-    nodes = spark.createDataFrame([(k, x) for k, x in enumerate(fps)], "node long, fp long")
-    from marginalia.llm.common import components
-
-    got = {r["node"]: r["component"] for r in components(simhash.links(nodes, 4, 5, cap)).collect()}
-    u = np.array([x % (1 << 64) for x in fps], np.uint64)
-    near = np.bitwise_count(u[:, None] ^ u[None, :]) <= 4
-    label = np.arange(len(u))
-    for _ in range(len(u)):
-        label = np.array([label[r].min() for r in near])
-    assert all(got.get(k, k) == label[k] for k in range(len(u)))
-
-
 def _brute_similar(texts):
     """The first text of each one's group, by the Jaccard similarity of sets of five words."""
     own = []
@@ -96,39 +66,6 @@ def test_similar_texts_are_those_of_the_shingle_sets(spark, cap):
     assert simhash.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def _brute_lines(rows):
-    def near(a, b):
-        a, b = a.split(" "), b.split(" ")
-        if a == b:
-            return True
-        if min(len(a), len(b)) < 5 or abs(len(a) - len(b)) > 1:
-            return False
-        if len(a) == len(b):
-            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
-        long, short = (a, b) if len(a) > len(b) else (b, a)
-        return any(long[:k] + long[k + 1 :] == short for k in range(len(long)))
-
-    seen, out = [], {}
-    for d, text in sorted(rows):
-        kept = []
-        for x in text.split("\n"):
-            y = x.strip(" ")
-            if y and any(near(y, z) for z in seen):
-                seen.append(y)
-                continue
-            if y:
-                seen.append(y)
-            kept.append(x)
-        out[d] = "\n".join(kept)
-    return out
-
-
-def test_lines_match_brute_force(spark):
-    rows = [(1, "a b c d e f\nx y\n\nshort"), (2, "a b c d e\nx z\nq b c d e f"), (3, "a a b c d e f\nx y\nA b c d e f g h"), (4, "a b c d e f g h\n x y \nshort"), (5, "b a c d e f g\nnew line of six words here")]
-    got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == _brute_lines(rows)
-
-
 def test_edge_rows_and_empty_tables(spark):
     path = public_tokenizers.path(queries.VOCABULARY)
     for rows in (EDGE, []):
