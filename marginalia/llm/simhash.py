@@ -1,17 +1,22 @@
 """SimHash near-duplicates: 64-bit fingerprints, linked by vantage-point trees.
 
-A vantage-point tree over whole 64-bit fingerprints of unlike texts cannot prune: distances to any
+A vantage-point tree over whole 64-bit fingerprints of unlike texts prunes little: distances to any
 vantage point crowd around 32 with a deviation of 4, so a ball of radius 4 crosses 84 % of every
-level. The radius is therefore shared out first. The 64 bits are cut into BLOCKS = 5 blocks; two
-fingerprints within 4 bits agree in one block at least. Each block has a tree of its own over the
-Hamming distance inside the block, with the query radius floor(4 / 5) = 0 there, and its leaves are
-the shards. A shard of over CAP fingerprints (a dense group of near copies) is split further by its
-distance to a vantage point over all 64 bits: a fingerprint is queried in each overlapping shell
-within the triangle bound |d(x, v) - d(y, v)| <= 4.
+level. The radius is therefore shared out first. The 64 bits are cut into BLOCKS blocks; two fingerprints
+within 4 bits agree in BLOCKS - 4 of them at least. Each choice of that many blocks has a forest of its own:
+fingerprints that agree there (their distances to vantage points inside the blocks are equal) are one
+shard, two million shards a choice, and each shard has a vantage-point tree over all 64 bits.
+
+The tree splits a set at the median distance to a vantage point. Pairs across the split meet only where
+the triangle bound lets them, in the overlap of both sides within the radius of the border; all other
+pairs of branches are pruned. Shards of over CAP fingerprints (a dense group of near copies) are dealt to
+several tasks by such shells first: a fingerprint is queried in each overlapping shell within the
+bound |d(x, v) - d(y, v)| <= 4.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -22,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import by_group, checkpoint, components
+from marginalia.llm.common import by_group, checkpoint, components, hot_keys
 
 BITS = 64
 RADIUS = 4
@@ -34,9 +39,12 @@ SIMILAR_WORDS, SIMILARITY, REACH, SIMILAR_BLOCKS, AGREE = 5, 0.8, 12, 9, 2
 BINS, SLACK = 256, 0.1
 #: similar(): each round verifies so many times more candidates of a text than the one before.
 WIDEN = 4
-BLOCKS = 5
+BLOCKS = 6
 LEVELS = 8
-CAP = 2048
+#: Rows of a shard, of near_duplicates() and of similar(), and of a tree's leaf.
+TREE_CAP, CAP, LEAF = 32768, 2048, 128
+#: Vantage points that are tried on two branches that overlap whole.
+TRIES = 3
 #: Makes the hashes of a second fingerprint out of those of the first.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Vantage points, one for each level of a block's tree; fixed pseudo-random numbers.
@@ -102,7 +110,7 @@ def _shards(nodes: DataFrame, agree: int, blocks: int, first: int = 0) -> DataFr
     return nodes.select("node", "fp", *leaves).select("node", "fp", F.explode(F.array(*trees)).alias("g"))
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cap: int = CAP) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cap: int = TREE_CAP) -> DataFrame:
     """Spanning edges (a, b) of the graph that joins distinct fingerprints within ``radius`` bits.
 
     nodes: (node, fp), one row for each distinct fingerprint. No pair list is made: each shard gives
@@ -115,18 +123,85 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cap: int
         fp = fp.view(np.uint64)
         out_a, out_b = [], []
         for s, e in _groups(g):
-            for members in _clusters(fp[s:e], radius):
-                own = node[s:e][members]
-                low = own.min()
-                own = own[own != low]
-                out_a.append(own)
-                out_b.append(np.full(len(own), low))
+            root = tree_join(fp[s:e], radius)
+            low = np.full(e - s, np.iinfo(np.int64).max)
+            np.minimum.at(low, root, node[s:e])
+            other = low[root] != node[s:e]
+            out_a.append(node[s:e][other])
+            out_b.append(low[root][other])
         if out_a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
     return by_group(split, "g", run, "a long, b long")
 
 
+def tree_join(fp: np.ndarray, radius: int, leaf: int = LEAF, seen: Counter | None = None) -> np.ndarray:
+    """A root for each fingerprint, the same for those that links of ``radius`` bits or fewer join.
+
+    The vantage-point tree is searched with itself: a branch with itself, and with another one as far as
+    their overlap goes. ``seen`` counts pairs: compared, pruned (by the triangle bound) and met in an overlap.
+    """
+    parent = np.arange(len(fp))
+    seen = Counter() if seen is None else seen
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = int(parent[x])
+        return x
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        seen["compared"] += len(a) * len(b)
+        i, j = np.nonzero(np.bitwise_count(fp[a][:, None] ^ fp[b][None, :]) <= radius)
+        p, q = parent[a[i]], parent[b[j]]
+        apart = p != q
+        if apart.any():
+            for x, y in np.unique(np.stack((p[apart], q[apart])), axis=1).T.tolist():
+                x, y = find(x), find(y)
+                parent[max(x, y)] = min(x, y)
+            for own in (a, b):
+                while (parent[parent[own]] != parent[own]).any():
+                    parent[own] = parent[parent[own]]
+
+    work: list[tuple[np.ndarray, np.ndarray | None, int]] = [(np.arange(len(fp)), None, 0)]
+    while work:
+        a, b, tries = work.pop()
+        same = b is None
+        other = a if same else b
+        if not len(a) or not len(other):
+            continue
+        first = parent[a[0]]
+        if (parent[a] == first).all() and (same or (parent[other] == first).all()):
+            continue  # joined already
+        if len(a) * len(other) <= leaf * leaf:
+            compare(a, other)
+            continue
+        vantage = fp[a[(len(a) // 2 + tries * 7919) % len(a)]]
+        near_a, near_b = (np.bitwise_count(fp[x] ^ vantage).astype(np.int64) for x in (a, other))
+        both = near_a if same else np.concatenate((near_a, near_b))
+        border = np.median(both)
+        border = int(border) if both.min() < both.max() and border < both.max() else int(both.max()) - 1
+        in_a, in_b = near_a <= border, near_b <= border
+        if tries == TRIES or in_a.all() and in_b.all() or not (in_a.any() or in_b.any()):  # nothing to split
+            for k in range(0, len(a), leaf):
+                for h in range(k if same else 0, len(other), leaf):
+                    compare(a[k : k + leaf], other[h : h + leaf])
+            continue
+        # a pair across the border lies within the radius of it on both sides
+        for side_a, side_b, at_a, at_b in [(in_a, ~in_b, near_a > border - radius, near_b <= border + radius), (~in_a, in_b, near_a <= border + radius, near_b > border - radius)][: 1 if same else 2]:
+            met = int((side_a & at_a).sum()) * int((side_b & at_b).sum())
+            seen["overlap"] += met
+            seen["pruned"] += int(side_a.sum()) * int(side_b.sum()) - met
+            if met:  # if the overlap is all there is, another vantage point may tell more
+                work.append((a[side_a & at_a], other[side_b & at_b], tries + 1 if met == len(a) * len(other) else 0))
+        # the sides themselves come first: what they join need not be looked for across
+        work.append((a[in_a], None if same else other[in_b], 0))
+        work.append((a[~in_a], None if same else other[~in_b], 0))
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    return parent
+
+
 def _groups(g: np.ndarray) -> Iterator[tuple[int, int]]:
     """Borders of the runs of two and more."""
     cuts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
@@ -137,7 +212,7 @@ def _groups(g: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _split(rows: DataFrame, radius: int, cap: int) -> DataFrame:
     """Shards of over ``cap`` rows cut by their distance to a vantage point; fingerprints within ``radius`` still meet."""
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap)
+    sizes = hot_keys(rows, "g", cap)
     shell = F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(VANTAGE[LEVELS])))).cast("int")
     return (
         rows.join(sizes, "g", "left")
@@ -151,39 +226,20 @@ def _split(rows: DataFrame, radius: int, cap: int) -> DataFrame:
     )
 
 
-def _clusters(fp: np.ndarray, radius: int) -> Iterator[np.ndarray]:
-    """Index arrays of the connected sets of two or more; memory stays in proportion to the shard."""
-    n = len(fp)
-    if n <= 64:
-        near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
-        if near.sum() == n:
-            return
-    left = np.arange(n)
-    while len(left):
-        group, queue, left = [left[0]], [left[0]], left[1:]
-        while queue and len(left):
-            close = np.bitwise_count(fp[left] ^ fp[queue.pop()]) <= radius
-            if close.any():
-                found = left[close].tolist()
-                group += found
-                queue += found
-                left = left[~close]
-        if len(group) > 1:
-            yield np.array(group)
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS, cap: int = CAP) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS, cap: int = TREE_CAP) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable.
 
-    Null and wordless texts have fingerprint 0 and link like any other. Rows with a null doc_id come
-    back as their own rows with a null component unless another row shares their fingerprint. Repeated
-    rows stay repeated. An empty table gives an empty result.
+    Null and wordless texts have fingerprint 0 and link like any other. The fingerprints are what is
+    linked: rows that share a doc_id are joined by their fingerprints only. Rows with a null doc_id link
+    too; a group without any doc_id has a null component. Repeated rows stay repeated; other columns are
+    not read. An empty table gives an empty result.
     """
     hashed = checkpoint(fingerprints(docs, doc_id, text, words))
-    nodes = checkpoint(hashed.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(links(nodes.where("node is not null"), radius, blocks, cap))
-    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return hashed.join(classes, "fp").select("doc_id", "fp", "component_id")
+    nodes = checkpoint(hashed.groupBy("fp").agg(F.min("doc_id").alias("lowest")))
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius, blocks, cap))
+    classes = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "lowest", F.coalesce("component", "fp").alias("class"))
+    lowest = classes.groupBy("class").agg(F.min("lowest").alias("component_id"))
+    return hashed.join(classes.join(lowest, "class").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def sketch(hashes: np.ndarray) -> bytes:
