@@ -186,6 +186,13 @@ class SpeculativeBpe:
 
     def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """(ids, decoded text) of each text; the decoded text is made from the ids."""
+        return [(ids, self.decode(ids)) for ids in self.ids_batch(texts)]
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.shown.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
+    def ids_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
         split: list[list[str]] = []
         for text in texts:
             pieces = self.cut.split(text) if self.cut else [text]
@@ -200,8 +207,7 @@ class SpeculativeBpe:
         known.update(zip(new, self.learn(new), strict=True))
         out = []
         for words in split:
-            ids = np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
-            out.append((ids, b"".join(map(self.shown.__getitem__, ids.tolist())).decode("utf-8", "replace")))
+            out.append(np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32))
         for w in new:
             if len(w) > LONGEST_KEPT:
                 del known[w]
@@ -218,11 +224,12 @@ def tokenizer(path: str) -> SpeculativeBpe:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decode: bool = True) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) of every whole text; a null text counts as empty.
 
     Strings of special tokens inside a text become those tokens. Row order and repeats are kept as
-    they are; an empty table gives an empty result.
+    they are, a null doc_id stays null, other columns (whatever their names) are not read; an empty
+    table gives an empty result. Without ``decode`` the ids are not decoded and that column is not there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,10 +237,12 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)
-                done = bpe.encode_batch([x or "" for x in part.column(1).to_pylist()])
-                offsets = np.concatenate(([0], np.cumsum([len(ids) for ids, _ in done]))).astype(np.int32)
-                flat = np.concatenate([ids for ids, _ in done])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), ids, pa.array([t for _, t in done], pa.string())], ["doc_id", "ids", "decoded"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+                done = bpe.ids_batch([x or "" for x in part.column(1).to_pylist()])
+                offsets = np.concatenate(([0], np.cumsum([len(ids) for ids in done]))).astype(np.int32)
+                columns = [part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(done)))]
+                if decode:
+                    columns.append(pa.array([bpe.decode(ids) for ids in done], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+
+    shape = "doc_id long, ids array<int>" + (", decoded string" if decode else "")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, shape)

@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,17 +191,10 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     documents give repeated rows; items that share an id give a row each; null ids stay null. Other
     columns, whatever their names, are not read. Either table may be empty.
     """
-    spark = docs.sparkSession
     shape = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
-    size = items.agg(F.count("t").alias("items"), F.sum(F.length("t")).alias("chars")).first()
-    parts = max(1, -(-size["items"] // ITEMS_IN_INDEX), -(-(size["chars"] or 0) // CHARS_IN_INDEX))
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(parts)).cast("int")
-    words = checkpoint(items.select(part.alias("part"), "t").mapInArrow(_words, "part int, word string, n long")) if parts > 1 else None
-    out = spark.createDataFrame([], shape)
-    for own in range(parts):
-        index = Index.build(sorted(((r["i"], r["t"]) for r in items.where(part == own).collect()), key=lambda r: (r[0] is not None, r)), _stats(words, own) if parts > 1 else None)
-        shared = spark.sparkContext.broadcast(index)  # the tables of about ITEMS_IN_INDEX items at most
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    out = docs.sparkSession.createDataFrame([], shape)
+    for own, shared in enumerate(_indexes(benchmark, item_id, item_text)):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -210,11 +204,40 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
                     cols = list(zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:]]], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        one = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, shape)
+        one = base.mapInArrow(run, shape)
         out = one if own == 0 else out.union(one)
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs whose text holds no test item, with all their columns: what find() tells, row by row as texts
+    are read, without a join."""
+    at = docs.columns.index(text)
+    out = docs
+    for shared in _indexes(benchmark, item_id, item_text):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held = {d for d, *_ in shared.value.hits(batch.column(at).to_pylist())}
+                yield batch.filter(pa.array([d not in held for d in range(batch.num_rows)], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
+def _indexes(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[Broadcast[Index]]:
+    """The benchmark as broadcast indexes of ITEMS_IN_INDEX items and CHARS_IN_INDEX characters or so."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
+    size = items.agg(F.count("t").alias("items"), F.sum(F.length("t")).alias("chars")).first()
+    parts = max(1, -(-size["items"] // ITEMS_IN_INDEX), -(-(size["chars"] or 0) // CHARS_IN_INDEX))
+    part = F.pmod(F.xxhash64("i", "t"), F.lit(parts)).cast("int")
+    words = checkpoint(items.select(part.alias("part"), "t").mapInArrow(_words, "part int, word string, n long")) if parts > 1 else None
+    for own in range(parts):
+        rows = sorted(((r["i"], r["t"]) for r in items.where(part == own).collect()), key=lambda r: (r[0] is not None, r))
+        yield spark.sparkContext.broadcast(Index.build(rows, _stats(words, own) if parts > 1 else None))
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(part, word, times) of each item; the word is null for the item itself."""
     for batch in batches:

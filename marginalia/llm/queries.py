@@ -84,15 +84,9 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_language_id, op2_secret_scan, op3_line_dedup, op4_chat_format, op5_quality, op6_simhash, op7_bpe, op8_decontaminate, op9_embedding_dedup, op10_html_extract)
-    return {f.__name__: f for f in own} | {"pipeline": _pipeline}
+    return {f.__name__: f for f in own}
 
 
 _LINES_SQL = """

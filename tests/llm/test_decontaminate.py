@@ -80,6 +80,8 @@ def test_items_in_parts_are_found_with_the_same_scores_in_any_number_of_indexes(
     assert whole.keys() == want.keys() and len(want) > 120
     monkeypatch.setattr(decontaminate, "CHARS_IN_INDEX", chars)
     assert _rows(decontaminate.find(d, b)) == whole
+    kept = decontaminate.clean(d.withColumn("item_id", F.lit("x")), b)
+    assert kept.columns == ["doc_id", "text", "item_id"] and {r["doc_id"] for r in kept.collect()} == {k for k, _ in docs} - {k for k, _ in want}
 
 
 def test_scores_are_those_of_bm25(spark):
