@@ -147,9 +147,22 @@ class TableBinner:
     flags: dict[str, str] = field(default_factory=dict)
     spent: float = 0.0
 
+    def set_random_state(self, seed: int | None) -> TableBinner:
+        """The seed of the noise and of the fill values from the next fit on."""
+        self.seed = seed
+        return self
+
+    def set_params(self, **params) -> TableBinner:
+        """Settings by name; a name that is none of them is an error."""
+        for name, value in params.items():
+            if name not in ("binner", "n_bins", "epsilon", "domain", "zeros", "seed"):
+                raise ValueError(f"the binner has no parameter {name}")
+            setattr(self, name, value)
+        return self
+
     def fit(self, df: DataFrame, public: bool = False) -> TableBinner:
-        """Two to four jobs, whatever the number of columns: profile, fills and categories, bounds, trees. Trees that go
-        below DEPTH levels take another job for each DEPTH levels or so, for all columns at once."""
+        """Jobs for all columns at once: profile, fills, bounds, trees; trees that go below DEPTH levels take another one
+        for each DEPTH levels or so. Each category column without listed categories takes one more of its own."""
         noise = Noise(self.seed)
         self.schema = df.schema
         self.numeric, self.coded, self.static, self.fills, self.flags, self.spent = {}, {}, {}, {}, {}, 0.0

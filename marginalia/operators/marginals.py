@@ -14,6 +14,7 @@ from marginalia.types import Clique, Domain
 
 #: Cells that a task holds at once, and beyond which a clique is grouped instead.
 CELLS_A_PASS, DENSE_CELLS = 8_000_000, 2_000_000
+ROWS_A_PASS = 1 << 17
 
 
 def cell_id(clique: Sequence[str], domain: Domain) -> Column:
@@ -56,8 +57,8 @@ def count_cells(df: DataFrame, cliques: Iterable[Clique], domain: Domain, weight
     for c in wanted:
         if domain.size(c) > DENSE_CELLS:
             measure = F.count(F.lit(1)) if weight is None else F.sum(weight)
-            for r in df.groupBy(cell_id(c, domain).alias("cell")).agg(measure.alias("n")).toLocalIterator():
-                out[c].values.flat[r["cell"]] = r["n"]
+            found = df.groupBy(cell_id(c, domain).alias("cell")).agg(measure.cast("double").alias("n")).toArrow()
+            out[c].values.reshape(-1)[found.column("cell").to_numpy()] = found.column("n").to_numpy()
             continue
         if batch and size + domain.size(c) > CELLS_A_PASS:
             batches.append(batch)
@@ -76,14 +77,29 @@ def _count_batch(df: DataFrame, cliques: list[Clique], domain: Domain, weight: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros(n) for _, _, n in plan]
-        for b in batches:
-            codes = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(attrs))]
-            w = b.column(len(attrs)).to_numpy(zero_copy_only=False).astype(float) if weight else None
+
+        def add(held: list[pa.RecordBatch]) -> None:
+            t = pa.Table.from_batches(held)
+            codes = [t.column(k).to_numpy().astype(np.int64) for k in range(len(attrs))]
+            w = t.column(len(attrs)).to_numpy().astype(float) if weight else None
             for k, steps, n in plan:
-                cell = np.zeros(b.num_rows, np.int64)
+                cell = np.zeros(t.num_rows, np.int64)
                 for a, radix in steps:
                     cell = cell * radix + codes[a]
-                sums[k] += np.bincount(cell, weights=w, minlength=n)
+                if n <= 2 * t.num_rows:
+                    sums[k] += np.bincount(cell, weights=w, minlength=n)
+                else:  # the rows are fewer than the cells: only theirs are touched
+                    np.add.at(sums[k], cell, 1.0 if w is None else w)
+
+        # batches of any size are added up ROWS_A_PASS rows at a time
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= ROWS_A_PASS:
+                add(held)
+                held = []
+        if held:
+            add(held)
         for k, s in enumerate(sums):
             there = np.flatnonzero(s)
             if len(there):
@@ -93,8 +109,11 @@ def _count_batch(df: DataFrame, cliques: list[Clique], domain: Domain, weight: s
     if not columns:
         columns = [F.lit(0).alias("c0")]
     cells = df.select(*columns).mapInArrow(run, "clique int, cell long, n double").groupBy("clique", "cell").agg(F.sum("n").alias("n"))
-    for r in cells.toLocalIterator():
-        out[cliques[r["clique"]]].values.flat[r["cell"]] = r["n"]
+    got = cells.toArrow()
+    which, cell, n = (got.column(c).to_numpy() for c in ("clique", "cell", "n"))
+    for k, c in enumerate(cliques):
+        own = which == k
+        out[c].values.reshape(-1)[cell[own]] = n[own]
 
 
 def check_codes(df: DataFrame, domain: Domain) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators.binning import TableBinner
+from marginalia.operators.cut import cut
 from marginalia.operators.generate import generate
 from marginalia.operators.marginals import check_codes, count_cells
 from marginalia.plans.compression import Compressor
@@ -31,6 +32,20 @@ class GraphicalGenerator:
         self.compressor: Compressor | None = None
         self.model: GraphicalModel | None = None
         self.state: str | None = None
+        self.public = False  # whether the measurements are a public table's
+
+    def set_random_state(self, seed: int | None) -> GraphicalGenerator:
+        """The seed of all noise from here on; None: the system's entropy."""
+        self.strategy.set_random_state(seed)
+        return self
+
+    def set_params(self, **params) -> GraphicalGenerator:
+        """Parameters of the strategy by name; a name that it does not have is an error."""
+        for name, value in params.items():
+            if name in ("ledger", "noise") or not hasattr(self.strategy, name):
+                raise ValueError(f"the strategy has no parameter {name}")
+            setattr(self.strategy, name, value)
+        return self
 
     def set_domain(self, domain: Domain | Mapping[str, int]) -> GraphicalGenerator:
         self.domain = domain if isinstance(domain, Domain) else Domain.of(domain)
@@ -41,19 +56,24 @@ class GraphicalGenerator:
         return self
 
     def fit(self, df: DataFrame, public: bool = False, marginals_only: bool = False, weight: str | None = None) -> GraphicalGenerator:
-        """Select and measure (or measure again what was chosen before), then infer unless marginals_only.
-        public: nothing is noisy and no budget is spent."""
+        """Select and measure, then infer unless marginals_only.
+
+        public: what is chosen comes from a public table, without noise or budget. Such a fit ends "pretrained"
+        and generates nothing; the next private fit measures the same cliques with all of the budget. A private
+        fit after marginals_only infers from what was measured and paid for then. A trained model that is
+        fitted again measures its cliques again and pays again.
+        """
         if self.domain is None:
             raise ValueError("Domain must be provided")
         check_codes(df, self.domain)
         counts = lambda cliques: count_cells(df, cliques, self.domain, weight)
-        if self.state == "pretrained" and not public:
+        if public or self.state is None:
+            self.measurements, self.public = self.strategy.select(self.domain, counts, public), public
+        elif self.public or self.state == "trained":
             cliques = list(dict.fromkeys(m.clique for m in self.measurements))
-            self.measurements = self.strategy.remeasure(self.domain, counts, cliques)
-        elif self.state != "pretrained" or public:
-            self.measurements = self.strategy.select(self.domain, counts, public)
-        self.state = "pretrained"
-        if not marginals_only:
+            self.measurements, self.public = self.strategy.remeasure(self.domain, counts, cliques), False
+        self.state, self.model = "pretrained", None
+        if not public and not marginals_only:
             self.infer()
         return self
 
@@ -66,7 +86,7 @@ class GraphicalGenerator:
         self.state = "trained"
         return self
 
-    def generate(self, spark: SparkSession, n_records: int | None = None, condition: DataFrame | None = None, seed: int = 0, method: str = "sample") -> DataFrame:
+    def generate(self, spark: SparkSession, n_records: int | None = None, condition: DataFrame | None = None, seed: int = 0, method: str = "round") -> DataFrame:
         """(_row_id and a code for each attribute). condition: coded columns, with _row_id."""
         if self.state != "trained":
             raise ValueError("the model is not trained")
@@ -89,7 +109,7 @@ class GraphicalGenerator:
         kind = next(k for k, t in STRATEGIES.items() if t is type(s))
         params = {k: v for k, v in vars(s).items() if k not in ("ledger", "noise")}
         return json.dumps({
-            "strategy": kind, "params": params, "ledger": s.ledger.entries, "state": self.state, "domain": self.domain.sizes if self.domain else None, "impossible": self.impossible,
+            "strategy": kind, "params": params, "ledger": s.ledger.entries, "state": self.state, "public": self.public, "domain": self.domain.sizes if self.domain else None, "impossible": self.impossible,
             "measurements": [{"clique": m.clique, "y": list(map(float, m.y)), "sigma": m.sigma} for m in self.measurements],
             "potentials": [{"clique": c, "values": [None if np.isneginf(x) else float(x) for x in f.datavector()]} for c, f in self.model.potentials.items()] if self.model else None,
             "kept": self.compressor.kept if self.compressor else None, "total": self.model.total if self.model else None, "order": self.model.tree.order if self.model else None,
@@ -101,7 +121,7 @@ class GraphicalGenerator:
         out = cls(d["strategy"], **d["params"])
         for what, eps, rho in d["ledger"]:
             out.strategy.ledger.spend(what, eps, rho)
-        out.state, out.impossible = d["state"], d["impossible"]
+        out.state, out.public, out.impossible = d["state"], d.get("public", False), d["impossible"]
         if d["domain"]:
             out.set_domain(d["domain"])
         out.measurements = [Measurement(tuple(m["clique"]), np.array(m["y"]), m["sigma"]) for m in d["measurements"]]
@@ -143,18 +163,30 @@ class Pipeline:
             coded.unpersist()
         return self
 
+    def set_random_state(self, seed: int | None) -> Pipeline:
+        """One seed for the discretisation and the model."""
+        if self.binner is not None:
+            self.binner.set_random_state(seed)
+        self.generator.set_random_state(seed)
+        return self
+
     @property
     def spent_epsilon(self) -> float:
         """All that was spent at the strategy's delta, by basic composition."""
         return (self.binner.spent if self.binner else 0.0) + self.generator.strategy.ledger.total(self.generator.strategy.delta)
 
-    def generate(self, spark: SparkSession, n_records: int | None = None, condition_records: DataFrame | None = None, seed: int = 0, method: str = "sample") -> DataFrame:
-        """A new table. Condition columns come back unchanged, one row for each condition record."""
+    def generate(self, spark: SparkSession, n_records: int | None = None, condition_records: DataFrame | None = None, seed: int = 0, method: str = "round") -> DataFrame:
+        """A new table. Condition columns come back unchanged, one row for each condition record.
+
+        method: "round" gives every code its exact share of rows (a shuffle for each column), "sample" draws
+        each row by itself (no shuffle).
+        """
         if condition_records is None:
             coded = self.generator.generate(spark, n_records, None, seed, method)
             return coded.drop("_row_id") if self.binner is None else self.binner.inverse(coded, seed=seed).drop("_row_id")
         given = condition_records.columns
-        keyed = condition_records.withColumn("_row_id", F.monotonically_increasing_id())
+        # written once: two joins below ask for the ids, which another reading of the source may give to other rows
+        keyed = cut(condition_records.withColumn("_row_id", F.monotonically_increasing_id()))
         codes = keyed if self.binner is None else self.binner.transform(keyed, keep=("_row_id",))
         coded = self.generator.generate(spark, None, codes, seed, method)
         out = coded if self.binner is None else self.binner.inverse(coded, seed=seed)

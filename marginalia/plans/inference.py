@@ -45,6 +45,10 @@ def estimate_total(measurements: Sequence[Measurement]) -> float:
     return max(1.0, float(np.average(totals, weights=weights))) if totals else 1.0
 
 
+#: Mirror descent ends before its iterations do when STILL of them in a row each gain a smaller part of the loss than GAIN.
+GAIN, STILL = 1e-7, 20
+
+
 def loss_and_gradient(marginals: CliqueVector, homes: Mapping[Clique, list[Measurement]], metric: str | Callable = "L2") -> tuple[float, CliqueVector]:
     if callable(metric):
         return metric(marginals)
@@ -86,8 +90,9 @@ def _mirror_descent(model: GraphicalModel, homes, iters: int, metric, callback)
     mu = model.belief_propagation(theta)
     loss, grad = loss_and_gradient(mu, homes, metric)
     step = 2.0 / model.total**2
+    still = 0  # iterations in a row that gained next to nothing
     for _ in range(iters):
-        if loss <= 1e-12:
+        if loss <= 1e-12 or still == STILL:
             break
         moved = False
         for _ in range(25):
@@ -100,6 +105,7 @@ def _mirror_descent(model: GraphicalModel, homes, iters: int, metric, callback)
             step *= 0.5
         if not moved:
             break
+        still = still + 1 if loss - loss2 <= GAIN * loss else 0
         theta, mu, loss, grad = trial, mu2, loss2, grad2
         if callback:
             callback(mu)

@@ -57,6 +57,13 @@ def rho_of(eps: float, delta: float) -> float:
     return eps + 1 if delta_of(eps + 1, eps) <= delta else _bisect(lambda r: delta_of(r, eps) <= delta, 0.0, eps + 1)
 
 
+def _rounded_up(x: Fraction) -> Fraction:
+    """The next number of 21 significant bits or fewer: never less noise than was accounted for, whatever the scale."""
+    shift = 20 - (x.numerator.bit_length() - x.denominator.bit_length())
+    unit = Fraction(1, 1 << shift) if shift >= 0 else Fraction(1 << -shift)
+    return math.ceil(x / unit) * unit
+
+
 class Noise:
     """Exact discrete Laplace and Gaussian sampling in rationals (arXiv:2004.00010).
 
@@ -105,13 +112,13 @@ class Noise:
         """Integer noise of deviation sigma."""
         if sigma <= 0:
             return np.zeros(size)
-        s2 = Fraction(sigma * sigma).limit_denominator(10_000)
+        s2 = _rounded_up(Fraction(sigma) ** 2)
         return np.array([self.gaussian_one(s2) for _ in range(size)], float)
 
     def laplace(self, scale: float, size: int) -> np.ndarray:
         if scale <= 0:
             return np.zeros(size)
-        s = Fraction(scale).limit_denominator(10_000)
+        s = _rounded_up(Fraction(scale))
         return np.array([self.laplace_one(s) for _ in range(size)], float)
 
     def uniform(self) -> float:

@@ -13,8 +13,8 @@ from marginalia.functions import expressions as X
 from marginalia.operators import marginals as M
 from marginalia.operators.binning import TableBinner, optimal_bins, private_tree, dyadic_counts, uniform_edges
 from marginalia.operators.generate import quotas
-from marginalia.operators.profile import power_bin
-from marginalia.pipeline import Pipeline
+from marginalia.operators.profile import bounds_histogram, private_bounds, profile
+from marginalia.pipeline import GraphicalGenerator, Pipeline
 from marginalia.plans.compression import Compressor
 from marginalia.plans.inference import Measurement
 from marginalia.plans.privacy import Noise
@@ -46,11 +46,9 @@ _CODED_SQL = f"(SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2
 
 
 def profile_columns(spark: SparkSession, d: str) -> DataFrame:
-    li = _t(spark, d, "lineitem")
-    cols = ("l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    aggs = [f(F.col(c)).alias(f"{n}{k}") for k, c in enumerate(cols) for n, f in (("n", lambda x: F.count_if(x.isNull())), ("d", F.count_distinct), ("l", F.min), ("h", F.max))]
-    one = li.agg(*aggs)
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"n{k}").alias("n_null"), F.col(f"d{k}").alias("n_distinct"), F.col(f"l{k}").alias("low"), F.col(f"h{k}").alias("high")) for k, c in enumerate(cols)])).alias("p")).select("p.*")
+    found = profile(_t(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_extendedprice"])
+    rows = [(c, p.rows, p.missing, p.static, float(p.low), float(p.high)) for c, p in found.items()]
+    return spark.createDataFrame(rows, "name string, n long, n_null long, static boolean, low double, high double")
 
 
 def encode_categories(spark: SparkSession, d: str) -> DataFrame:
@@ -125,8 +123,17 @@ def marginal_datetime(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy(code.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def bounds_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "customer").groupBy(power_bin(F.col("c_acctbal")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+_BALANCE = {"c_acctbal": "double", "c_custkey": "long"}
+
+
+def bounds_histogram_query(spark: SparkSession, d: str) -> DataFrame:
+    found = bounds_histogram(_t(spark, d, "customer"), _BALANCE)
+    return spark.createDataFrame([(c, b, n) for c, own in found.items() for b, n in own.items()], "name string, bin int, n long")
+
+
+def private_bounds_noise_free(spark: SparkSession, d: str) -> DataFrame:
+    found = bounds_histogram(_t(spark, d, "customer"), _BALANCE)
+    return spark.createDataFrame([(c, *private_bounds(own, None, Noise(0))) for c, own in found.items()], "name string, low double, high double")
 
 
 def entropy_1way(spark: SparkSession, d: str) -> DataFrame:
@@ -140,14 +147,14 @@ def mutual_information_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _error_weights(spark: SparkSession, d: str) -> dict:
-    pairs = list(combinations(SIZES.attrs, 2))
-    found = M.count_cells(_coded(spark, d), [*pairs, *[(a,) for a in SIZES]], SIZES)
-    n = found["qty",].sum()
-    return {(a, b): float(abs(found[a, b].values - (found[a,].expand(SIZES.project((a, b))) * found[b,].expand(SIZES.project((a, b)))).values / n).sum()) for a, b in pairs}
+    pairs, ones = list(combinations(SIZES.attrs, 2)), [(a,) for a in SIZES]
+    found = M.count_cells(_coded(spark, d), [*pairs, *ones], SIZES)
+    mst = Mst(epsilon=None)
+    return mst.weights(SIZES, found, mst.measure(found, ones, None), pairs)
 
 
 def mst_edge_weights(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(*c, round(w, 4)) for c, w in _error_weights(spark, d).items()], "a string, b string, w double")
+    return spark.createDataFrame([(*c, round(w, 1)) for c, w in _error_weights(spark, d).items()], "a string, b string, w double")
 
 
 def mst_edges_noise_free(spark: SparkSession, d: str) -> DataFrame:
@@ -172,6 +179,34 @@ def compress_transform(spark: SparkSession, d: str) -> DataFrame:
     return _coded(spark, d).groupBy(_compressor(spark, d).transform("l_linenumber").alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def compress_reverse(spark: SparkSession, d: str) -> DataFrame:
+    """Codes after compression and back: kept ones as they were, merged ones as one of themselves (here -1)."""
+    c = _compressor(spark, d)
+    small = _coded(spark, d).select(c.transform("l_linenumber").alias("l_linenumber"), F.monotonically_increasing_id().alias("_row_id"))
+    back = small.select(c.reverse("l_linenumber", 3).alias("k"))
+    return back.groupBy(F.when(F.col("k").isin(c.kept["l_linenumber"]), F.col("k")).otherwise(-1).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _quantities(spark: SparkSession, d: str) -> tuple[DataFrame, TableBinner]:
+    t = _t(spark, d, "lineitem").select(F.monotonically_increasing_id().alias("_row_id"), F.when(F.col("l_quantity") >= 5, F.col("l_quantity").cast("double")).alias("q"), "l_returnflag")
+    b = TableBinner("uniform", 9, domain={"q": {"lower": 5, "upper": 50}, "l_returnflag": {"categories": FLAGS}}, seed=3)
+    return t, b.fit(t.drop("_row_id"), public=True)
+
+
+def binner_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Values drawn from their bins and coded again, nulls restored: the counts of the first codes."""
+    t, b = _quantities(spark, d)
+    back = b.inverse(b.transform(t, keep=("_row_id",)), seed=5)
+    code = F.floor((F.col("q") - 5) / 5).cast("int")
+    return back.groupBy("l_returnflag", F.least(code, F.lit(8)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def null_restore(spark: SparkSession, d: str) -> DataFrame:
+    t, b = _quantities(spark, d)
+    back = b.inverse(b.transform(t, keep=("_row_id",)), seed=5)
+    return back.agg(F.count_if(F.col("q").isNull()).alias("n_null"), F.count("q").alias("n"))
+
+
 def null_flag_fill(spark: SparkSession, d: str) -> DataFrame:
     t = _t(spark, d, "lineitem").select(F.when(F.col("l_quantity") >= 5, F.col("l_quantity")).alias("q"))
     b = TableBinner("uniform", 10).fit(t, public=True)
@@ -203,19 +238,43 @@ def conditional_distribution(spark: SparkSession, d: str) -> DataFrame:
     return M.factor_divide(pair, M.factor_sum(pair, ["l_linestatus"])).withColumn("value", F.round("value", 9))
 
 
-def quota_round_integer_part(spark: SparkSession, d: str) -> DataFrame:
-    """Quotas of 1000 rows for each status, whole parts only."""
-    p = conditional_distribution(spark, d)
+def quota_round(spark: SparkSession, d: str) -> DataFrame:
+    """Quotas of each flag in each status for as many rows as there are: its rows, exactly."""
+    p = conditional_distribution_exact(spark, d)
     table = p.groupBy(F.col("l_linestatus").cast("long").alias("_cell")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_returnflag", "value"))), lambda s: s["value"]).alias("_p"))
-    q = quotas(table.select("_cell", F.lit(1000).cast("long").alias("m")), table, 0, "q")
-    return q.groupBy(F.col("_cell").cast("int").alias("l_linestatus")).agg(F.sum(F.col("hi") - F.col("lo")).cast("long").alias("n"))
+    groups = M.marginal(_coded(spark, d), ["l_linestatus"], name="m").select(F.col("l_linestatus").cast("long").alias("_cell"), "m")
+    q = quotas(groups, table, 0, "q")
+    return q.select(F.col("_cell").cast("int").alias("l_linestatus"), F.col("code").cast("int").alias("nth"), (F.col("hi") - F.col("lo")).cast("long").alias("n"))
+
+
+def conditional_distribution_exact(spark: SparkSession, d: str) -> DataFrame:
+    pair = _factors(spark, d)[0]
+    return M.factor_divide(pair, M.factor_sum(pair, ["l_linestatus"]))
+
+
+def generate_rounded(spark: SparkSession, d: str, stored: bool = False) -> DataFrame:
+    """One-way tables of as many rows as there are, generated by "round" from the noise-free tree: those of the data."""
+    rows = _coded(spark, d).persist()
+    g = GraphicalGenerator("mst", epsilon=None, compress=False).set_domain(SIZES).fit(rows)
+    n = rows.count()
+    rows.unpersist()
+    if stored:
+        g = GraphicalGenerator.from_json(g.to_json())
+    made = g.generate(spark, n, seed=1)
+    each = F.array(*[F.struct(F.lit(a).alias("a"), F.col(a).cast("int").alias("code")) for a in SIZES])
+    return made.select(F.explode(each).alias("e")).groupBy("e.a", "e.code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def generate_from_json(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a model that was written as JSON and read again."""
+    return generate_rounded(spark, d, stored=True)
 
 
 def _generate(strategy: str, **params) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         t = _t(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax", "l_shipdate")
         domain = {"l_returnflag": {"categories": FLAGS}, "l_linestatus": {"categories": STATUS}, "l_quantity": {"lower": 1, "upper": 50}, "l_discount": {"lower": 0, "upper": 0.1}, "l_tax": {"lower": 0, "upper": 0.08}}
-        p = Pipeline(strategy, epsilon=1.0, proc_epsilon=0.1, n_bins=10, iters=100, seed=7, **params)
+        p = Pipeline(strategy, epsilon=1.0, proc_epsilon=0.1, n_bins=10, seed=7, **params)
         return p.fit(t, domain=domain).generate(spark, 1000, seed=7)
 
     return run
@@ -225,14 +284,14 @@ def generate_conditional(spark: SparkSession, d: str) -> DataFrame:
     t = _t(spark, d, "customer").select("c_mktsegment", "c_nationkey", "c_acctbal")
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        p = Pipeline("mst", epsilon=1.0, n_bins=10, iters=100, seed=7).fit(t, domain={"c_acctbal": {"lower": -1000, "upper": 10000}, "c_nationkey": {"lower": 0, "upper": 25}})
+        p = Pipeline("mst", epsilon=1.0, n_bins=10, seed=7).fit(t, domain={"c_acctbal": {"lower": -1000, "upper": 10000}, "c_nationkey": {"lower": 0, "upper": 25}})
     return p.generate(spark, condition_records=t.select("c_mktsegment"), seed=7)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (profile_columns, encode_categories, bin_uniform, bin_optimal_count, bin_privtree_noise_free, bin_inverse_midpoint, marginal_1way, marginal_2way, marginal_3way, marginal_weighted, marginals_all_pairs, marginal_dense, marginal_rollup, marginal_datetime, bounds_histogram, entropy_1way, mutual_information_pairs, mst_edge_weights, mst_edges_noise_free, compress_supports, compress_transform, null_flag_fill, factor_product, factor_divide, factor_condition, conditional_distribution, quota_round_integer_part, generate_conditional)
-    out = {f.__name__: f for f in own} | {"workload_scores": workload_scores_query}
-    return out | {"generate_mst": _generate("mst"), "generate_aim": _generate("aim", rounds=3), "generate_privbayes": _generate("priv-bayes")}
+    own = (profile_columns, encode_categories, bin_uniform, bin_optimal_count, bin_privtree_noise_free, bin_inverse_midpoint, marginal_1way, marginal_2way, marginal_3way, marginal_weighted, marginals_all_pairs, marginal_dense, marginal_rollup, marginal_datetime, entropy_1way, mutual_information_pairs, mst_edge_weights, mst_edges_noise_free, compress_supports, compress_transform, null_flag_fill, compress_reverse, binner_round_trip, null_restore, private_bounds_noise_free, factor_product, factor_divide, factor_condition, conditional_distribution, quota_round, generate_rounded, generate_from_json, generate_conditional)
+    out = {f.__name__: f for f in own} | {"workload_scores": workload_scores_query, "bounds_histogram": bounds_histogram_query}
+    return out | {"generate_mst": _generate("mst"), "generate_aim": _generate("aim"), "generate_privbayes": _generate("priv-bayes")}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -242,7 +301,12 @@ def oracle_sql() -> dict[str, str]:
     grid = lambda a, b: f"SELECT '{a}' AS a, '{b}' AS b, g.i, h.j, coalesce(x.n, 0) AS n, ra.n AS na, rb.n AS nb FROM range({SIZES[a]}) AS g(i) CROSS JOIN range({SIZES[b]}) AS h(j) LEFT JOIN (SELECT {a} AS i, {b} AS j, count(*) AS n FROM c GROUP BY ALL) x ON x.i = g.i AND x.j = h.j LEFT JOIN (SELECT {a} AS i, count(*) AS n FROM c GROUP BY ALL) ra ON ra.i = g.i LEFT JOIN (SELECT {b} AS j, count(*) AS n FROM c GROUP BY ALL) rb ON rb.j = h.j"
     pairs = list(combinations(attrs, 2))
     entropy = lambda cols: f"(SELECT -sum(p * log2(p)) FROM (SELECT count(*) / (SELECT count(*)::DOUBLE FROM c) AS p FROM c GROUP BY {cols}))"
-    stats = lambda x: f"SELECT '{x}' AS name, count(*) - count({x}) AS n_null, count(DISTINCT {x}) AS n_distinct, min({x}) AS low, max({x}) AS high FROM lineitem"
+    stats = lambda x: f"SELECT '{x}' AS name, count(*) AS n, count(*) - count({x}) AS n_null, count(DISTINCT {x}) + CAST(count(*) > count({x}) AS INT) <= 1 AS static, CAST(min({x}) AS DOUBLE) AS low, CAST(max({x}) AS DOUBLE) AS high FROM lineitem"
+    power = lambda x: f"CAST(CASE WHEN abs({x}) < 1 THEN 0 ELSE sign({x}) * (floor(log2(abs({x}))) + 1) END AS INT)"
+    edge = lambda b, up: f"CASE WHEN {b} = 0 THEN {up} WHEN {b} > 0 THEN pow(2.0, {b} - {int(up < 0)}) ELSE -pow(2.0, -{b} - {int(up > 0)}) END"
+    bounds = lambda x: f"SELECT '{x}' AS name, CAST({edge('min(b)', -1)} AS DOUBLE) AS low, CAST({edge('max(b)', 1)} AS DOUBLE) AS high FROM (SELECT {power(x)} AS b FROM customer)"
+    weights = "w AS (SELECT a, b, sum(abs(n - na * nb / (SELECT count(*)::DOUBLE FROM c))) AS w FROM (" + " UNION ALL ".join(grid(a, b) for a, b in pairs) + ") GROUP BY a, b)"
+    ones = f"{c} " + " UNION ALL ".join(f"SELECT '{a}' AS a, {a} AS code, count(*) AS n FROM c GROUP BY ALL" for a in attrs)
     compress = "y AS (SELECT l_linenumber AS k, count(*) AS n FROM c GROUP BY ALL), kept AS (SELECT k, CAST(row_number() OVER (ORDER BY k) - 1 AS INT) AS code FROM y WHERE n >= (SELECT count(*) / 7.0 FROM c))"
     tree = "WITH RECURSIVE nodes AS (SELECT 0.0::DOUBLE AS low, 131072.0::DOUBLE AS high, (SELECT count(*) FROM lineitem) AS n UNION ALL SELECT s.low, s.high, (SELECT count(*) FROM lineitem l WHERE l.l_extendedprice >= s.low AND l.l_extendedprice < s.high) AS n FROM (SELECT CASE k WHEN 0 THEN low ELSE (low + high) / 2 END AS low, CASE k WHEN 0 THEN (low + high) / 2 ELSE high END AS high FROM nodes, (VALUES (0), (1)) v(k) WHERE n > (SELECT count(*) / 64.0 FROM lineitem)) s)"
     return {
@@ -260,17 +324,24 @@ def oracle_sql() -> dict[str, str]:
         "marginal_dense": f"{c} SELECT CAST(f.i AS INT) AS l_returnflag, CAST(s.i AS INT) AS l_linestatus, CAST(q.i AS INT) AS qty, count(c.qty) AS n FROM range(3) f(i) CROSS JOIN range(2) s(i) CROSS JOIN range(10) q(i) LEFT JOIN c ON c.l_returnflag = f.i AND c.l_linestatus = s.i AND c.qty = q.i GROUP BY ALL",
         "marginal_rollup": f"{c} SELECT qty, count(*) AS n FROM c GROUP BY ALL",
         "marginal_datetime": "SELECT CAST(least(greatest(floor((epoch_us(o_orderdate) - 694224000000000) / 12623040000000.0), 0), 19) AS INT) AS bin, count(*) AS n FROM orders GROUP BY ALL",
-        "bounds_histogram": "SELECT CAST(CASE WHEN abs(c_acctbal) < 1 THEN 0 ELSE sign(c_acctbal) * (floor(log2(abs(c_acctbal))) + 1) END AS INT) AS bin, count(*) AS n FROM customer GROUP BY ALL",
+        "bounds_histogram": " UNION ALL ".join(f"SELECT '{x}' AS name, {power(x)} AS bin, count(*) AS n FROM customer GROUP BY ALL" for x in _BALANCE),
+        "private_bounds_noise_free": " UNION ALL ".join(map(bounds, _BALANCE)),
         "entropy_1way": f"{c} " + " UNION ALL ".join(f"SELECT '{a}' AS a, round({entropy(a)}, 6) AS h" for a in attrs),
         "mutual_information_pairs": f"{c} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(({entropy(a)} + {entropy(b)} - {entropy(f'{a}, {b}')}) / sqrt({entropy(a)} * {entropy(b)}), 6) AS mi" for a, b in pairs),
-        "mst_edge_weights": f"{c} SELECT a, b, round(sum(abs(n - na * nb / (SELECT count(*)::DOUBLE FROM c))), 4) AS w FROM (" + " UNION ALL ".join(grid(a, b) for a, b in pairs) + ") GROUP BY a, b",
+        "mst_edge_weights": f"{c}, {weights} SELECT a, b, round(w, 1) AS w FROM w",
+        "mst_edges_noise_free": f"{c}, {weights}, t AS (SELECT [x, y, z] AS es FROM w x, w y, w z WHERE (x.a, x.b) < (y.a, y.b) AND (y.a, y.b) < (z.a, z.b) AND len(list_distinct([x.a, x.b, y.a, y.b, z.a, z.b])) = 4 ORDER BY x.w + y.w + z.w DESC LIMIT 1) SELECT e.a AS a, e.b AS b FROM (SELECT unnest(es) AS e FROM t)",
         "workload_scores": "SELECT * FROM (VALUES ('a', 2), ('b', 2), ('c', 2), ('ab', 4), ('ac', 4), ('bc', 4)) t(clique, score)",
         "compress_supports": f"{c}, {compress} SELECT k AS code FROM kept",
         "compress_transform": f"{c}, {compress} SELECT coalesce(kept.code, (SELECT count(*) FROM kept))::INT AS code, count(*) AS n FROM c LEFT JOIN kept ON kept.k = c.l_linenumber GROUP BY ALL",
+        "compress_reverse": f"{c}, {compress} SELECT CASE WHEN kept.k IS NULL THEN -1 ELSE kept.k END AS code, count(*) AS n FROM c LEFT JOIN kept ON kept.k = c.l_linenumber GROUP BY ALL",
+        "binner_round_trip": "SELECT l_returnflag, CAST(least(floor((CASE WHEN l_quantity >= 5 THEN l_quantity END - 5) / 5), 8) AS INT) AS bin, count(*) AS n FROM lineitem GROUP BY ALL",
+        "null_restore": "SELECT count(*) FILTER (l_quantity < 5) AS n_null, count(*) FILTER (l_quantity >= 5) AS n FROM lineitem",
         "null_flag_fill": "SELECT CASE WHEN l_quantity >= 5 THEN 0 ELSE 1 END AS flag, count(*) AS n, 0::BIGINT AS n_null FROM lineitem GROUP BY ALL",
         "factor_product": f"{pair} SELECT l_linestatus, l_returnflag, qty, p.value * q.value AS value FROM p JOIN q USING (l_linestatus)",
         "factor_divide": f"{pair} SELECT l_returnflag, l_linestatus, round(p.value / s.v, 9) AS value FROM p JOIN (SELECT l_linestatus, sum(value) AS v FROM q GROUP BY ALL) s USING (l_linestatus)",
         "factor_condition": f"{pair} SELECT qty, value FROM q WHERE l_linestatus = 1",
         "conditional_distribution": f"{pair} SELECT l_returnflag, l_linestatus, round(value / sum(value) OVER (PARTITION BY l_linestatus), 9) AS value FROM p",
-        "quota_round_integer_part": f"{c} SELECT l_linestatus, 1000::BIGINT AS n FROM c GROUP BY ALL",
+        "quota_round": f"{c} SELECT l_linestatus, CAST(dense_rank() OVER (PARTITION BY l_linestatus ORDER BY l_returnflag) - 1 AS INT) AS nth, count(*) AS n FROM c GROUP BY l_linestatus, l_returnflag",
+        "generate_rounded": ones,
+        "generate_from_json": ones,
     }
