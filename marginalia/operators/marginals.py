@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.expressions import lookup, uniform
 from marginalia.plans.factors import Factor
 from marginalia.types import Clique, Domain
 
@@ -116,6 +117,26 @@ def _count_batch(df: DataFrame, cliques: list[Clique], domain: Domain, weight: s
         out[c].values.reshape(-1)[cell[own]] = n[own]
 
 
+def redraw(df: DataFrame, impossible: Mapping[str, Sequence[int]], domain: Domain, seed: int = 0) -> DataFrame:
+    """Impossible codes replaced by possible ones, drawn evenly by a hash of the row's codes.
+
+    The draw does not ask what other rows hold: one row's change moves no other row, as noise assumes.
+    """
+    row = F.xxhash64(*[F.col(f"`{a}`") for a in domain])
+    out = df
+    for a, codes in impossible.items():
+        left = [k for k in range(domain[a]) if k not in set(codes)]
+        if not left:
+            raise ValueError(f"no code of {a} is possible")
+        if len(left) < domain[a]:
+            pick = F.least(F.floor(uniform(seed, f"possible {a}", row) * len(left)).cast("int"), F.lit(len(left) - 1))
+            out = out.withColumn(f"_new_{a}", F.when(F.col(f"`{a}`").isin(sorted(set(codes))), lookup(pick, left)).otherwise(F.col(f"`{a}`")).cast("int"))
+    for a in impossible:  # all draws see the row as it was
+        if f"_new_{a}" in out.columns:
+            out = out.withColumn(a, F.col(f"`_new_{a}`")).drop(f"_new_{a}")
+    return out
+
+
 def check_codes(df: DataFrame, domain: Domain) -> None:
     """Raises ValueError where a column of the domain is absent, not whole-numbered, null, negative or too large."""
     types = dict(df.dtypes)

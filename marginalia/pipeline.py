@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marginalia.operators.binning import TableBinner
 from marginalia.operators.cut import cut
 from marginalia.operators.generate import generate
-from marginalia.operators.marginals import check_codes, count_cells
+from marginalia.operators.marginals import check_codes, count_cells, redraw
 from marginalia.plans.compression import Compressor
 from marginalia.plans.factors import GraphicalModel
 from marginalia.plans.inference import Measurement, estimate
@@ -66,6 +66,7 @@ class GraphicalGenerator:
         if self.domain is None:
             raise ValueError("Domain must be provided")
         check_codes(df, self.domain)
+        df = redraw(df, self.impossible, self.domain, self.strategy.seed or 0)
         counts = lambda cliques: count_cells(df, cliques, self.domain, weight)
         if public or self.state is None:
             self.measurements, self.public = self.strategy.select(self.domain, counts, public), public

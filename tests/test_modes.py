@@ -123,3 +123,18 @@ def test_domain_wider_than_the_data(spark):
     assert b.set_params(n_bins=3).n_bins == 3
     with pytest.raises(ValueError, match="no parameter"):
         b.set_params(bins=3)
+
+
+def test_impossible_codes_are_drawn_again(spark, tables):
+    rows = tables[0]
+    new = marginals.redraw(rows, {"x": [1, 2], "z": []}, D, 4).persist()
+    assert new.where("x in (1, 2)").count() == 0 and new.count() == rows.count()
+    assert new.select("y", "z").exceptAll(rows.select("y", "z")).count() == 0
+    moved = rows.where("x in (1, 2)").count()
+    assert abs(new.where("x = 0").count() - rows.where("x = 0").count() - moved / 2) < moved / 5
+    g = GraphicalGenerator("mst", epsilon=None, iters=50, compress=False).set_domain(D).set_structural_zeros({"x": [1, 2]}).fit(rows)
+    one = next(m for m in g.measurements if m.clique == ("x",))
+    assert sum(one.y) == rows.count() and one.y[1] == one.y[2] == 0
+    assert g.generate(spark, 100).where("x in (1, 2)").count() == 0
+    with pytest.raises(ValueError, match="possible"):
+        marginals.redraw(rows, {"y": [0, 1, 2]}, D)
