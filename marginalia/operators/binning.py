@@ -128,6 +128,10 @@ def private_tree(counts: list[int], low: float, high: float, bins: int, eps: flo
     raise AssertionError("a tree of whole cells asks for no counts")
 
 
+#: Ways to choose the edges of a numeric column.
+BINNERS = ("uniform", "priv-tree")
+
+
 @dataclass
 class TableBinner:
     """Codes for a table of mixed types. ``epsilon`` pays for bounds and trees of numeric columns, split evenly;
@@ -147,6 +151,10 @@ class TableBinner:
     flags: dict[str, str] = field(default_factory=dict)
     spent: float = 0.0
 
+    def __post_init__(self) -> None:
+        if self.binner not in BINNERS:
+            raise ValueError(f"no binner {self.binner}: {', '.join(BINNERS)}")
+
     def set_random_state(self, seed: int | None) -> TableBinner:
         """The seed of the noise and of the fill values from the next fit on."""
         self.seed = seed
@@ -158,6 +166,7 @@ class TableBinner:
             if name not in ("binner", "n_bins", "epsilon", "domain", "zeros", "seed"):
                 raise ValueError(f"the binner has no parameter {name}")
             setattr(self, name, value)
+        self.__post_init__()
         return self
 
     def fit(self, df: DataFrame, public: bool = False) -> TableBinner:

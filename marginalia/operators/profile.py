@@ -28,9 +28,9 @@ class ColumnProfile:
         return self.distinct + (self.missing > 0) <= 1
 
 
-def profile(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, ColumnProfile]:
+def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False) -> dict[str, ColumnProfile]:
     """Profiles by column from a single job. Whether a column holds two values is exact; the number of
-    them is estimated, so that no column's values are shuffled whole."""
+    them is estimated, so that no column's values are shuffled whole, unless ``exact``."""
     columns = list(columns or df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
     out = [F.count(F.lit(1)).alias("_rows")]
@@ -40,7 +40,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, Co
         kinds[c] = kind_of(types[c])
         there = F.when(~missing(col, types[c]), col)
         value = to_number(there, kinds[c]) if kinds[c] else there.cast("string")
-        out += [F.sum(missing(col, types[c]).cast("long")).alias(f"n{k}"), F.min(value).alias(f"l{k}"), F.max(value).alias(f"h{k}"), F.approx_count_distinct(value).alias(f"d{k}")]
+        out += [F.sum(missing(col, types[c]).cast("long")).alias(f"n{k}"), F.min(value).alias(f"l{k}"), F.max(value).alias(f"h{k}"), (F.count_distinct(value) if exact else F.approx_count_distinct(value)).alias(f"d{k}")]
     row = df.agg(*out).first()
     found = {}
     for k, c in enumerate(columns):

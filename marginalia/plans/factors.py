@@ -182,6 +182,36 @@ def elimination_order(domain: Domain, cliques: Iterable[Clique], attrs: Iterable
     return order
 
 
+def best_order(domain: Domain, cliques: Iterable[Clique], tries: int = 10, seed: int = 0) -> list[str]:
+    """The elimination order of the fewest cells among the greedy one and ``tries`` random ones, in which an attribute
+    comes next the likelier the fewer cells its new clique has."""
+    cliques = list(cliques)
+    rng = np.random.default_rng(seed)
+
+    def draw() -> tuple[int, list[str]]:
+        groups, left, order, cells = [set(c) for c in cliques], list(domain.attrs), [], 0
+        while left:
+            joined = [set().union({a}, *[g for g in groups if a in g]) for a in left]
+            costs = np.array([domain.size(j) for j in joined], float)
+            k = int(rng.choice(len(left), p=(1 / costs) / (1 / costs).sum()))
+            a, own = left.pop(k), joined[k]
+            groups = [g for g in groups if a not in g] + [own - {a}]
+            order.append(a)
+            cells += int(costs[k])
+        return cells, order
+
+    def cost(order: list[str]) -> int:
+        groups, cells = [set(c) for c in cliques], 0
+        for a in order:
+            own = set().union({a}, *[g for g in groups if a in g])
+            groups = [g for g in groups if a not in g] + [own - {a}]
+            cells += domain.size(own)
+        return cells
+
+    greedy = elimination_order(domain, cliques)
+    return min([(cost(greedy), greedy), *(draw() for _ in range(tries))], key=lambda x: x[0])[1]
+
+
 class JunctionTree:
     """Maximal cliques of the triangulated graph and a tree of greatest separators over them."""
 
@@ -308,7 +338,42 @@ class GraphicalModel:
         return Factor(f.domain, np.exp(f.values - log_sum_exp(f.values) + np.log(self.total)))
 
     def project_many(self, wanted: Iterable[Clique]) -> dict[Clique, Factor]:
-        return {w: self.project(w) for w in wanted}
+        """Marginals of many sets of attributes. One that no clique holds comes from the part of the tree between the
+        cliques that do: clique marginals over separator marginals there, the rest of the tree is not touched."""
+        return {w: self._between(tuple(w)) for w in wanted}
+
+    def _between(self, attrs: Clique) -> Factor:
+        need = set(attrs)
+        if any(need <= set(c) for c in self.cliques):
+            return self.project(attrs)
+        part = set(range(len(self.cliques)))
+        near = {i: set(self.tree.neighbours[i]) for i in part}
+        leaves = [i for i in part if len(near[i]) <= 1]
+        while leaves:  # a leaf goes if its neighbour holds all that is wanted of it
+            i = leaves.pop()
+            if i not in part or len(part) == 1 or len(near[i]) > 1:
+                continue
+            held = set(self.cliques[next(iter(near[i]))]) if near[i] else set()
+            if need & set(self.cliques[i]) <= held:
+                part.remove(i)
+                for j in near[i]:
+                    near[j].discard(i)
+                    leaves.append(j)
+        factors, seen = [], set()
+        with np.errstate(divide="ignore"):
+            for i in sorted(part):
+                f = self.marginals[self.cliques[i]].log()
+                # each separator is divided out once, in the clique that is met second
+                for j in near[i] & seen:
+                    if sep := self.tree.separator(i, j):
+                        shared = self.marginals[self.cliques[i]].project(sep).expand(f.domain).values
+                        f = Factor(f.domain, np.where(shared > 0, f.values - np.log(np.where(shared > 0, shared, 1.0)), -np.inf))
+                seen.add(i)
+                factors.append(f)
+        inside = set().union(*(self.cliques[i] for i in part))
+        gone = elimination_order(self.domain, [self.cliques[i] for i in part], inside - need)
+        out = eliminate(factors, gone, log=True).transpose(attrs)
+        return Factor(out.domain, np.exp(out.values - log_sum_exp(out.values) + np.log(self.total)))
 
     def krondot(self, matrices: Sequence[np.ndarray]) -> np.ndarray:
         """Answers of a Kronecker product of query matrices, one for each attribute."""

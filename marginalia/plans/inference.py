@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -70,8 +71,9 @@ def loss_and_gradient(marginals: CliqueVector, homes: Mapping[Clique, list[Measu
     return loss, grad
 
 
-def estimate(domain: Domain, measurements: Iterable[Measurement], iters: int = 1000, total: float | None = None, engine: str = "MD", metric: str | Callable = "L2", impossible: Mapping[str, Iterable[int]] | None = None, warm: CliqueVector | None = None, callback: Callable | None = None, cliques: Sequence[Clique] = ()) -> GraphicalModel:
-    """Model whose marginals are nearest to the measurements. engine: MD, RDA or IG."""
+def estimate(domain: Domain, measurements: Iterable[Measurement], iters: int = 1000, total: float | None = None, engine: str = "MD", metric: str | Callable = "L2", impossible: Mapping[str, Iterable[int]] | None = None, warm: CliqueVector | None = None, callback: Callable | None = None, cliques: Sequence[Clique] = (), step: float | Callable[[int], float] | None = None) -> GraphicalModel:
+    """Model whose marginals are nearest to the measurements. engine: MD, RDA or IG. step: of MD, a number or a schedule
+    by iteration; None searches for it."""
     ms = [m.checked(domain) for m in measurements]
     total = estimate_total(ms) if total is None else total
     model = GraphicalModel(domain, [m.clique for m in ms] + list(cliques), total, impossible)
@@ -81,10 +83,24 @@ def estimate(domain: Domain, measurements: Iterable[Measurement], iters: int = 1
         homes.setdefault(home, []).append(m)
     if warm:
         model.potentials.combine(warm)
+    if engine == "MD" and step is not None:
+        _stepped_descent(model, homes, iters, metric, callback, step if callable(step) else lambda _: step)
+        return model
     {"MD": _mirror_descent, "RDA": _dual_averaging, "IG": _interior_gradient}[engine](model, homes, iters, metric, callback)
     return model
 
 
+def _stepped_descent(model: GraphicalModel, homes, iters: int, metric, callback, step: Callable[[int], float]) -> None:
+    """Mirror descent with given steps; an iteration is one belief propagation."""
+    theta, mu = model.potentials, model.marginals
+    for k in range(iters):
+        theta = theta - loss_and_gradient(mu, homes, metric)[1] * step(k)
+        mu = model.belief_propagation(theta)
+        if callback:
+            callback(mu)
+    model.potentials, model.marginals = theta, mu
+
+
 def _mirror_descent(model: GraphicalModel, homes, iters: int, metric, callback) -> None:
     theta = model.potentials
     mu = model.belief_propagation(theta)
@@ -157,10 +173,12 @@ def _interior_gradient(model: GraphicalModel, homes, iters: int, metric, callbac
 
 
 class Progress:
-    """Callback that keeps a row for each call: iteration, L1, L2 and greatest disagreement of shared marginals."""
+    """Callback that keeps a row for each call: iteration, L1, L2, greatest disagreement of shared marginals, seconds
+    since it was made and, given ``true`` counts, the mean variation distance of the model to them."""
 
-    def __init__(self, homes: Mapping[Clique, list[Measurement]], every: int = 1):
-        self.homes, self.every, self.rows, self.n = homes, every, [], 0
+    def __init__(self, homes: Mapping[Clique, list[Measurement]], every: int = 1, true: Mapping[Clique, Factor] | None = None):
+        self.homes, self.every, self.true, self.rows, self.n = homes, every, true or {}, [], 0
+        self.start = time.perf_counter()
 
     def __call__(self, mu: CliqueVector) -> None:
         if self.n % self.every == 0:
@@ -169,5 +187,16 @@ class Progress:
                 for b, g in mu.items():
                     if a < b and (shared := tuple(x for x in a if x in b)):
                         gap = max(gap, float(np.abs(f.project(shared).values - g.project(shared).values).max()))
-            self.rows.append((self.n, loss_and_gradient(mu, self.homes, "L1")[0], loss_and_gradient(mu, self.homes, "L2")[0], gap))
+            far = [self._distance(mu, c, f) for c, f in self.true.items()]
+            far = [x for x in far if x is not None]
+            self.rows.append((self.n, loss_and_gradient(mu, self.homes, "L1")[0], loss_and_gradient(mu, self.homes, "L2")[0], gap, time.perf_counter() - self.start, float(np.mean(far)) if far else None))
         self.n += 1
+
+    @staticmethod
+    def _distance(mu: CliqueVector, clique: Clique, true: Factor) -> float | None:
+        """Half the L1 distance of the two distributions; None where no clique of the model holds the attributes."""
+        home = next((f for c, f in mu.items() if set(clique) <= set(c)), None)
+        if home is None:
+            return None
+        p, q = home.project(clique).values, true.transpose(clique).values
+        return float(np.abs(p / max(p.sum(), 1e-300) - q / max(q.sum(), 1e-300)).sum() / 2)

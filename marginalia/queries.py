@@ -46,9 +46,9 @@ _CODED_SQL = f"(SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2
 
 
 def profile_columns(spark: SparkSession, d: str) -> DataFrame:
-    found = profile(_t(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_extendedprice"])
-    rows = [(c, p.rows, p.missing, p.static, float(p.low), float(p.high)) for c, p in found.items()]
-    return spark.createDataFrame(rows, "name string, n long, n_null long, static boolean, low double, high double")
+    found = profile(_t(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_extendedprice"], exact=True)
+    rows = [(c, p.rows, p.missing, p.distinct, p.static, float(p.low), float(p.high)) for c, p in found.items()]
+    return spark.createDataFrame(rows, "name string, n long, n_null long, n_distinct long, static boolean, low double, high double")
 
 
 def encode_categories(spark: SparkSession, d: str) -> DataFrame:
@@ -301,7 +301,7 @@ def oracle_sql() -> dict[str, str]:
     grid = lambda a, b: f"SELECT '{a}' AS a, '{b}' AS b, g.i, h.j, coalesce(x.n, 0) AS n, ra.n AS na, rb.n AS nb FROM range({SIZES[a]}) AS g(i) CROSS JOIN range({SIZES[b]}) AS h(j) LEFT JOIN (SELECT {a} AS i, {b} AS j, count(*) AS n FROM c GROUP BY ALL) x ON x.i = g.i AND x.j = h.j LEFT JOIN (SELECT {a} AS i, count(*) AS n FROM c GROUP BY ALL) ra ON ra.i = g.i LEFT JOIN (SELECT {b} AS j, count(*) AS n FROM c GROUP BY ALL) rb ON rb.j = h.j"
     pairs = list(combinations(attrs, 2))
     entropy = lambda cols: f"(SELECT -sum(p * log2(p)) FROM (SELECT count(*) / (SELECT count(*)::DOUBLE FROM c) AS p FROM c GROUP BY {cols}))"
-    stats = lambda x: f"SELECT '{x}' AS name, count(*) AS n, count(*) - count({x}) AS n_null, count(DISTINCT {x}) + CAST(count(*) > count({x}) AS INT) <= 1 AS static, CAST(min({x}) AS DOUBLE) AS low, CAST(max({x}) AS DOUBLE) AS high FROM lineitem"
+    stats = lambda x: f"SELECT '{x}' AS name, count(*) AS n, count(*) - count({x}) AS n_null, count(DISTINCT {x}) AS n_distinct, count(DISTINCT {x}) + CAST(count(*) > count({x}) AS INT) <= 1 AS static, CAST(min({x}) AS DOUBLE) AS low, CAST(max({x}) AS DOUBLE) AS high FROM lineitem"
     power = lambda x: f"CAST(CASE WHEN abs({x}) < 1 THEN 0 ELSE sign({x}) * (floor(log2(abs({x}))) + 1) END AS INT)"
     edge = lambda b, up: f"CASE WHEN {b} = 0 THEN {up} WHEN {b} > 0 THEN pow(2.0, {b} - {int(up < 0)}) ELSE -pow(2.0, -{b} - {int(up > 0)}) END"
     bounds = lambda x: f"SELECT '{x}' AS name, CAST({edge('min(b)', -1)} AS DOUBLE) AS low, CAST({edge('max(b)', 1)} AS DOUBLE) AS high FROM (SELECT {power(x)} AS b FROM customer)"
