@@ -123,7 +123,7 @@ def _within_one(a: Column, b: Column) -> Column:
     )
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
     """The rows of docs with ``text`` freed of each line that repeats an earlier one, and the columns
     n_lines and n_removed.
 
@@ -132,7 +132,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_wor
     lines; an empty text stays empty. Rows that share a doc_id count as one place: the same line at
     the same place in both stays in both. Rows without a doc_id come after all others and count as one
     place as well. A text may become empty; its row stays. Other columns are kept, whatever their names,
-    but columns n_lines and n_removed are replaced; an empty table gives none.
+    but those that have the names of n_lines and n_removed are replaced; an empty table gives none.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     first = earlier_neighbours(base, least_words)
@@ -144,7 +144,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_wor
     seen = seen.withColumn("dealt", F.when(F.col("first_hot").isNull(), F.col("k")).otherwise(F.xxhash64("doc_id", "own", "at")))
     met = seen.select("dealt", "k2", "doc_id", "own", "at", "first_hot").join(cold, ["dealt", "k2"], "left")
     gone = met.where(_place(F.col("doc_id"), F.col("at")) > F.coalesce("first_hot", "first"))
-    d, own, at, new = (free_name([*docs.columns, "n_lines", "n_removed"], x) for x in ("d", "own", "at", "new"))
+    d, own, at, new = (free_name([*docs.columns, n_lines, n_removed], x) for x in ("d", "own", "at", "new"))
     gone = gone.groupBy(F.col("doc_id").alias(d), F.col("own").alias(own)).agg(F.array_sort(F.collect_set("at")).alias(at))
     body = F.col(f"`{text}`")
     joined = docs.join(gone, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(body) == F.col(own)), "left")
@@ -156,5 +156,5 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_wor
     lines = F.when(body.isNull(), 0).otherwise(F.size(parts))
     after = F.when(F.col(at).isNull(), lines).otherwise(F.size(kept))
     joined = joined.withColumn(new, F.struct(F.when(F.col(at).isNull(), body).otherwise(F.array_join(kept, "\n")).alias("text"), lines.cast("long").alias("n"), (lines - after).cast("long").alias("gone")))
-    columns = [F.col(new)["text"].alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    return joined.select(*columns, F.col(new)["n"].alias("n_lines"), F.col(new)["gone"].alias("n_removed"))
+    columns = [F.col(new)["text"].alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c.lower() not in (n_lines.lower(), n_removed.lower())]
+    return joined.select(*columns, F.col(new)["n"].alias(n_lines), F.col(new)["gone"].alias(n_removed))
