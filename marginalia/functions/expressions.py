@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -84,10 +85,19 @@ def count_at_or_below(v: Column, edges: list[float]) -> Column:
     return _search(v, edges, 0)
 
 
+#: Entries up to which a table is written out as an expression; longer ones are one literal array.
+WRITTEN_OUT = 128
+
+
 def _search(v: Column, inner: list[float], first: int) -> Column:
-    """Balanced comparisons: the number of inner edges at or below v."""
+    """The number of inner edges at or below v: balanced comparisons, or a binary search of a literal array."""
     if not inner:
         return F.lit(first)
+    if len(inner) > WRITTEN_OUT:
+        table = literal_array(inner)
+        strides = F.array(*[F.lit(1 << k) for k in range(len(inner).bit_length() - 1, -1, -1)])
+        step = lambda at, stride: F.when((at + stride <= len(inner)) & (v >= F.get(table, at + stride - 1)), at + stride).otherwise(at)
+        return F.aggregate(strides, F.lit(0), step) + F.lit(first)
     mid = len(inner) // 2
     return F.when(v >= F.lit(inner[mid]), _search(v, inner[mid + 1 :], first + mid + 1)).otherwise(_search(v, inner[:mid], first))
 
@@ -110,23 +120,33 @@ def allowed_pieces(b: Binning) -> list[list[tuple[float, float]]]:
 
 
 def bin_value(code: Column, b: Binning, u: Column) -> Column:
-    """A value of the bin: the point at share u of its allowed length. Whole numbers stay inside their piece."""
-    cases = None
+    """A value of the bin: the point at share u of its allowed length. Whole numbers stay inside their piece.
+
+    Pieces are rows of literal tables; only bins of several pieces are told apart by comparisons.
+    """
+    lows, highs, before, shares, first = [], [], [], [], []
+    inner: list[tuple[int, list[float]]] = []
     for k, parts in enumerate(allowed_pieces(b)):
         length = sum(e - s for s, e in parts)
-        x = F.lit(float(parts[-1][1]))
-        done = 0.0
-        options = []
+        first.append(len(lows))
+        done, borders = 0.0, []
         for s, e in parts:
             share = (e - s) / length if length else 1.0
             low, high = (s, e) if b.kind == "double" else (_ceil(s), _floor(e, s))
-            inside = F.lit(float(low)) + (u - F.lit(done)) / F.lit(share or 1.0) * F.lit(float(high - low))
-            options.append((done + share, F.least(F.greatest(inside, F.lit(float(low))), F.lit(float(high)))))
+            lows.append(float(low))
+            highs.append(float(high))
+            before.append(done)
+            shares.append(share or 1.0)
             done += share
-        for upto, value in reversed(options):
-            x = F.when(u < F.lit(upto), value).otherwise(x) if upto < 1.0 else value
-        cases = F.when(code == k, x) if cases is None else cases.when(code == k, x)
-    return cases
+            borders.append(done)
+        if len(parts) > 1:
+            inner.append((k, borders[:-1]))
+    at = lookup(code, first)
+    for k, borders in inner:
+        at = at + F.when(code == k, count_at_or_below(u, borders)).otherwise(0)
+    low, high = lookup(at, lows), lookup(at, highs)
+    x = low + (u - lookup(at, before)) / lookup(at, shares) * (high - low)
+    return F.least(F.greatest(x, low), high)
 
 
 def _ceil(x: float) -> float:
@@ -151,6 +171,14 @@ def decode(code: Column, e: Encoding) -> Column:
     return F.get(F.array(*[F.lit(v) for v in e.values]), code) if e.values else F.lit(None)
 
 
+def literal_array(table: Sequence) -> Column:
+    """An array of constants; a long one is read from one constant, which the optimizer folds."""
+    if len(table) <= WRITTEN_OUT or not all(isinstance(x, (int, float)) for x in table):
+        return F.array(*[F.lit(x) for x in table])
+    kind = "double" if any(isinstance(x, float) for x in table) else "int" if max(map(abs, table)) < 2**31 else "bigint"
+    return F.from_json(F.lit(json.dumps([float(x) if kind == "double" else x for x in table])), f"array<{kind}>")
+
+
 def lookup(code: Column, table: Sequence) -> Column:
     """table[code] by a literal array."""
-    return F.get(F.array(*[F.lit(x) for x in table]), code)
+    return F.get(literal_array(table), code)
