@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -207,3 +208,7 @@ class Pipeline:
         out.generator = GraphicalGenerator.from_json(read_text(spark, f"{path}/model.json"))
         out.binner = TableBinner.from_json(read_text(spark, f"{path}/binner.json")) if exists(spark, f"{path}/binner.json") else None
         return out
+
+
+#: A pipeline for each strategy, with the strategy's own defaults.
+PIPELINES = {name: partial(Pipeline, name) for name in STRATEGIES}

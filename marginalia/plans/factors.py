@@ -277,6 +277,16 @@ def model_mb(domain: Domain, cliques: Iterable[Clique]) -> float:
     return JunctionTree(domain, list(cliques)).cells() * 8 / 2**20
 
 
+def clique_mb(domain: Domain, clique: Clique) -> float:
+    """Size of one table, in MB of eight-byte cells."""
+    return domain.size(clique) * 8 / 2**20
+
+
+def measured_mb(domain: Domain, cliques: Iterable[Clique]) -> float:
+    """Size of the answers of measured cliques."""
+    return sum(clique_mb(domain, c) for c in cliques)
+
+
 def eliminate(factors: Sequence[Factor], order: Iterable[str], log: bool = False) -> Factor:
     """Product (sum of logs) of factors with attributes summed out one after the other."""
     left = list(factors)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Callable
 from itertools import combinations
@@ -19,6 +20,7 @@ from marginalia.plans.compression import Compressor
 from marginalia.plans.inference import Measurement
 from marginalia.plans.privacy import Noise
 from marginalia.plans.select import Mst, workload_scores
+from marginalia.streaming.transform import coded_stream
 from marginalia.types import Binning, Domain, Encoding
 
 FLAGS, STATUS = ["A", "N", "R"], ["F", "O"]
@@ -252,10 +254,10 @@ def conditional_distribution_exact(spark: SparkSession, d: str) -> DataFrame:
     return M.factor_divide(pair, M.factor_sum(pair, ["l_linestatus"]))
 
 
-def generate_rounded(spark: SparkSession, d: str, stored: bool = False) -> DataFrame:
-    """One-way tables of as many rows as there are, generated by "round" from the noise-free tree: those of the data."""
+def generate_rounded(spark: SparkSession, d: str, stored: bool = False, strategy: str = "mst", **params) -> DataFrame:
+    """One-way tables of as many rows as there are, generated by "round" from a noise-free model: those of the data."""
     rows = _coded(spark, d).persist()
-    g = GraphicalGenerator("mst", epsilon=None, compress=False).set_domain(SIZES).fit(rows)
+    g = GraphicalGenerator(strategy, epsilon=None, compress=False, **params).set_domain(SIZES).fit(rows)
     n = rows.count()
     rows.unpersist()
     if stored:
@@ -270,6 +272,27 @@ def generate_from_json(spark: SparkSession, d: str) -> DataFrame:
     return generate_rounded(spark, d, stored=True)
 
 
+def generate_rounded_privbayes(spark: SparkSession, d: str) -> DataFrame:
+    return generate_rounded(spark, d, strategy="priv-bayes")
+
+
+def stream_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Codes that a frozen discretisation gives to a stream of the table's files."""
+    t = _t(spark, d, "lineitem").select("l_returnflag", "l_quantity")
+    b = TableBinner("uniform", 10, domain={"l_quantity": {"lower": 0, "upper": 50}, "l_returnflag": {"categories": FLAGS}}).fit(t, public=True)
+    stream = spark.readStream.schema(_t(spark, d, "lineitem").schema).parquet(f"{d}/lineitem.parq[u]et").select("l_returnflag", "l_quantity")
+    name = f"coded_{uuid.uuid4().hex}"
+    coded = coded_stream(stream, b).groupBy("l_returnflag", "l_quantity").agg(F.count(F.lit(1)).alias("n"))
+    coded.writeStream.format("memory").outputMode("complete").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select("l_returnflag", F.col("l_quantity").alias("qty"), "n")
+
+
+def redrawn_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by code after impossible codes (the last four line numbers) are drawn again: none of these, and no row lost."""
+    new = M.redraw(_coded(spark, d), {"l_linenumber": [3, 4, 5, 6]}, SIZES, 7)
+    return new.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_linenumber") > 2).alias("n_impossible"), F.sum("qty").alias("qty"))
+
+
 def _generate(strategy: str, **params) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         t = _t(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax", "l_shipdate")
@@ -289,7 +312,7 @@ def generate_conditional(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (profile_columns, encode_categories, bin_uniform, bin_optimal_count, bin_privtree_noise_free, bin_inverse_midpoint, marginal_1way, marginal_2way, marginal_3way, marginal_weighted, marginals_all_pairs, marginal_dense, marginal_rollup, marginal_datetime, entropy_1way, mutual_information_pairs, mst_edge_weights, mst_edges_noise_free, compress_supports, compress_transform, null_flag_fill, compress_reverse, binner_round_trip, null_restore, private_bounds_noise_free, factor_product, factor_divide, factor_condition, conditional_distribution, quota_round, generate_rounded, generate_from_json, generate_conditional)
+    own = (profile_columns, encode_categories, bin_uniform, bin_optimal_count, bin_privtree_noise_free, bin_inverse_midpoint, marginal_1way, marginal_2way, marginal_3way, marginal_weighted, marginals_all_pairs, marginal_dense, marginal_rollup, marginal_datetime, entropy_1way, mutual_information_pairs, mst_edge_weights, mst_edges_noise_free, compress_supports, compress_transform, null_flag_fill, compress_reverse, binner_round_trip, null_restore, private_bounds_noise_free, factor_product, factor_divide, factor_condition, conditional_distribution, quota_round, generate_rounded, generate_rounded_privbayes, generate_from_json, stream_codes, redrawn_codes, generate_conditional)
     out = {f.__name__: f for f in own} | {"workload_scores": workload_scores_query, "bounds_histogram": bounds_histogram_query}
     return out | {"generate_mst": _generate("mst"), "generate_aim": _generate("aim"), "generate_privbayes": _generate("priv-bayes")}
 
@@ -343,5 +366,8 @@ def oracle_sql() -> dict[str, str]:
         "conditional_distribution": f"{pair} SELECT l_returnflag, l_linestatus, round(value / sum(value) OVER (PARTITION BY l_linestatus), 9) AS value FROM p",
         "quota_round": f"{c} SELECT l_linestatus, CAST(dense_rank() OVER (PARTITION BY l_linestatus ORDER BY l_returnflag) - 1 AS INT) AS nth, count(*) AS n FROM c GROUP BY l_linestatus, l_returnflag",
         "generate_rounded": ones,
+        "generate_rounded_privbayes": ones,
         "generate_from_json": ones,
+        "stream_codes": "SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS l_returnflag, CAST(least(floor(l_quantity / 5), 9) AS INT) AS qty, count(*) AS n FROM lineitem GROUP BY ALL",
+        "redrawn_codes": f"{c} SELECT count(*) AS n, 0::BIGINT AS n_impossible, CAST(sum(qty) AS BIGINT) AS qty FROM c",
     }

@@ -109,6 +109,14 @@ class Binning:
     def n_bins(self) -> int:
         return len(self.edges) - 1
 
+    @property
+    def bounds(self) -> tuple[float, float]:
+        """Least and greatest value that has a bin of its own."""
+        return self.edges[0], self.edges[-1]
+
+    def bin_bounds(self, k: int) -> tuple[float, float]:
+        return self.edges[k], self.edges[k + 1]
+
     def to_json(self) -> dict:
         return asdict(self)
 

@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marginalia.plans.factors import Factor, GraphicalModel, JunctionTree, best_order, eliminate
+from marginalia.plans.factors import Factor, GraphicalModel, JunctionTree, best_order, clique_mb, eliminate, measured_mb, model_mb
 from marginalia.plans.inference import Measurement, Progress, estimate
 from marginalia.plans.privacy import Ledger, Noise, delta_of, epsilon_of, exponential_mechanism, rho_of
 from marginalia.plans.select import Mst, downward_closure, workload_scores
@@ -126,3 +126,15 @@ def test_given_steps_and_the_distance_to_the_data(step):
     estimate(D, ms, iters=300, step=step, callback=watch)
     far = [r[5] for r in watch.rows]
     assert len(far) == 300 and far[-1] < 0.02 < far[0] and watch.rows[-1][4] >= watch.rows[0][4]
+
+
+def test_sizes():
+    assert clique_mb(D, ("a", "b")) == 6 * 8 / 2**20 and measured_mb(D, CLIQUES) == (6 + 12 + 8) * 8 / 2**20 == model_mb(D, CLIQUES)
+
+
+def test_pipelines_have_their_strategies_defaults():
+    from marginalia.pipeline import PIPELINES
+
+    made = {name: make(epsilon=1.0).generator.strategy for name, make in PIPELINES.items()}
+    assert {n: s.iters for n, s in made.items()} == {"mst": 5000, "aim": 1000, "priv-bayes": 5000}
+    assert made["aim"].degree == made["priv-bayes"].degree == 2
