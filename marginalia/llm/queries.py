@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as queries over the driver's tables, and their SQL."""
+"""The operators as queries over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, chat, decontaminate, embed, langid, lines, pages, quality, secrets, simhash
+from marginalia.llm import bpe, chat, decontaminate, embed, langid, licenses, lines, pages, quality, secrets, simhash
 from marginalia.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -84,8 +84,17 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), templates=licenses.BASE + licenses.MORE)
+    base = F.filter("matches", lambda m: m["template"] < len(licenses.BASE))
+    told = lambda xs: F.array_join(F.array_sort(F.array_distinct(F.transform(xs, lambda m: m["label"]))), ",")
+    start = F.transform(base, lambda m: m["start"].cast("long"))
+    score = F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0))
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(start).alias("first_word"), F.array_max(start).alias("last_word"), told(base).alias("base_labels"), told(F.col("matches")).alias("labels"), score.alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_secret_scan, op3_line_dedup, op4_chat_format, op5_quality, op6_simhash, op7_bpe, op8_decontaminate, op9_embedding_dedup, op10_html_extract)
+    own = (op1_language_id, op2_secret_scan, op3_line_dedup, op4_chat_format, op5_quality, op6_simhash, op7_bpe, op8_decontaminate, op9_embedding_dedup, op10_html_extract, op13_license_scan)
     return {f.__name__: f for f in own}
 
 
