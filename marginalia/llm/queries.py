@@ -140,6 +140,34 @@ FROM e GROUP BY conv_id
 """
 
 
+def _licenses_sql() -> str:
+    """Every phrase at every place and every block of every notice, without any filter."""
+    order, sides = licenses.sides(licenses.BASE + licenses.MORE, {})
+    listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    phrases = ", ".join(f"('{s.template.label}', {s.number < len(licenses.BASE)}, {listed(s.sequence)})" for s in sides if s.template.phrase)
+    notices = ", ".join(f"('{s.template.label}', {s.need}, {s.stride}, {listed(s.ordered)})" for s in sides if not s.template.phrase)
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents
+), p AS (
+  SELECT r, label, base, i - 1 AS start, 1.0::DOUBLE AS share
+  FROM (SELECT r, label, base, phrase, ws, unnest(range(1, len(ws) - len(phrase) + 2)) AS i FROM d, (VALUES {phrases}) t(label, base, phrase))
+  WHERE ws[i] = phrase[1] AND ws[i:i + len(phrase) - 1] = phrase
+), b AS (
+  SELECT r, label, need, ordered, ws[k * stride + 1:(k + 2) * stride] AS block
+  FROM (SELECT *, unnest(range(0, len(ws) // stride + 1)) AS k FROM d, (VALUES {notices}) t(label, need, stride, ordered))
+), n AS (
+  SELECT r, label, len(list_intersect(ordered, block)) / len(ordered)::DOUBLE AS share FROM b WHERE len(list_intersect(ordered, block)) >= need
+), m AS (SELECT r, label, base, start, share FROM p UNION ALL SELECT r, label, false, NULL, share FROM n
+), g AS (
+  SELECT r, count(*) FILTER (base) AS n, min(start) FILTER (base) AS a, max(start) FILTER (base) AS z, max(share) AS score,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS bl, string_agg(DISTINCT label, ',' ORDER BY label) AS al FROM m GROUP BY r
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, coalesce(bl, '') AS base_labels, coalesce(al, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN g USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Of the operators that SQL can express; the others are tested against brute force."""
-    return {"op3_line_dedup": _LINES_SQL, "op4_chat_format": _CHATS_SQL}
+    return {"op3_line_dedup": _LINES_SQL, "op4_chat_format": _CHATS_SQL, "op13_license_scan": _licenses_sql()}
