@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, chat, decontaminate, embed, langid, licenses, lines, pages, quality, secrets, simhash
+from marginalia.llm import bpe, chat, codes, decontaminate, embed, langid, licenses, lines, pages, quality, secrets, simhash
 from marginalia.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -84,6 +84,12 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = codes.encode(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("entry", lambda e: F.lpad(F.lower(F.hex(e)), 2, "0")), "")
+    return codes.label_errors(done).select("vec_id", code.alias("code"), "error", "label_error", F.lit(done.digest).alias("codebooks_sha256"))
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), templates=licenses.BASE + licenses.MORE)
     base = F.filter("matches", lambda m: m["template"] < len(licenses.BASE))
@@ -94,7 +100,7 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_secret_scan, op3_line_dedup, op4_chat_format, op5_quality, op6_simhash, op7_bpe, op8_decontaminate, op9_embedding_dedup, op10_html_extract, op13_license_scan)
+    own = (op1_language_id, op2_secret_scan, op3_line_dedup, op4_chat_format, op5_quality, op6_simhash, op7_bpe, op8_decontaminate, op9_embedding_dedup, op10_html_extract, op11_vector_codes, op13_license_scan)
     return {f.__name__: f for f in own}
 
 
@@ -168,6 +174,25 @@ FROM d LEFT JOIN g USING (r)
 """
 
 
+def _codes_sql() -> str:
+    """Every distance of every round."""
+    near = lambda k: f"a{k} AS MATERIALIZED (SELECT r, part, min(struct_pack(d := d, e := e)) AS best FROM (SELECT r, v.part, e, sum((x - c) * (x - c)) AS d FROM v JOIN c{k} USING (part, i) GROUP BY ALL) GROUP BY ALL)"
+    moved = lambda k: f"c{k + 1} AS MATERIALIZED (SELECT part, e, i, coalesce(m, c) AS c FROM c{k} LEFT JOIN (SELECT v.part, best.e AS e, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m FROM v JOIN a{k} USING (r, part) GROUP BY ALL) USING (part, e, i))"
+    rounds = ", ".join(f"{near(k)}, {moved(k)}" for k in range(codes.ROUNDS))
+    return f"""
+WITH w AS MATERIALIZED (
+  SELECT vec_id, label, len(embedding) // {codes.PARTS} AS n, row_number() OVER (ORDER BY vec_id, embedding) AS r, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), v AS MATERIALIZED (
+  SELECT r, k // n AS part, k % n AS i, CAST(floor(CAST(embedding[k + 1] AS DOUBLE) * {codes.SCALE}) AS BIGINT) AS x FROM (SELECT *, unnest(range(0, len(embedding))) AS k FROM w)
+), c0 AS MATERIALIZED (SELECT part, r - 1 AS e, i, x AS c FROM v WHERE r <= {codes.ENTRIES}
+), {rounds}, {near(codes.ROUNDS)}, t AS (
+  SELECT r, string_agg(lower(printf('%02x', best.e)), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{codes.ROUNDS} GROUP BY r
+), s AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, e, i)) AS digest FROM c{codes.ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM w JOIN t USING (r), s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Of the operators that SQL can express; the others are tested against brute force."""
-    return {"op3_line_dedup": _LINES_SQL, "op4_chat_format": _CHATS_SQL, "op13_license_scan": _licenses_sql()}
+    return {"op3_line_dedup": _LINES_SQL, "op4_chat_format": _CHATS_SQL, "op11_vector_codes": _codes_sql(), "op13_license_scan": _licenses_sql()}
