@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, chat, codes, decontaminate, embed, langid, licenses, lines, pages, quality, secrets, simhash
+from marginalia.llm import bpe, chat, codes, decontaminate, divergence, embed, langid, licenses, lines, pages, quality, secrets, simhash
 from marginalia.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -90,6 +90,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.label_errors(done).select("vec_id", code.alias("code"), "error", "label_error", F.lit(done.digest).alias("codebooks_sha256"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), templates=licenses.BASE + licenses.MORE)
     base = F.filter("matches", lambda m: m["template"] < len(licenses.BASE))
@@ -100,10 +104,32 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_secret_scan, op3_line_dedup, op4_chat_format, op5_quality, op6_simhash, op7_bpe, op8_decontaminate, op9_embedding_dedup, op10_html_extract, op11_vector_codes, op13_license_scan)
+    own = (op1_language_id, op2_secret_scan, op3_line_dedup, op4_chat_format, op5_quality, op6_simhash, op7_bpe, op8_decontaminate, op9_embedding_dedup, op10_html_extract, op11_vector_codes, op12_source_divergence, op13_license_scan)
     return {f.__name__: f for f in own}
 
 
+_DIVERGENCE_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), t AS MATERIALIZED (
+  SELECT r, lang, source, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT r, lang, source, unnest(regexp_extract_all(text, '[A-Za-z\x{80}-\x{10FFFF}]+')) AS w FROM d)
+), k AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30
+), l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY ALL
+), c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL
+), g AS MATERIALIZED (
+  SELECT lang, source, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) USING (lang, source)
+), p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * l.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v) AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), s AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y USING (lang, term) WHERE x.source <> y.source GROUP BY ALL
+), f AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM f QUALIFY part = 'pair' OR rank <= 50
+"""
+
 _LINES_SQL = """
 WITH l AS (
   SELECT doc_id, i - 1 AS ln, x AS raw, trim(x, ' ') AS line
@@ -195,4 +221,4 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 def oracle_sql() -> dict[str, str]:
     """Of the operators that SQL can express; the others are tested against brute force."""
-    return {"op3_line_dedup": _LINES_SQL, "op4_chat_format": _CHATS_SQL, "op11_vector_codes": _codes_sql(), "op13_license_scan": _licenses_sql()}
+    return {"op3_line_dedup": _LINES_SQL, "op4_chat_format": _CHATS_SQL, "op11_vector_codes": _codes_sql(), "op12_source_divergence": _DIVERGENCE_SQL, "op13_license_scan": _licenses_sql()}
