@@ -35,6 +35,8 @@ CHARS, HELD = 4_000_000, 400_000
 CELLS = 500_000
 #: Groups (lang, source) whose totals are sent to the tasks at once; more langs are taken in turns.
 GROUPS = 1_000_000
+#: Parts that a group's first terms are found in before they are put together.
+MERGED = 16
 COUNTS = "lang string, source string, term string, n long, docs long"
 
 
@@ -220,9 +222,12 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     a, b = (free_name(["lang"], n) for n in ("a", "b"))
     pairs = pairs.select("lang", F.col("source").alias(a), F.col("item").alias(b), low, high).join(sums, ["lang", "source", "item"], "left")
     pairs = pairs.select("lang", F.col(a).alias("source"), F.lit("pair").alias("part"), F.col(b).alias("item"), F.coalesce("value", F.lit(0)).cast("long").alias("value"))
-    terms = found.where("part = 'term'").select("lang", "source", "part", "item", "value")
-    place = F.row_number().over(W.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    return pairs.union(terms).select("*", place.alias("rank")).where((F.col("part") == "pair") | (F.col("rank") <= ranks))
+    # a group's first terms by shards of the terms, then of what is left, which is MERGED times ``ranks`` at most
+    first = lambda df, *by: df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("value"), "item"))).where(F.col("rank") <= ranks)
+    terms = found.where("part = 'term'").withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(MERGED)))
+    terms = first(first(terms, "lang", "source", "shard").drop("shard", "rank"), "lang", "source")
+    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
+    return ranked.union(terms.select(ranked.columns))
 
 
 def _turns(groups: DataFrame) -> list[list[str] | None]:
