@@ -2,8 +2,9 @@
 
 1. Each task counts the terms of its documents in DuckDB: (lang, source, term, occurrences, documents), added up
    whenever what it holds exceeds HELD rows, so that a common word or a large source leaves each task as one row.
-2. These counts are dealt by a hash of lang and term. DuckDB adds up a shard's counts, drops the terms of too few
-   documents and returns a row for each kept term with the counts of all of its sources.
+2. These counts are dealt by a hash of lang and term, and sorted by them. DuckDB adds up a shard's counts a slice of
+   whole terms at a time, drops the terms of too few documents and returns a row for each kept term with the counts
+   of all of its sources.
 3. Spark adds up the kept occurrences of every group (lang, source) and the kept terms of every lang.
 4. With these totals, DuckDB takes a shard's kept terms a slice at a time: the share of every term in every group,
    sums over the slice of the differences of each pair of sources, and the first terms of each group.
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import duckdb
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,9 +32,9 @@ LEAST_DOCUMENTS, PRIOR, UNIT, RANKS = 30, 5, 1_000_000_000, 50
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TERM = r"[a-z\x{80}-\x{10FFFF}]+"
 #: Bytes of text that a task's SQL reads at once, and rows of counts that it holds.
-CHARS, HELD = 4_000_000, 400_000
-#: Shares (terms times sources) of one slice.
-CELLS = 500_000
+CHARS, HELD = 2_000_000, 200_000
+#: Counts of a shard, and shares (terms times sources), that a task's SQL reads at once.
+SLICE, CELLS = 60_000, 500_000
 #: Groups (lang, source) whose totals are sent to the tasks at once; more langs are taken in turns.
 GROUPS = 1_000_000
 #: Parts that a group's first terms are found in before they are put together.
@@ -42,9 +44,10 @@ COUNTS = "lang string, source string, term string, n long, docs long"
 
 def _database() -> duckdb.DuckDBPyConnection:
     """One thread, bounded memory and nothing on the disk of the machine."""
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB"})
+    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
     con.execute("SET temp_directory = ''")
     con.execute("SET preserve_insertion_order = false")
+    con.execute("SET allocator_flush_threshold = '8MB'")
     return con
 
 
@@ -119,21 +122,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _KEPT = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("ns", pa.list_(pa.int64()))])
 
 
+def _whole_terms(con: duckdb.DuckDBPyConnection, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in the order of lang and term, some SLICE at a time, cut between terms."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) < SLICE:
+            continue
+        whole = pa.concat_tables(held)
+        last = [pc.equal(whole.column(c), whole.column(c)[-1]) for c in ("lang", "term")]
+        at = whole.num_rows - pc.sum(pc.and_(*last)).as_py()
+        if at:
+            yield whole.slice(0, at)
+            held = [whole.slice(at)]
+        else:  # one term fills the slice: what is known of it is added up
+            held = [_asked(con, _ADD_SQL, counts=whole).cast(_COUNTS)]
+    if held:
+        yield pa.concat_tables(held)
+
+
 def _keep(least: int):
-    """A shard's counts to one row for each term of ``least`` documents, with the counts of its sources."""
+    """A shard's counts, in order, to one row for each term of ``least`` documents, with the counts of its sources."""
+    added = f"SELECT lang, term, list(source) AS sources, list(n) AS ns FROM ({_ADD_SQL}) GROUP BY lang, term HAVING sum(docs) >= {int(least)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = _database()
-        # all counts of a term are in this shard, but what is handed on early may be parts of them
-        con.execute("CREATE TABLE held (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)")
-        for t in _added(con, (pa.Table.from_batches([b]) for b in batches if b.num_rows), HELD):
-            _asked(con, "INSERT INTO held SELECT lang, source, term, n, docs FROM counts", counts=t)
-        out = con.sql(
-            "SELECT lang, term, list(source) AS sources, list(n) AS ns FROM "
-            "(SELECT lang, source, term, CAST(sum(n) AS BIGINT) AS n, sum(docs) AS docs FROM held GROUP BY lang, source, term) "
-            f"GROUP BY lang, term HAVING sum(docs) >= {int(least)}"
-        ).to_arrow_table()
-        yield from _batches(out, _KEPT)
+        for t in _whole_terms(con, batches):
+            yield from _batches(_asked(con, added, counts=t), _KEPT)
 
     return run
 
@@ -199,7 +215,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     spark = docs.sparkSession
     plain = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
     folder = f"{shared_folder(spark)}/divergence-{uuid.uuid4().hex}"
-    counts = plain.mapInArrow(_count, COUNTS).repartition("lang", "term")
+    counts = plain.mapInArrow(_count, COUNTS).repartition("lang", "term").sortWithinPartitions("lang", "term")
     counts.mapInArrow(_keep(least_documents), "lang string, term string, sources array<string>, ns array<long>").write.parquet(folder)
     kept = spark.read.schema("lang string, term string, sources array<string>, ns array<long>").parquet(folder)
     each = kept.select("lang", F.explode(F.arrays_zip("sources", "ns")).alias("e")).select("lang", F.col("e.sources").alias("source"), F.col("e.ns").alias("n"))

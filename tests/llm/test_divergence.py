@@ -52,6 +52,7 @@ def _rows():
 def test_the_audit_is_that_of_plain_counts(spark, monkeypatch, groups, cells, least):
     monkeypatch.setattr(divergence, "GROUPS", groups)
     monkeypatch.setattr(divergence, "CELLS", cells)
+    monkeypatch.setattr(divergence, "SLICE", 60_000 if cells > 1000 else 3)
     rows = _rows()
     docs = spark.createDataFrame(rows, "text string, lang string, source string").repartition(6)
     got = sorted(map(tuple, divergence.audit(docs, least_documents=least, ranks=20).collect()))
@@ -76,6 +77,21 @@ def test_counts_that_are_handed_on_early_add_up(monkeypatch):
     assert n > len(whole) and {k: tuple(v) for k, v in parts.items()} == dict(total(whole))
 
 
+def test_slices_end_between_terms():
+    """Slices of a few rows: one term of more rows than a slice, and terms that end where a batch does."""
+    terms = ["a"] * 9 + ["b"] + ["c"] * 4 + ["d"] * 2 + ["e"]
+    rows = [("x", f"s{k % 3}", t, 1, 1) for k, t in enumerate(terms)]
+    for step in (1, 2, 5, 17):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(divergence._COUNTS.names, r, strict=True)) for r in rows[k : k + step]], divergence._COUNTS) for k in range(0, len(rows), step)]
+        divergence.SLICE, before = 4, divergence.SLICE
+        try:
+            got = [r for b in divergence._keep(2)(iter(batches)) for r in b.to_pylist()]
+        finally:
+            divergence.SLICE = before
+        assert {r["term"]: sum(r["ns"]) for r in got} == {"a": 9, "c": 4, "d": 2} and len(got) == 3
+        assert all(len(set(r["sources"])) == len(r["sources"]) for r in got)
+
+
 def test_odd_tables(spark):
     shape = "term string, lang string, source string, text string, item string, rank int, value long"
     empty = divergence.audit(spark.createDataFrame([], shape))
