@@ -32,7 +32,7 @@ LEAST_DOCUMENTS, PRIOR, UNIT, RANKS = 30, 5, 1_000_000_000, 50
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TERM = r"[a-z\x{80}-\x{10FFFF}]+"
 #: Bytes of text that a task's SQL reads at once, and rows of counts that it holds.
-CHARS, HELD = 2_000_000, 200_000
+CHARS, HELD = 2_000_000, 600_000
 #: Counts of a shard, and shares (terms times sources), that a task's SQL reads at once.
 SLICE, CELLS = 60_000, 500_000
 #: Groups (lang, source) whose totals are sent to the tasks at once; more langs are taken in turns.
