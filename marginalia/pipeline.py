@@ -7,13 +7,15 @@ from collections.abc import Mapping
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.contract import Synthesizer
 from marginalia.operators.binning import TableBinner
 from marginalia.operators.cut import cut
 from marginalia.operators.generate import generate
-from marginalia.operators.marginals import check_codes, count_cells, redraw
+from marginalia.operators.marginals import TableCounts, check_codes, redraw
 from marginalia.plans.compression import Compressor
 from marginalia.plans.factors import GraphicalModel
 from marginalia.plans.inference import Measurement, estimate
@@ -22,7 +24,7 @@ from marginalia.sources.tables import exists, read_text, write_text
 from marginalia.types import Domain
 
 
-class GraphicalGenerator:
+class GraphicalGenerator(Synthesizer):
     """A strategy and the model that it leads to, over coded rows. States: None, "pretrained", "trained"."""
 
     def __init__(self, strategy: str | Strategy = "mst", **params):
@@ -67,22 +69,22 @@ class GraphicalGenerator:
         if self.domain is None:
             raise ValueError("Domain must be provided")
         check_codes(df, self.domain)
-        df = redraw(df, self.impossible, self.domain, self.strategy.seed or 0)
-        counts = lambda cliques: count_cells(df, cliques, self.domain, weight)
+        counts = TableCounts(redraw(df, self.impossible, self.domain, self.strategy.seed), self.domain, weight)
+        chosen = None
         if public or self.state is None:
-            self.measurements, self.public = self.strategy.select(self.domain, counts, public), public
+            chosen, self.public = self.strategy.select(self.domain, counts, public, self.impossible), public
         elif self.public or self.state == "trained":
             cliques = list(dict.fromkeys(m.clique for m in self.measurements))
-            self.measurements, self.public = self.strategy.remeasure(self.domain, counts, cliques), False
+            chosen, self.public = self.strategy.remeasure(self.domain, counts, cliques, self.impossible), False
+        if chosen:
+            self.measurements, self.compressor = chosen.measurements, chosen.compressor
         self.state, self.model = "pretrained", None
         if not public and not marginals_only:
             self.infer()
         return self
 
     def infer(self, engine: str = "MD", callback=None) -> GraphicalGenerator:
-        """Compress the domain and fit the model to the measurements."""
-        threshold = 3.0 if self.strategy.compress else None
-        self.compressor = Compressor.fit(self.domain, self.measurements, self.impossible, threshold)
+        """Fit the model to the measurements, over compressed codes."""
         small = [self.compressor.measurement(m) for m in self.measurements]
         self.model = estimate(self.compressor.small, small, iters=self.strategy.iters, engine=engine, callback=callback)
         self.state = "trained"
@@ -106,38 +108,71 @@ class GraphicalGenerator:
             out = out.join(condition.select("_row_id", *[F.col(f"`{a}`") for a in given]), "_row_id")
         return out.select("_row_id", *[F.col(f"`{a}`") for a in self.domain])
 
-    def to_json(self) -> str:
+    def to_json(self, values: bool = True) -> str:
+        """All that was learned; without ``values`` all but what ``values`` has."""
         s = self.strategy
         kind = next(k for k, t in STRATEGIES.items() if t is type(s))
         params = {k: v for k, v in vars(s).items() if k not in ("ledger", "noise")}
+        listed = lambda x: [None if np.isneginf(v) else float(v) for v in x] if values else None
         return json.dumps({
             "strategy": kind, "params": params, "ledger": s.ledger.entries, "state": self.state, "public": self.public, "domain": self.domain.sizes if self.domain else None, "impossible": self.impossible,
-            "measurements": [{"clique": m.clique, "y": list(map(float, m.y)), "sigma": m.sigma} for m in self.measurements],
-            "potentials": [{"clique": c, "values": [None if np.isneginf(x) else float(x) for x in f.datavector()]} for c, f in self.model.potentials.items()] if self.model else None,
+            "measurements": [{"clique": m.clique, "y": listed(m.y), "sigma": m.sigma, "coded": m.coded} for m in self.measurements],
+            "potentials": [{"clique": c, "values": listed(f.datavector())} for c, f in self.model.potentials.items()] if self.model else None,
             "kept": self.compressor.kept if self.compressor else None, "total": self.model.total if self.model else None, "order": self.model.tree.order if self.model else None,
         })
 
+    def values(self) -> pa.Table:
+        """(kind, number, cell, value): the answers of the measurements and, of a trained model, the potentials and
+        marginals of its cliques."""
+        parts = [("measurement", k, m.y) for k, m in enumerate(self.measurements)]
+        for kind in ("potentials", "marginals") if self.model else ():
+            parts += [(kind, k, f.datavector()) for k, f in enumerate(getattr(self.model, kind).values())]
+        columns = [np.repeat([p[0] for p in parts], [len(p[2]) for p in parts]), np.repeat([p[1] for p in parts], [len(p[2]) for p in parts]), np.concatenate([np.arange(len(p[2])) for p in parts]), np.concatenate([p[2] for p in parts])] if parts else [np.zeros(0, str), np.zeros(0), np.zeros(0), np.zeros(0)]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.float64()), strict=True)], ["kind", "number", "cell", "value"])
+
     @classmethod
-    def from_json(cls, text: str) -> GraphicalGenerator:
+    def from_json(cls, text: str, values: pa.Table | None = None) -> GraphicalGenerator:
         d = json.loads(text)
         out = cls(d["strategy"], **d["params"])
         for what, eps, rho in d["ledger"]:
             out.strategy.ledger.spend(what, eps, rho)
         out.state, out.public, out.impossible = d["state"], d.get("public", False), d["impossible"]
+        known = _by_table(values) if values is not None else {}
+        back = lambda kind, k, given: known[kind, k] if values is not None else np.array([-np.inf if x is None else x for x in given])
         if d["domain"]:
             out.set_domain(d["domain"])
-        out.measurements = [Measurement(tuple(m["clique"]), np.array(m["y"]), m["sigma"]) for m in d["measurements"]]
-        if d["potentials"]:
+        out.measurements = [Measurement(tuple(m["clique"]), back("measurement", k, m["y"]), m["sigma"], coded=m["coded"]) for k, m in enumerate(d["measurements"])]
+        if d["kept"]:
             out.compressor = Compressor(out.domain, d["kept"], out.impossible)
+        if d["potentials"]:
             out.model = GraphicalModel(out.compressor.small, [tuple(p["clique"]) for p in d["potentials"]], d["total"], order=d["order"])
-            for p in d["potentials"]:
+            for k, p in enumerate(d["potentials"]):
                 f = out.model.potentials[tuple(p["clique"])]
-                f.values = np.array([-np.inf if x is None else x for x in p["values"]]).reshape(f.domain.shape)
+                f.values = back("potentials", k, p["values"]).reshape(f.domain.shape)
             out.model.marginals = out.model.belief_propagation(out.model.potentials)
         return out
 
+    def store(self, spark: SparkSession, path: str) -> None:
+        """model.json says what there is; its numbers are the rows of values.parquet."""
+        write_text(spark, f"{path}/model.json", self.to_json(values=False))
+        spark.createDataFrame(self.values()).write.mode("overwrite").parquet(f"{path}/values.parquet")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> GraphicalGenerator:
+        values = spark.read.parquet(f"{path}/values.parquet").where("kind <> 'marginals'").toArrow() if exists(spark, f"{path}/values.parquet") else None
+        return cls.from_json(read_text(spark, f"{path}/model.json"), values)
+
+
+def _by_table(values: pa.Table) -> dict[tuple[str, int], np.ndarray]:
+    """The values of each (kind, number), by cell."""
+    kind, number, cell, value = (values.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "number", "cell", "value"))
+    order = np.lexsort((cell, number, kind))
+    kind, number, value = kind[order], number[order], value[order]
+    cuts = np.flatnonzero(np.concatenate(([True], (kind[1:] != kind[:-1]) | (number[1:] != number[:-1]), [True]))) if len(kind) else [0]
+    return {(kind[s], int(number[s])): value[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)}
+
 
-class Pipeline:
+class Pipeline(Synthesizer):
     """Fit on any DataFrame of mixed types and generate DataFrames of the same schema.
 
     epsilon and delta pay for the model, proc_epsilon for the discretisation; None is noise-free.
@@ -197,15 +232,15 @@ class Pipeline:
         return joined.select(*[F.col(f"`{c}`") for c in [*names, *(c for c in given if c not in names)]])
 
     def store(self, spark: SparkSession, path: str) -> None:
-        """Edges, categories, measurements and potentials as JSON; never rows."""
-        write_text(spark, f"{path}/model.json", self.generator.to_json())
+        """Edges and categories as JSON, measurements, potentials and marginals as Parquet; never rows."""
+        self.generator.store(spark, path)
         if self.binner is not None:
             write_text(spark, f"{path}/binner.json", self.binner.to_json())
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Pipeline:
         out = cls()
-        out.generator = GraphicalGenerator.from_json(read_text(spark, f"{path}/model.json"))
+        out.generator = GraphicalGenerator.load(spark, path)
         out.binner = TableBinner.from_json(read_text(spark, f"{path}/binner.json")) if exists(spark, f"{path}/binner.json") else None
         return out
 

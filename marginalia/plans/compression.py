@@ -1,9 +1,10 @@
-"""Domain compression: rare cells of an attribute are merged into one."""
+"""Domain compression: rare codes of an attribute are merged into one."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column
@@ -24,44 +25,56 @@ class Compressor:
 
     @classmethod
     def fit(cls, domain: Domain, measurements: Sequence[Measurement], impossible: Mapping[str, Sequence[int]] | None = None, threshold: float | None = 3.0) -> Compressor:
-        """A code is kept if it is possible and its one-way count reaches ``threshold`` deviations (all if none
-        does); None keeps all possible ones."""
+        """A code is kept if it is possible and its count in the attribute's first measurement (summed over the
+        others of the clique) reaches ``threshold`` deviations, all possible ones if none does; None keeps these."""
         impossible = {a: list(v) for a, v in (impossible or {}).items()}
         kept = {}
         for a in domain:
-            possible = [k for k in range(domain[a]) if k not in impossible.get(a, ())]
-            m = next((m for m in measurements if tuple(m.clique) == (a,)), None)
-            good = possible if m is None or threshold is None else [k for k in possible if m.y[k] >= threshold * m.sigma]
-            kept[a] = good or possible
+            possible = np.setdiff1d(np.arange(domain[a]), np.asarray(impossible.get(a, ()), np.int64))
+            m = min((m for m in measurements if a in m.clique and not m.coded), key=lambda m: len(m.clique), default=None)
+            good = possible
+            if m is not None and threshold is not None:
+                y = m.y.reshape([domain[b] for b in m.clique]).sum(axis=tuple(k for k, b in enumerate(m.clique) if b != a))
+                good = possible[y[possible] >= threshold * m.sigma * np.sqrt(len(m.y) / len(y))]
+            kept[a] = (good if len(good) else possible).tolist()
         return cls(domain, kept, impossible)
 
     def merged(self, a: str) -> list[int]:
         """Possible codes that share the last one."""
-        own = set(self.kept[a]) | set(self.impossible.get(a, ()))
-        return [k for k in range(self.domain[a]) if k not in own]
+        own = np.asarray([*self.kept[a], *self.impossible.get(a, ())], np.int64)
+        return np.setdiff1d(np.arange(self.domain[a]), own).tolist()
 
     def codes(self, a: str) -> list[int]:
         """New code of each old one; an impossible old code counts with the merged ones, or the first kept."""
-        at = {k: i for i, k in enumerate(self.kept[a])}
-        other = len(self.kept[a]) if self.merged(a) else 0
-        return [at.get(k, other) for k in range(self.domain[a])]
+        out = np.full(self.domain[a], len(self.kept[a]) if self.merged(a) else 0)
+        out[self.kept[a]] = np.arange(len(self.kept[a]))
+        return out.tolist()
 
-    @property
+    @cached_property
     def small(self) -> Domain:
         return Domain.of({a: len(self.kept[a]) + bool(self.merged(a)) for a in self.domain})
 
     def measurement(self, m: Measurement) -> Measurement:
-        """Sums of merged cells, each divided by the root of how many it holds, so all have the same noise."""
+        """Sums of merged cells, each divided by the root of how many it holds, so all have the same noise.
+
+        A measurement of compressed codes stays as it is.
+        """
+        if m.coded:
+            return m
         y = m.y.reshape([self.domain[a] for a in m.clique])
         many = np.ones(y.shape)
         for axis, a in enumerate(m.clique):
-            n, codes = self.small[a], np.array(self.codes(a))
-            live = np.array([k not in self.impossible.get(a, ()) for k in range(self.domain[a])])
-            fold = np.zeros((n, self.domain[a]))
-            fold[codes[live], np.flatnonzero(live)] = 1
-            y, many = (np.moveaxis(np.tensordot(fold, v, axes=(1, axis)), 0, axis) for v in (y, many))
+            at = np.asarray(self.codes(a), np.int64)
+            live = np.setdiff1d(np.arange(self.domain[a]), np.asarray(self.impossible.get(a, ()), np.int64))
+            folded = []
+            for v in (y, many):
+                v = np.moveaxis(v, axis, 0)
+                out = np.zeros((self.small[a], *v.shape[1:]))
+                np.add.at(out, at[live], v[live])
+                folded.append(np.moveaxis(out, 0, axis))
+            y, many = folded
         q = 1 / np.sqrt(np.maximum(many, 1))
-        return Measurement(m.clique, (y * q).ravel(), m.sigma, q.ravel())
+        return Measurement(m.clique, (y * q).ravel(), m.sigma, q.ravel(), coded=True)
 
     def transform(self, a: str) -> Column:
         """Compressed code of a column: a lookup in a literal array."""

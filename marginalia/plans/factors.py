@@ -112,6 +112,56 @@ class Factor:
         return self.values.ravel()
 
 
+class SparseFactor:
+    """A table by its occupied cells: their numbers (mixed radix, sorted) and values; every other cell is 0."""
+
+    def __init__(self, domain: Domain, cells: np.ndarray, numbers: np.ndarray):
+        order = np.argsort(cells, kind="stable")
+        self.domain, self.cells, self.numbers = domain, np.asarray(cells, np.int64)[order], np.asarray(numbers, float)[order]
+
+    @property
+    def total(self) -> float:
+        return float(self.numbers.sum())
+
+    def sum(self, attrs: Iterable[str] | None = None) -> SparseFactor | float:
+        """The total, or sums over some attributes."""
+        return self.total if attrs is None else self.project(self.domain.invert(attrs))
+
+    def codes(self) -> dict[str, np.ndarray]:
+        """The code of each attribute in each occupied cell."""
+        out, rest = {}, self.cells
+        for a in reversed(self.domain.attrs):
+            rest, out[a] = np.divmod(rest, self.domain[a])
+        return out
+
+    def project(self, attrs: Iterable[str] | str) -> SparseFactor:
+        """Sums over the other attributes; only occupied cells are touched."""
+        attrs = (attrs,) if isinstance(attrs, str) else tuple(attrs)
+        codes, cell = self.codes(), np.zeros(len(self.cells), np.int64)
+        for a in attrs:
+            cell = cell * self.domain[a] + codes[a]
+        own, at = np.unique(cell, return_inverse=True)
+        return SparseFactor(self.domain.project(attrs), own, np.bincount(at, self.numbers, len(own)))
+
+    def datavector(self) -> np.ndarray:
+        out = np.zeros(self.domain.size())
+        out[self.cells] = self.numbers
+        return out
+
+    def dense(self) -> Factor:
+        return Factor(self.domain, self.datavector())
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.dense().values
+
+    def l1(self, expected: Callable[[np.ndarray], np.ndarray], mass: float) -> float:
+        """L1 distance to a table of ``mass`` in all that ``expected`` tells by cell: what lies in the empty cells
+        is what the occupied ones leave of the mass."""
+        e = expected(self.cells)
+        return float(np.abs(self.numbers - e).sum() + max(0.0, mass - e.sum()))
+
+
 def log_sum_exp(v: np.ndarray, axis=None) -> np.ndarray:
     top = v.max(axis=axis, keepdims=True)
     top = np.where(np.isfinite(top), top, 0.0)

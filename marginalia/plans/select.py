@@ -1,27 +1,33 @@
 """The three strategies that choose which marginals to measure: spanning tree, adaptive, network.
 
-Each asks a ``counts`` function for true marginals of coded rows (one Spark job a call) and adds noise
-to what it publishes. ``Noise`` is drawn here, once, on the driver. With ``public`` nothing is noisy
-and every choice is the best one.
+Each asks ``counts`` for true marginals of coded rows (one Spark job a call) and adds noise to what it publishes.
+``Noise`` is drawn here, once, on the driver. With ``public`` nothing is noisy and every choice is the best one.
+
+Spanning tree and adaptive rounds count twice: the one-way marginals first, whose noisy answers decide which codes
+are worth a cell of their own, and larger marginals after that over the compressed codes.
 """
 
 from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 
-from marginalia.operators.marginals import mutual_information
-from marginalia.plans.factors import Factor, model_mb
+from marginalia.contract import Chooser, Chosen
+from marginalia.operators.marginals import TableCounts, mutual_information
+from marginalia.plans.compression import Compressor
+from marginalia.plans.factors import Factor, SparseFactor, model_mb
 from marginalia.plans.inference import Measurement, estimate
 from marginalia.plans.privacy import Ledger, Noise, exponential_mechanism, mutual_information_sensitivity, rho_of
 from marginalia.types import Clique, Domain
 
-Counts = Callable[[Iterable[Clique]], dict[Clique, Factor]]
+Zeros = Mapping[str, Sequence[int]]
+#: Deviations that a code's count has to reach to keep a cell of its own.
+KEPT_FROM = 3.0
 EXACT_SIGMA = 1e-2  # stands for no noise in a measurement
 
 
@@ -42,7 +48,7 @@ def workload_scores(workload: Iterable[Clique]) -> dict[Clique, int]:
 
 
 @dataclass
-class Strategy:
+class Strategy(Chooser):
     """What all strategies share. epsilon None is the noise-free mode."""
 
     epsilon: float | None = 1.0
@@ -63,26 +69,38 @@ class Strategy:
     def rho(self) -> float:
         return rho_of(self.epsilon, self.delta)
 
-    def measure(self, true: dict[Clique, Factor], cliques: Sequence[Clique], sigma: float | None, weights: Sequence[float] | None = None) -> list[Measurement]:
-        """Noisy answers; weights are normalised to length one and the deviation that is recorded is the true one."""
+    def measure(self, true: Mapping[Clique, Factor | SparseFactor], cliques: Sequence[Clique], sigma: float | None, weights: Sequence[float] | None = None, of: int | None = None, coded: bool = False) -> list[Measurement]:
+        """Noisy answers; weights are normalised to length one and the deviation that is recorded is the true one.
+
+        of: how many equal cliques share ``sigma``, if these are only some of them. coded: the tables are compressed.
+        """
         w = np.ones(len(cliques)) if weights is None else np.asarray(weights, float)
-        w = w / np.linalg.norm(w) if len(w) else w
+        w = w / (math.sqrt(of) if of else np.linalg.norm(w)) if len(w) else w
         out = []
         for c, own in zip(cliques, w, strict=True):
             x = true[c].datavector()
             dev = 0.0 if sigma is None else sigma / own
-            out.append(Measurement(c, x + self.noise.gaussian(dev, len(x)) if dev else x.copy(), max(dev, EXACT_SIGMA)))
+            out.append(Measurement(c, x + self.noise.gaussian(dev, len(x)) if dev else x.copy(), max(dev, EXACT_SIGMA), coded=coded))
         return out
 
+    def compression(self, domain: Domain, first: Sequence[Measurement], impossible: Zeros | None) -> Compressor:
+        """The codes that keep cells of their own: those of enough rows, or (uncompressed) all possible ones."""
+        return Compressor.fit(domain, first, impossible, KEPT_FROM if self.compress else None)
+
     def fits(self, domain: Domain, cliques: Iterable[Clique]) -> bool:
         return self.max_model_size is None or model_mb(domain, list(cliques)) <= self.max_model_size
 
-    def remeasure(self, domain: Domain, counts: Counts, cliques: Sequence[Clique]) -> list[Measurement]:
-        """All of the budget for cliques that were chosen on public data."""
-        if self.epsilon is None:
-            return self.measure(counts(cliques), cliques, None)
-        self.ledger.spend("measure", rho=self.rho)
-        return self.measure(counts(cliques), cliques, math.sqrt(1 / (2 * self.rho)))
+    def remeasure(self, domain: Domain, counts: TableCounts, cliques: Sequence[Clique], impossible: Zeros | None = None) -> Chosen:
+        """All of the budget for cliques that were chosen on public data, the one-way ones first."""
+        sigma = None if self.epsilon is None else math.sqrt(1 / (2 * self.rho))
+        if sigma:
+            self.ledger.spend("measure", rho=self.rho)
+        ones = [c for c in cliques if len(c) == 1]
+        first = self.measure(counts(ones), ones, sigma, of=len(cliques)) if ones else []
+        found = self.compression(domain, first, impossible)
+        larger = [c for c in cliques if len(c) > 1]
+        second = self.measure(counts.compressed(found)(larger), larger, sigma, of=len(cliques), coded=True) if larger else []
+        return Chosen(first + second, found)
 
 
 @dataclass
@@ -91,24 +109,30 @@ class Mst(Strategy):
 
     iters: int = 5000
 
-    def select(self, domain: Domain, counts: Counts, public: bool = False) -> list[Measurement]:
+    def select(self, domain: Domain, counts: TableCounts, public: bool = False, impossible: Zeros | None = None) -> Chosen:
         noisy = not public and self.epsilon is not None
         rho = self.rho if noisy else None
         sigma = math.sqrt(3 / (2 * rho)) if noisy else None
         ones = [(a,) for a in domain]
-        pairs = list(combinations(domain.attrs, 2))
-        true = counts([*ones, *pairs])
-        first = self.measure(true, ones, sigma)
-        weights = self.weights(domain, true, first, [p for p in pairs if self.fits(domain, [*ones, p])])
-        chosen = self.tree(domain, weights, rho / 3 if noisy else None)
+        first = self.measure(counts(ones), ones, sigma)
+        found = self.compression(domain, first, impossible)
+        small, counts = found.small, counts.compressed(found)
+        pairs = [p for p in combinations(small.attrs, 2) if self.fits(small, [*ones, p])]
+        weights = self.weights(small, counts, [found.measurement(m) for m in first], pairs)
+        chosen = self.tree(small, weights, rho / 3 if noisy else None)
         if noisy:
             self.ledger.spend("spanning tree", rho=rho)
-        return first + self.measure(true, chosen, sigma)
+        second = self.measure(counts(chosen), chosen, sigma, coded=True) if chosen else []
+        return Chosen(first + second, found)
+
+    def weights(self, domain: Domain, counts: TableCounts, ones: Sequence[Measurement], pairs: Sequence[Clique]) -> dict[Clique, float]:
+        """L1 error of the model of the one-way measurements (half of the iterations) on each pair.
 
-    def weights(self, domain: Domain, true: dict[Clique, Factor], ones: Sequence[Measurement], pairs: Sequence[Clique]) -> dict[Clique, float]:
-        """L1 error of the model of the one-way measurements (half of the iterations) on each pair."""
+        The model has no pairs: its answer is the product of its one-way tables, so the tables of the pairs stay in Spark.
+        """
         model = estimate(domain, list(ones), iters=self.iters // 2)
-        return {p: float(np.abs(true[p].values - model.project(p).values).sum()) for p in pairs}
+        alone = model.project_many([(a,) for a in domain])
+        return counts.pair_errors(pairs, {a: f.datavector() for (a,), f in alone.items()}, model.total)
 
     def tree(self, domain: Domain, weights: dict[Clique, float], rho: float | None) -> list[Clique]:
         """Grow a spanning forest, each edge drawn by the exponential mechanism from those that join two parts."""
@@ -154,7 +178,7 @@ class Aim(Strategy):
             out[c] = sum(x * len(set(c) & set(w)) for w, x in work.items())
         return out
 
-    def select(self, domain: Domain, counts: Counts, public: bool = False) -> list[Measurement]:
+    def select(self, domain: Domain, counts: TableCounts, public: bool = False, impossible: Zeros | None = None) -> Chosen:
         noisy = not public and self.epsilon is not None
         rounds = self.rounds or 16 * len(domain)
         rho = self.rho if noisy else math.inf
@@ -164,13 +188,15 @@ class Aim(Strategy):
         eps = math.sqrt(0.8 * rho / steps) if noisy else None
         work = self.candidates(domain)
         ones = [(a,) for a in domain]
-        true = counts([*work, *ones])  # the only pass over the rows
-        out = []
-        spent = 0.0
-        for c in ones:
-            out += self.measure(true, [c], sigma)
-            spent += 0.5 / sigma**2 if noisy else 0.0
-        model = estimate(domain, out, iters=self.iters)
+        true = counts(ones)
+        first = [m for c in ones for m in self.measure(true, [c], sigma)]
+        spent = len(ones) * 0.5 / sigma**2 if noisy else 0.0
+        found = self.compression(domain, first, impossible)
+        small = found.small
+        true = counts.compressed(found)(work)  # the rounds below ask for nothing else of the rows
+        out = [found.measurement(m) for m in first]
+        rest: list[Measurement] = []
+        model = estimate(small, out, iters=self.iters)
         for t in range(rounds):
             last = t == rounds - 1
             if noisy and rho - spent < 2 * (0.5 / sigma**2 + eps**2 / 8):
@@ -181,25 +207,25 @@ class Aim(Strategy):
             share = (t + 1) / rounds if not noisy else min(1.0, (spent + 0.5 / sigma**2) / rho)
             have = {frozenset(s) for c in model.cliques for s in powerset(c)}
             size = self.max_model_size
-            small = {c: w for c, w in work.items() if frozenset(c) in have or size is None or model_mb(domain, [*model.cliques, c]) <= max(size * share, model_mb(domain, ones))}
-            if not small:
+            fitting = {c: w for c, w in work.items() if frozenset(c) in have or size is None or model_mb(small, [*model.cliques, c]) <= max(size * share, model_mb(small, ones))}
+            if not fitting:
                 break
             bias = math.sqrt(2 / math.pi) * (sigma or 0.0)
-            errors = {c: w * (float(np.abs(true[c].values - model.project(c).values).sum()) - bias * domain.size(c)) for c, w in small.items()}
-            c = exponential_mechanism(errors, eps, max(map(abs, small.values())) or 1.0, self.noise)
+            answers = model.project_many(fitting)
+            errors = {c: w * (true[c].l1(answers[c].datavector().__getitem__, float(answers[c].values.sum())) - bias * small.size(c)) for c, w in fitting.items()}
+            c = exponential_mechanism(errors, eps, max(map(abs, fitting.values())) or 1.0, self.noise)
             if not noisy and errors[c] <= 1e-6:
                 break
-            before = model.project(c).datavector()
-            out += self.measure(true, [c], sigma)
+            rest += self.measure(true, [c], sigma, coded=True)
             spent += 0.5 / sigma**2 + eps**2 / 8 if noisy else 0.0
-            model = estimate(domain, out, iters=self.iters, warm=model.potentials)
+            model = estimate(small, [*out, *rest], iters=self.iters, warm=model.potentials)
             if last:
                 break
-            if noisy and float(np.abs(model.project(c).datavector() - before).sum()) <= sigma * math.sqrt(2 / math.pi) * domain.size(c):
+            if noisy and float(np.abs(model.project(c).datavector() - answers[c].datavector()).sum()) <= sigma * math.sqrt(2 / math.pi) * small.size(c):
                 sigma, eps = sigma / 2, 2 * eps
         if noisy:
             self.ledger.spend("adaptive rounds", rho=spent)
-        return out
+        return Chosen(first + rest, found)
 
 
 @dataclass
@@ -210,7 +236,15 @@ class PrivBayes(Strategy):
     degree: int = 2
     max_candidates: int = 20
 
-    def select(self, domain: Domain, counts: Counts, public: bool = False) -> list[Measurement]:
+    def remeasure(self, domain: Domain, counts: TableCounts, cliques: Sequence[Clique], impossible: Zeros | None = None) -> Chosen:
+        """All at once: a network has no one-way marginals that would tell the codes to keep before the others."""
+        sigma = None if self.epsilon is None else math.sqrt(1 / (2 * self.rho))
+        if sigma:
+            self.ledger.spend("measure", rho=self.rho)
+        measured = self.measure(counts(cliques), cliques, sigma)
+        return Chosen(measured, self.compression(domain, measured, impossible))
+
+    def select(self, domain: Domain, counts: TableCounts, public: bool = False, impossible: Zeros | None = None) -> Chosen:
         noisy = not public and self.epsilon is not None
         order = list(domain.attrs)
         root = order[int(self.noise.uniform() * len(order))] if noisy else order[0]
@@ -233,7 +267,7 @@ class PrivBayes(Strategy):
             if fresh:
                 true = counts(fresh)
                 for c, f in true.items():
-                    rows = float(f.values.sum()) if rows is None else rows
+                    rows = f.total if rows is None else rows
                     for a in c:
                         known[c, a] = mutual_information(f, a)
             scores = {o: known[o] for o in options}
@@ -246,13 +280,12 @@ class PrivBayes(Strategy):
             used.append(a)
             left.remove(a)
         cliques = list(dict.fromkeys(cliques))
-        true = counts(cliques)
-        if not noisy:
-            return self.measure(true, cliques, None)
-        rho = rho_of(self.epsilon / 2, self.delta)
-        self.ledger.spend("network", eps=self.epsilon / 2)
-        self.ledger.spend("network marginals", rho=rho)
-        return self.measure(true, cliques, math.sqrt(1 / (2 * rho)))
+        rho = rho_of(self.epsilon / 2, self.delta) if noisy else None
+        if noisy:
+            self.ledger.spend("network", eps=self.epsilon / 2)
+            self.ledger.spend("network marginals", rho=rho)
+        measured = self.measure(counts(cliques), cliques, math.sqrt(1 / (2 * rho)) if noisy else None)
+        return Chosen(measured, self.compression(domain, measured, impossible))
 
 
 STRATEGIES = {"mst": Mst, "aim": Aim, "priv-bayes": PrivBayes}

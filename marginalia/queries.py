@@ -149,10 +149,8 @@ def mutual_information_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _error_weights(spark: SparkSession, d: str) -> dict:
-    pairs, ones = list(combinations(SIZES.attrs, 2)), [(a,) for a in SIZES]
-    found = M.count_cells(_coded(spark, d), [*pairs, *ones], SIZES)
-    mst = Mst(epsilon=None)
-    return mst.weights(SIZES, found, mst.measure(found, ones, None), pairs)
+    counts, mst, ones = M.TableCounts(_coded(spark, d), SIZES), Mst(epsilon=None), [(a,) for a in SIZES]
+    return mst.weights(SIZES, counts, mst.measure(counts(ones), ones, None), list(combinations(SIZES.attrs, 2)))
 
 
 def mst_edge_weights(spark: SparkSession, d: str) -> DataFrame:
