@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +35,11 @@ def uniform(seed: int, salt: str, row: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(salt), row), 11) * F.lit(2.0**-53)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def missing(c: Column, data_type: T.DataType) -> Column:
     """Null, or NaN of a floating column."""
     return c.isNull() | F.isnan(c) if isinstance(data_type, (T.FloatType, T.DoubleType)) else c.isNull()
@@ -172,8 +177,8 @@ def decode(code: Column, e: Encoding) -> Column:
 
 
 def literal_array(table: Sequence) -> Column:
-    """An array of constants; a long one is read from one constant, which the optimizer folds."""
-    if len(table) <= WRITTEN_OUT or not all(isinstance(x, (int, float)) for x in table):
+    """An array of constants; numbers are read from one constant, which the optimizer folds."""
+    if len(table) <= 8 or not all(isinstance(x, (int, float)) for x in table):
         return F.array(*[F.lit(x) for x in table])
     kind = "double" if any(isinstance(x, float) for x in table) else "int" if max(map(abs, table)) < 2**31 else "bigint"
     return F.from_json(F.lit(json.dumps([float(x) if kind == "double" else x for x in table])), f"array<{kind}>")

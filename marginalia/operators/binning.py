@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.functions import expressions as X
-from marginalia.operators.profile import bounds_histogram, private_bounds, profile
+from marginalia.operators.profile import bounds_histogram, distinct_values, private_bounds, profile
 from marginalia.plans.privacy import Noise
 from marginalia.types import Binning, ColumnSpec, Domain, Encoding
 
@@ -171,7 +171,7 @@ class TableBinner:
 
     def fit(self, df: DataFrame, public: bool = False) -> TableBinner:
         """Jobs for all columns at once: profile, fills, bounds, trees; trees that go below DEPTH levels take another one
-        for each DEPTH levels or so. Each category column without listed categories takes one more of its own."""
+        for each DEPTH levels or so. The categories of all columns that list none take one more."""
         noise = Noise(self.seed)
         self.schema = df.schema
         self.numeric, self.coded, self.static, self.fills, self.flags, self.spent = {}, {}, {}, {}, {}, 0.0
@@ -189,12 +189,13 @@ class TableBinner:
         numbers = [c for c, p in found.items() if c not in self.static and p.kind and specs[c].categories is None and p.distinct > 1]
         each = eps / len(numbers) if eps is not None and numbers else None
         texts = [c for c in df.columns if c not in self.static and c not in numbers]
+        read = self._distinct(df, [c for c in texts if specs[c].categories is None], types)
         for c in texts:
             cats = specs[c].categories
             if cats is None:
                 if not public:
                     warnings.warn(f"categories of {c} are read from the data, which leaks privacy; give a domain", stacklevel=2)
-                cats = self._distinct(df, c)
+                cats = read[c]
             self.coded[c] = Encoding(c, sorted_categories(cats), list(self.zeros.get(c, [])))
         open_ = {c: found[c].kind for c in numbers if each is not None and (specs[c].lower is None or specs[c].upper is None)}
         histograms = bounds_histogram(df, open_)
@@ -256,11 +257,20 @@ class TableBinner:
         for k, c in enumerate(wanted):
             (self.static if c in self.static else self.fills)[c] = row[f"v{k}"]
 
-    def _distinct(self, df: DataFrame, c: str) -> list:
-        rows = df.select(F.col(f"`{c}`").alias("v")).where("v is not null").distinct().limit(MAX_CATEGORIES + 1).collect()
-        if len(rows) > MAX_CATEGORIES:
-            raise ValueError(f"{c} has over {MAX_CATEGORIES} values: it is no category")
-        return [r["v"] for r in rows]
+    def _distinct(self, df: DataFrame, columns: list[str], types: dict) -> dict[str, list]:
+        """The values of all columns without listed categories, from one job."""
+        found = distinct_values(df, columns, MAX_CATEGORIES)
+        for c, values in found.items():
+            if values is None:
+                raise ValueError(f"{c} has over {MAX_CATEGORIES} values: it is no category")
+        out = {}
+        for c, values in found.items():
+            if isinstance(types[c], T.StringType):
+                out[c] = values
+            else:  # texts back to the column's type
+                row = df.sparkSession.range(1).select(F.array(*[F.lit(v) for v in values]).cast(T.ArrayType(types[c])).alias("v")).first()
+                out[c] = row["v"]
+        return out
 
     @property
     def codes(self) -> Domain:

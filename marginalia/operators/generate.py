@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.functions.expressions import uniform
+from marginalia.functions.expressions import count_at_or_below, uniform
 from marginalia.operators.cut import cut
 from marginalia.plans.factors import GraphicalModel
 from marginalia.types import Clique
 
 #: Cells of a conditional table up to which it is broadcast (8 bytes a cell).
 BROADCAST_CELLS = 4_000_000
+#: Rows of a group, or of a cell of a table that is not broadcast, that one task takes; larger ones are cut.
+ROWS_A_PART = 250_000
 
 
 def plan(model: GraphicalModel, given: tuple[str, ...] = ()) -> list[tuple[str, Clique]]:
@@ -60,19 +63,45 @@ def _cell(model: GraphicalModel, on: Clique):
 
 
 def _frame(df: DataFrame, table: np.ndarray) -> DataFrame:
-    spark = df.sparkSession
-    out = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(table)], "_cell long, _p array<double>")
-    return F.broadcast(out) if table.size <= BROADCAST_CELLS else out
+    """(_cell, _p): the rows of a table, as they lie in memory."""
+    n, width = table.shape
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int64) * width, pa.int64()).cast(pa.int32()), pa.array(np.ascontiguousarray(table).ravel()))
+    return df.sparkSession.createDataFrame(pa.table([pa.array(np.arange(n)), lists], ["_cell", "_p"]))
+
+
+def parted(df: DataFrame, key: str, counts: DataFrame, seed: int, salt: str, row: str) -> DataFrame:
+    """df with _part: rows of a key with over ROWS_A_PART rows are dealt evenly into as many parts as that makes.
+
+    counts: (key, m). The keys that are cut are at most one for ROWS_A_PART rows; they are broadcast.
+    """
+    large = F.broadcast(counts.where(F.col("m") > ROWS_A_PART).select(key, F.ceil(F.col("m") / ROWS_A_PART).cast("int").alias("_parts")))
+    part = F.pmod(F.xxhash64(F.lit(seed), F.lit(f"part {salt}"), F.col(row)), F.coalesce("_parts", F.lit(1)))
+    return df.join(large, key, "left").withColumn("_part", part).drop("_parts")
+
+
+def looked_up(df: DataFrame, table: np.ndarray, seed: int, salt: str, row: str) -> DataFrame:
+    """df (with _cell) with _p, the row of the table for its cell.
+
+    A table of up to BROADCAST_CELLS cells is broadcast. Beyond that the rows are counted by cell, a cell's row of the
+    table is repeated for every ROWS_A_PART rows that ask for it, and each asks in its own part, so that no key of
+    the join has more rows than these.
+    """
+    frame = _frame(df, table)
+    if table.size <= BROADCAST_CELLS:
+        return df.join(F.broadcast(frame), "_cell", "left")
+    counts = df.groupBy("_cell").agg(F.count(F.lit(1)).alias("m"))
+    parts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / ROWS_A_PART).cast("int") - 1))
+    frame = frame.join(counts, "_cell").select("_cell", parts.alias("_part"), "_p")
+    return parted(df, "_cell", counts, seed, f"lookup {salt}", row).join(frame, ["_cell", "_part"], "left").drop("_part")
 
 
 def _sample(df: DataFrame, table: np.ndarray, model: GraphicalModel, a: str, on: Clique, seed: int, row: str) -> DataFrame:
-    steps = np.cumsum(table, axis=1)
+    steps = np.cumsum(table, axis=1)[:, :-1]
     u = uniform(seed, a, row)
     last = model.domain[a] - 1
     if not on:
-        hits = F.array(*[F.lit(float(x)) for x in steps[0][:-1]]).cast("array<double>")
-        return df.withColumn(a, F.least(F.size(F.filter(hits, lambda x: x <= u)), F.lit(last)).cast("int"))
-    joined = df.withColumn("_cell", _cell(model, on)).join(_frame(df, steps[:, :-1]), "_cell", "left")
+        return df.withColumn(a, F.least(count_at_or_below(u, [float(x) for x in steps[0]]), F.lit(last)).cast("int"))
+    joined = looked_up(df.withColumn("_cell", _cell(model, on)), steps, seed, a, row)
     return joined.withColumn(a, F.least(F.size(F.filter("_p", lambda x: x <= u)), F.lit(last)).cast("int")).drop("_cell", "_p")
 
 
@@ -90,19 +119,22 @@ def quotas(groups: DataFrame, table: DataFrame, seed: int, salt: str) -> DataFra
     return each.select("_cell", "code", (upto - F.col("n")).alias("lo"), upto.alias("hi")).where("hi > lo")
 
 
-#: Parts that the rows of a group are dealt into, so that no group is one task.
-PARTS = 64
-
-
 def _round(df: DataFrame, table: np.ndarray, model: GraphicalModel, a: str, on: Clique, seed: int, row: str) -> DataFrame:
-    # three plans read these rows below: without the cut each column would multiply the work by three
-    keyed = cut(df).withColumn("_g", _cell(model, on)).withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), F.lit(f"part {a}"), F.col(row)), F.lit(PARTS)))
-    sizes = keyed.groupBy("_g", "_part").agg(F.count(F.lit(1)).alias("n"))
+    """Ranks by a distributed prefix sum: within parts of a group, after the rows of the parts before.
+
+    Parts are as many as the group's counted rows ask for, so a group of all rows is as many tasks as that; ranks
+    and codes come from one join on (group, part), by which the rows are dealt already.
+    """
+    # several plans read these rows below: without the cut each column would multiply the work
+    keyed = cut(df).withColumn("_g", _cell(model, on))
+    groups = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("m"))  # asked for twice in one plan: its exchange is shared
+    dealt = parted(keyed, "_g", groups, seed, a, row)
+    sizes = dealt.groupBy("_g", "_part").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("_g").orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)
     starts = sizes.select("_g", "_part", (F.sum("n").over(before) - F.col("n")).alias("_start"))
-    groups = sizes.groupBy(F.col("_g").alias("_cell")).agg(F.sum("n").alias("m"))
-    ranges = quotas(groups, _frame(df, table), seed, a).groupBy(F.col("_cell").alias("_g")).agg(F.sort_array(F.collect_list(F.struct("hi", "code"))).alias("_q"))
+    ranges = quotas(groups.select(F.col("_g").alias("_cell"), "m"), _frame(df, table), seed, a)
+    ranges = ranges.groupBy(F.col("_cell").alias("_g")).agg(F.sort_array(F.collect_list(F.struct("hi", "code"))).alias("_q"))
     rank = F.row_number().over(W.partitionBy("_g", "_part").orderBy(F.xxhash64(F.lit(seed), F.lit(a), F.col(row)), row))
-    ranked = keyed.withColumn("_rank", rank).join(starts, ["_g", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_start")).join(ranges, "_g")
-    code = F.element_at(F.filter("_q", lambda q: F.col("_rank") <= q["hi"]), 1)["code"]
+    ranked = dealt.withColumn("_rank", rank).join(starts.join(ranges, "_g"), ["_g", "_part"])
+    code = F.element_at(F.filter("_q", lambda q: F.col("_rank") + F.col("_start") <= q["hi"]), 1)["code"]
     return ranked.withColumn(a, code.cast("int")).drop("_g", "_part", "_rank", "_start", "_q")

@@ -251,11 +251,25 @@ def mutual_information(joint: Factor | SparseFactor, child: str) -> float:
 # Factors as tables (attributes and "value"): joins by the shared attributes.
 
 
+#: Cells of a product of two tables that share no attribute.
+PRODUCT_CELLS = 10_000_000
+
+
 def factor_product(a: DataFrame, b: DataFrame, value: str = "value") -> DataFrame:
-    """Natural join on the shared attributes, values multiplied. Without shared attributes the join has no key: use small factors."""
+    """Natural join on the shared attributes, values multiplied.
+
+    Tables without a shared attribute have every pair of their cells as their product: they are counted, and more
+    than PRODUCT_CELLS pairs are an error.
+    """
     shared = [c for c in a.columns if c in b.columns and c != value]
     right = b.withColumnRenamed(value, "_v")
-    joined = a.join(right, shared) if shared else a.join(right)
+    if not shared:
+        n, m = a.count(), b.count()
+        if n * m > PRODUCT_CELLS:
+            raise ValueError(f"tables of {n} and {m} cells share no attribute: their product has too many")
+        joined = a.withColumn("_one", F.lit(1)).join(F.broadcast(right.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    else:
+        joined = a.join(right, shared)
     return joined.withColumn(value, F.col(value) * F.col("_v")).drop("_v")
 
 

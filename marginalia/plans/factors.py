@@ -318,6 +318,25 @@ class JunctionTree:
                     up.append((j, i))
         return [*reversed(up), *((i, j) for j, i in up)]
 
+    def between(self, attrs: Iterable[str]) -> set[int]:
+        """The part of the tree that joins cliques which hold the attributes: a leaf goes if its neighbour holds all that is
+        asked of it."""
+        need = set(attrs)
+        part = set(range(len(self.cliques)))
+        near = {i: set(self.neighbours[i]) for i in part}
+        leaves = [i for i in part if len(near[i]) <= 1]
+        while leaves:
+            i = leaves.pop()
+            if i not in part or len(part) == 1 or len(near[i]) > 1:
+                continue
+            held = set(self.cliques[next(iter(near[i]))]) if near[i] else set()
+            if need & set(self.cliques[i]) <= held:
+                part.remove(i)
+                for j in near[i]:
+                    near[j].discard(i)
+                    leaves.append(j)
+        return part
+
     def cells(self) -> int:
         return sum(self.domain.size(c) for c in self.cliques)
 
@@ -406,19 +425,8 @@ class GraphicalModel:
         need = set(attrs)
         if any(need <= set(c) for c in self.cliques):
             return self.project(attrs)
-        part = set(range(len(self.cliques)))
-        near = {i: set(self.tree.neighbours[i]) for i in part}
-        leaves = [i for i in part if len(near[i]) <= 1]
-        while leaves:  # a leaf goes if its neighbour holds all that is wanted of it
-            i = leaves.pop()
-            if i not in part or len(part) == 1 or len(near[i]) > 1:
-                continue
-            held = set(self.cliques[next(iter(near[i]))]) if near[i] else set()
-            if need & set(self.cliques[i]) <= held:
-                part.remove(i)
-                for j in near[i]:
-                    near[j].discard(i)
-                    leaves.append(j)
+        part = self.tree.between(need)
+        near = {i: {j for j in self.tree.neighbours[i] if j in part} for i in part}
         factors, seen = [], set()
         with np.errstate(divide="ignore"):
             for i in sorted(part):

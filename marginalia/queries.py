@@ -8,15 +8,20 @@ from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions import expressions as X
 from marginalia.operators import marginals as M
 from marginalia.operators.binning import TableBinner, optimal_bins, private_tree, dyadic_counts, uniform_edges
+from marginalia.operators.boxes import fit_boxes
+from marginalia.operators.cut import shared_folder
 from marginalia.operators.generate import quotas
-from marginalia.operators.profile import bounds_histogram, private_bounds, profile
+from marginalia.operators.profile import bounds_histogram, distinct_counts, private_bounds, profile
+from marginalia.operators.stored import clique_tables, table_marginal
 from marginalia.pipeline import GraphicalGenerator, Pipeline
 from marginalia.plans.compression import Compressor
+from marginalia.plans.factors import CliqueVector, GraphicalModel
 from marginalia.plans.inference import Measurement
 from marginalia.plans.privacy import Noise
 from marginalia.plans.select import Mst, workload_scores
@@ -286,9 +291,104 @@ def stream_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redrawn_codes(spark: SparkSession, d: str) -> DataFrame:
-    """Rows by code after impossible codes (the last four line numbers) are drawn again: none of these, and no row lost."""
-    new = M.redraw(_coded(spark, d), {"l_linenumber": [3, 4, 5, 6]}, SIZES, 7)
-    return new.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_linenumber") > 2).alias("n_impossible"), F.sum("qty").alias("qty"))
+    """Line numbers after the last four are drawn again: rows that had each code before, and what share of the drawn
+    rows went to it, to a tenth."""
+    was = _coded(spark, d).withColumn("was", F.col("l_linenumber"))
+    new = M.redraw(was, {"l_linenumber": [3, 4, 5, 6]}, SIZES, 7)
+    drawn = F.col("was") > 2
+    moved = new.groupBy(F.col("l_linenumber").alias("code")).agg(F.count_if(~drawn).alias("n"), F.count_if(drawn).alias("m"))
+    return moved.select("code", "n", F.round(F.col("m") / F.sum("m").over(W.partitionBy()), 1).alias("share"))
+
+
+RARE = Domain.of({"l_linenumber": 7, "quantity": 50, "discount": 11})
+
+
+def _rare(spark: SparkSession, d: str) -> tuple[DataFrame, Compressor]:
+    """Three coded columns of lineitem, and the compression that keeps codes of at least the mean count."""
+    t = _t(spark, d, "lineitem").select((F.col("l_linenumber") - 1).cast("int").alias("l_linenumber"), (F.col("l_quantity").cast("int") - 1).alias("quantity"), F.round(F.col("l_discount") * 100).cast("int").alias("discount"))
+    ones = M.TableCounts(t, RARE)([(a,) for a in RARE])
+    return t, Compressor.fit(RARE, [Measurement(c, f.datavector(), f.total / RARE.size(c) / 3) for c, f in ones.items()], threshold=3.0)
+
+
+def compressed_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pair tables over compressed codes: supports from one count, pairs from a second one."""
+    t, c = _rare(spark, d)
+    pairs = list(combinations(RARE.attrs, 2))
+    cells = M.cell_counts(M.TableCounts(t, RARE).compressed(c).df, pairs, c.small)
+    out = []
+    for k, (a, b) in enumerate(pairs):
+        own = cells.where(F.col("clique") == k)
+        out.append(own.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.floor(F.col("cell") / c.small[b]).cast("int").alias("i"), (F.col("cell") % c.small[b]).cast("int").alias("j"), F.col("n").cast("long").alias("n")))
+    return out[0].union(out[1]).union(out[2])
+
+
+def compressed_pair_errors(spark: SparkSession, d: str) -> DataFrame:
+    """What the one-way tables' product leaves unsaid of each pair of compressed columns, found in Spark."""
+    t, c = _rare(spark, d)
+    counts = M.TableCounts(t, RARE).compressed(c)
+    ones = counts([(a,) for a in c.small])
+    found = counts.pair_errors(list(combinations(RARE.attrs, 2)), {a: f.datavector() for (a,), f in ones.items()}, ones["quantity",].total)
+    return spark.createDataFrame([(*p, round(w, 3)) for p, w in found.items()], "a string, b string, w double")
+
+
+_BOXES = {"l_extendedprice": ("double", 0.0, 131072.0), "l_quantity": ("double", 0.0, 64.0)}
+
+
+def bin_privtree_2d(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves with rows of the noise-free tree over prices and quantities together, theta = rows / 64."""
+    t = _t(spark, d, "lineitem")
+    boxes = fit_boxes(t, _BOXES, 64, None, Noise(0))
+    n = t.groupBy(boxes.code().alias("box")).agg(F.count(F.lit(1)).alias("n"))
+    edge = lambda k, side: X.lookup(F.col("box"), [float(boxes.bounds(i)[k][side]) for i in range(boxes.n_bins)])
+    return n.select(edge(0, 0).alias("low"), edge(0, 1).alias("high"), edge(1, 0).alias("q_low"), edge(1, 1).alias("q_high"), "n")
+
+
+def marginals_cube(spark: SparkSession, d: str) -> DataFrame:
+    """The tables of all sets of three columns, made of the cells of the largest."""
+    return M.cube(_coded(spark, d), ["l_returnflag", "l_linestatus", "qty"])
+
+
+def distinct_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Exact numbers of values of nine columns, from one job."""
+    found = distinct_counts(_t(spark, d, "lineitem"), _COUNTED)
+    return spark.createDataFrame(list(found.items()), "name string, n long")
+
+
+_COUNTED = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"]
+
+
+def generate_from_store(spark: SparkSession, d: str) -> DataFrame:
+    """One-way tables that noise-free models of all strategies have after they were stored, loaded and stored again: of
+    the marginals' rows, as Spark reads them."""
+    rows = _coded(spark, d).persist()
+    base, out = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", None
+    for strategy, params in (("mst", {}), ("aim", {"rounds": 12}), ("priv-bayes", {})):
+        g = GraphicalGenerator(strategy, epsilon=None, compress=False, seed=1, **params).set_domain(SIZES).fit(rows)
+        g.store(spark, f"{base}/{strategy}")
+        g = GraphicalGenerator.load(spark, f"{base}/{strategy}")
+        g.store(spark, f"{base}/{strategy}-again")
+        tables = clique_tables(spark.read.parquet(f"{base}/{strategy}-again/values.parquet"), SIZES, g.model.cliques)
+        for a in SIZES:
+            home = min((c for c in g.model.cliques if a in c), key=SIZES.size)
+            own = M.factor_sum(tables[home], [a]).select(F.lit(strategy).alias("strategy"), F.lit(a).alias("a"), F.col(a).alias("code"), F.round("value").cast("long").alias("n"))
+            out = own if out is None else out.union(own)
+    rows.unpersist()
+    return out
+
+
+def stored_marginal(spark: SparkSession, d: str) -> DataFrame:
+    """A marginal of three columns that no clique holds: of a chain of stored pair tables, by joins."""
+    counts = M.TableCounts(_coded(spark, d), SIZES)
+    chain = [("l_returnflag", "l_linestatus"), ("l_linestatus", "qty"), ("l_linenumber", "qty")]
+    model = GraphicalModel(SIZES, chain).fit({c: f.dense() for c, f in counts(chain).items()})
+    g = GraphicalGenerator("mst", epsilon=None).set_domain(SIZES)
+    g.model = model
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    model.marginals = CliqueVector({c: counts([c])[c].dense() for c in model.cliques})
+    spark.createDataFrame(g.values()).write.parquet(path)
+    tables = clique_tables(spark.read.parquet(path), SIZES, model.cliques)
+    found = table_marginal(tables, model.tree, ["l_returnflag", "l_linenumber", "qty"])
+    return found.where("value > 0").withColumn("value", F.round("value", 6))
 
 
 def _generate(strategy: str, **params) -> Callable[[SparkSession, str], DataFrame]:
@@ -310,7 +410,7 @@ def generate_conditional(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (profile_columns, encode_categories, bin_uniform, bin_optimal_count, bin_privtree_noise_free, bin_inverse_midpoint, marginal_1way, marginal_2way, marginal_3way, marginal_weighted, marginals_all_pairs, marginal_dense, marginal_rollup, marginal_datetime, entropy_1way, mutual_information_pairs, mst_edge_weights, mst_edges_noise_free, compress_supports, compress_transform, null_flag_fill, compress_reverse, binner_round_trip, null_restore, private_bounds_noise_free, factor_product, factor_divide, factor_condition, conditional_distribution, quota_round, generate_rounded, generate_rounded_privbayes, generate_from_json, stream_codes, redrawn_codes, generate_conditional)
+    own = (profile_columns, encode_categories, bin_uniform, bin_optimal_count, bin_privtree_noise_free, bin_inverse_midpoint, marginal_1way, marginal_2way, marginal_3way, marginal_weighted, marginals_all_pairs, marginal_dense, marginal_rollup, marginal_datetime, entropy_1way, mutual_information_pairs, mst_edge_weights, mst_edges_noise_free, compress_supports, compress_transform, null_flag_fill, compress_reverse, binner_round_trip, null_restore, private_bounds_noise_free, factor_product, factor_divide, factor_condition, conditional_distribution, quota_round, generate_rounded, generate_rounded_privbayes, generate_from_json, stream_codes, redrawn_codes, compressed_pairs, compressed_pair_errors, bin_privtree_2d, marginals_cube, distinct_columns, generate_from_store, stored_marginal, generate_conditional)
     out = {f.__name__: f for f in own} | {"workload_scores": workload_scores_query, "bounds_histogram": bounds_histogram_query}
     return out | {"generate_mst": _generate("mst"), "generate_aim": _generate("aim"), "generate_privbayes": _generate("priv-bayes")}
 
@@ -330,7 +430,25 @@ def oracle_sql() -> dict[str, str]:
     ones = f"{c} " + " UNION ALL ".join(f"SELECT '{a}' AS a, {a} AS code, count(*) AS n FROM c GROUP BY ALL" for a in attrs)
     compress = "y AS (SELECT l_linenumber AS k, count(*) AS n FROM c GROUP BY ALL), kept AS (SELECT k, CAST(row_number() OVER (ORDER BY k) - 1 AS INT) AS code FROM y WHERE n >= (SELECT count(*) / 7.0 FROM c))"
     tree = "WITH RECURSIVE nodes AS (SELECT 0.0::DOUBLE AS low, 131072.0::DOUBLE AS high, (SELECT count(*) FROM lineitem) AS n UNION ALL SELECT s.low, s.high, (SELECT count(*) FROM lineitem l WHERE l.l_extendedprice >= s.low AND l.l_extendedprice < s.high) AS n FROM (SELECT CASE k WHEN 0 THEN low ELSE (low + high) / 2 END AS low, CASE k WHEN 0 THEN (low + high) / 2 ELSE high END AS high FROM nodes, (VALUES (0), (1)) v(k) WHERE n > (SELECT count(*) / 64.0 FROM lineitem)) s)"
+    rare = "WITH r AS (SELECT CAST(l_linenumber - 1 AS INT) AS l_linenumber, CAST(l_quantity AS INT) - 1 AS quantity, CAST(round(l_discount * 100) AS INT) AS discount FROM lineitem)"
+    kept = lambda a: f"k_{a} AS (SELECT {a}, CAST(row_number() OVER (ORDER BY {a}) - 1 AS INT) AS code FROM (SELECT {a}, count(*) AS n FROM r GROUP BY ALL) WHERE n >= (SELECT count(*) / {RARE[a]}.0 FROM r))"
+    small = "s AS (SELECT " + ", ".join(f"coalesce(k_{a}.code, (SELECT count(*) FROM k_{a}))::INT AS {a}" for a in RARE) + " FROM r " + " ".join(f"LEFT JOIN k_{a} USING ({a})" for a in RARE) + ")"
+    rare = f"{rare}, {', '.join(map(kept, RARE))}, {small}"
+    rare_pairs = list(combinations(RARE.attrs, 2))
+    off = lambda a, b: f"SELECT '{a}' AS a, '{b}' AS b, round(sum(abs(coalesce(n, 0) - x.n1 * y.n1 / (SELECT count(*)::DOUBLE FROM s))), 3) AS w FROM (SELECT {a}, count(*) AS n1 FROM s GROUP BY ALL) x CROSS JOIN (SELECT {b}, count(*) AS n1 FROM s GROUP BY ALL) y LEFT JOIN (SELECT {a}, {b}, count(*) AS n FROM s GROUP BY ALL) z USING ({a}, {b})"
+    boxes = """WITH RECURSIVE nodes AS (
+      SELECT 0.0::DOUBLE AS low, 131072.0::DOUBLE AS high, 0.0::DOUBLE AS q_low, 64.0::DOUBLE AS q_high, (SELECT count(*) FROM lineitem) AS n
+      UNION ALL SELECT s.low, s.high, s.q_low, s.q_high, (SELECT count(*) FROM lineitem l WHERE l.l_extendedprice >= s.low AND l.l_extendedprice < s.high AND l.l_quantity >= s.q_low AND l.l_quantity < s.q_high) AS n
+      FROM (SELECT CASE a WHEN 0 THEN low ELSE (low + high) / 2 END AS low, CASE a WHEN 0 THEN (low + high) / 2 ELSE high END AS high, CASE b WHEN 0 THEN q_low ELSE (q_low + q_high) / 2 END AS q_low, CASE b WHEN 0 THEN (q_low + q_high) / 2 ELSE q_high END AS q_high
+        FROM nodes, (VALUES (0), (1)) v(a), (VALUES (0), (1)) w(b) WHERE n > (SELECT count(*) / 64.0 FROM lineitem)) s)"""
     return {
+        "compressed_pairs": f"{rare} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {a} AS i, {b} AS j, count(*) AS n FROM s GROUP BY ALL" for a, b in rare_pairs),
+        "compressed_pair_errors": f"{rare} " + " UNION ALL ".join(off(a, b) for a, b in rare_pairs),
+        "bin_privtree_2d": f"{boxes} SELECT low, high, q_low, q_high, n FROM nodes WHERE n > 0 AND n <= (SELECT count(*) / 64.0 FROM lineitem)",
+        "marginals_cube": f"{c} SELECT l_returnflag, l_linestatus, qty, grouping(l_returnflag, l_linestatus, qty) AS level, count(*) AS n FROM c GROUP BY CUBE (l_returnflag, l_linestatus, qty)",
+        "distinct_columns": " UNION ALL ".join(f"SELECT '{x}' AS name, count(DISTINCT {x}) AS n FROM lineitem" for x in _COUNTED),
+        "generate_from_store": f"{c} " + " UNION ALL ".join(f"SELECT '{s}' AS strategy, '{a}' AS a, v.i::INT AS code, (SELECT count(*) FROM c WHERE {a} = v.i) AS n FROM range({SIZES[a]}) v(i)" for s in ("mst", "aim", "priv-bayes") for a in attrs),
+        "stored_marginal": f"{c}, fs AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM c GROUP BY ALL), sq AS (SELECT l_linestatus, qty, count(*) AS n FROM c GROUP BY ALL), lq AS (SELECT l_linenumber, qty, count(*) AS n FROM c GROUP BY ALL), s AS (SELECT l_linestatus, count(*) AS n FROM c GROUP BY ALL), q AS (SELECT qty, count(*) AS n FROM c GROUP BY ALL) SELECT l_returnflag, l_linenumber, qty, round(sum(fs.n * sq.n / s.n::DOUBLE * lq.n / q.n), 6) AS value FROM fs JOIN sq USING (l_linestatus) JOIN s USING (l_linestatus) JOIN lq USING (qty) JOIN q USING (qty) GROUP BY ALL",
         "profile_columns": " UNION ALL ".join(map(stats, ("l_quantity", "l_discount", "l_tax", "l_extendedprice"))),
         "encode_categories": "SELECT c_mktsegment, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INT) AS code, n FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY ALL)",
         "bin_uniform": f"{c} SELECT qty, count(*) AS n FROM c GROUP BY ALL",
@@ -367,5 +485,5 @@ def oracle_sql() -> dict[str, str]:
         "generate_rounded_privbayes": ones,
         "generate_from_json": ones,
         "stream_codes": "SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS l_returnflag, CAST(least(floor(l_quantity / 5), 9) AS INT) AS qty, count(*) AS n FROM lineitem GROUP BY ALL",
-        "redrawn_codes": f"{c} SELECT count(*) AS n, 0::BIGINT AS n_impossible, CAST(sum(qty) AS BIGINT) AS qty FROM c",
+        "redrawn_codes": f"{c} SELECT k.i::INT AS code, (SELECT count(*) FROM c WHERE l_linenumber = k.i) AS n, round((SELECT count(*) FROM c WHERE l_linenumber > 2) / 3.0 / (SELECT count(*) FROM c WHERE l_linenumber > 2), 1)::DOUBLE AS share FROM range(3) k(i)",
     }
