@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 WORDS_KEPT = 700_000
 LONGEST_KEPT = 48
+#: Words that are kept from one task to the next.
+WORDS_BETWEEN = 100_000
 ALONE = 0xFFFFFFFF
 NEVER = 1 << 40
 
@@ -184,6 +186,11 @@ class SpeculativeBpe:
             proposed[k] = ids
         return [np.array(ids, np.int32).tobytes() for ids in proposed]
 
+    def forget(self) -> None:
+        """Give back the words of a task: the worker is used again, by other stages as well, which need its memory."""
+        if len(self.words) + len(self.older) > WORDS_BETWEEN:
+            self.words, self.older = dict(self.marks), {}
+
     def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """(ids, decoded text) of each text; the decoded text is made from the ids."""
         return [(ids, self.decode(ids)) for ids in self.ids_batch(texts)]
@@ -243,6 +250,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 if decode:
                     columns.append(pa.array([bpe.decode(ids) for ids in done], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+        bpe.forget()
 
     shape = "doc_id long, ids array<int>" + (", decoded string" if decode else "")
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, shape)
