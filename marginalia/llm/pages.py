@@ -12,7 +12,10 @@ elements that its pages show there. Two importances are measured over the unlike
 A block's importance is the product of the greatest presentation importance around it and its content
 importance. Blocks below SHARE of the page's best one are of low importance, and a branch that holds no
 other blocks is taken out, inside articles as anywhere. A measure relative to the page keeps repeated
-articles whole. Hosts of fewer than LEAST_PAGES unlike pages are merged by template, the sequence of
+articles whole. What says something of its own on every page is not cancelled by how it is presented: a block
+of whole content importance stays inside an article or main element, and elsewhere from RICH characters on.
+Blocks of links alone outside of articles are menus however they vary: they go where the page shows other
+blocks, and are no measure for these. Hosts of fewer than LEAST_PAGES unlike pages are merged by template, the sequence of
 elements in the body, over all such hosts. Elements that are no content by their own meaning (scripts,
 forms, <nav>, <footer>, hidden ones, reader comments) always go. Words of class names decide only where
 the template has too few pages as well.
@@ -36,6 +39,8 @@ from marginalia.llm.common import checkpoint
 #: Unlike pages that a tree needs to judge; share of the best importance below which a block is low; least
 #: presentation importance (it only decides where no element varies); equally likely styles that count whole.
 LEAST_PAGES, SHARE, FLOOR, STYLES_WHOLE = 8, 0.15, 0.01, 16
+#: Characters of a block that no presentation cancels if no other page shows it.
+RICH = 200
 #: Values that are broadcast at most (20 bytes each); beyond, parsed pages are joined with those of their tree.
 VALUES_BROADCAST = 1_000_000
 #: Hosts of their own tree that are broadcast at most (8 bytes each).
@@ -76,7 +81,8 @@ def _hash(text: str, seed: int = 0) -> int:
 
 class Page:
     """A parsed page. Node k: key (path), parent, style (its block elements in order, 0 for none); block k: text, node,
-    key (text at that path), gone (by its elements) and doubt (by class words)."""
+    key (text at that path), gone (by its elements), doubt (by class words), whether it is inside an article and whether
+    all of it is links."""
 
     def __init__(self) -> None:
         self.keys, self.parents, self.styles = [0], [0], [0]
@@ -85,6 +91,8 @@ class Page:
         self.shown: list[int] = []
         self.gone: list[bool] = []
         self.doubt: list[bool] = []
+        self.inside: list[bool] = []
+        self.linked: list[bool] = []
         self.template = 0
 
 
@@ -143,10 +151,11 @@ def parse(source: str | None) -> Page:
     counts: Counter[str] = Counter()
     lost: set[str] = set()
     ends: dict[str, re.Pattern] = {}
-    block_node, block_gone, block_doubt = 0, False, False
+    block_node, block_gone, block_doubt, block_inside, block_plain = 0, False, False, False, False
     body = 0
 
     def flush() -> None:
+        nonlocal block_plain
         if inside:
             if text := " ".join("".join(inside).split()):
                 page.texts.append(text)
@@ -154,16 +163,20 @@ def parse(source: str | None) -> Page:
                 page.shown.append(_hash(text, page.keys[block_node] ^ 1))
                 page.gone.append(block_gone)
                 page.doubt.append(block_doubt)
+                page.inside.append(block_inside)
+                page.linked.append(not block_plain)
             inside.clear()
+        block_plain = False
 
     def put(text: str, plain: bool = False) -> None:
-        nonlocal block_node, block_gone, block_doubt
+        nonlocal block_node, block_gone, block_doubt, block_inside, block_plain
         if not text:
             return
         top = stack[-1]
         if inside and (top.gone != block_gone or top.doubt != block_doubt):
             flush()  # a hidden inline element is no part of the block around it
-        block_node, block_gone, block_doubt = top.node, top.gone, top.doubt
+        block_node, block_gone, block_doubt, block_inside = top.node, top.gone, top.doubt, top.article
+        block_plain = block_plain or not counts["a"] and not text.isspace()
         inside.append(text if plain or "&" not in text else entities.unescape(text))
 
     def close() -> None:
@@ -282,8 +295,13 @@ def judge(page: Page, values: Values | None, words: bool = True) -> list[str]:
         for k, up in enumerate(page.parents):  # parents come first
             around[k] = max(around[k], around[up])
         there, of = values(shown)
-        importance = np.maximum(around[np.array(page.at)], FLOOR) * np.where(there, of, 1.0)
-        keep &= importance >= SHARE * importance[keep].max()
+        content = np.where(there, of, 1.0)
+        menu = np.array(page.linked, bool) & ~np.array(page.inside, bool)
+        if (keep & ~menu).any():
+            keep &= ~menu
+        importance = np.maximum(around[np.array(page.at)], FLOOR) * content
+        own = (content >= 1.0) & (np.array(page.inside, bool) | np.array([len(t) >= RICH for t in page.texts]))
+        keep &= own | (importance >= SHARE * importance[keep].max())
     return [t for t, k in zip(page.texts, keep, strict=True) if k]
 
 
@@ -360,7 +378,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     Null or empty html gives an empty text, a null or odd url counts as the host "". Repeated pages
     stay repeated and all get the same text, a null page_id stays null, other columns (whatever their
-    names) are not read; an empty table gives none. ``least_pages`` above all counts switches the
+    names) are not read; an empty table gives none. Pages of any length are read whole, in time in proportion
+    to it; blocks that tie in importance stay or go together. ``least_pages`` above all counts switches the
     trees off, ``words`` the class words for pages beyond the trees.
     """
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
@@ -395,30 +414,30 @@ def _by_join(base: DataFrame, values: DataFrame, words: bool) -> DataFrame:
     of its pages: only what over root(pages) of them show has one."""
 
     def parsing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "host", "template", "texts", "gone", "doubt", "at", "shown", "keys", "parents"]
-        kinds = [pa.int64()] * 2 + [pa.list_(t) for t in (pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32())]
+        names = ["page_id", "url", "host", "template", "texts", "gone", "doubt", "inside", "linked", "at", "shown", "keys", "parents"]
+        kinds = [pa.int64()] * 2 + [pa.list_(t) for t in (pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32())]
         for batch in batches:
             out = []
             for link, source in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 p = parse(source.as_py())
-                out.append((*_sites(host_of(link), p.template), p.texts, p.gone, p.doubt, p.at, [_long(x) for x in p.shown], [_long(x) for x in p.keys], p.parents))
+                out.append((*_sites(host_of(link), p.template), p.texts, p.gone, p.doubt, p.inside, p.linked, p.at, [_long(x) for x in p.shown], [_long(x) for x in p.keys], p.parents))
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names)
 
-    parsed = base.mapInArrow(parsing, "page_id long, url string, host long, template long, texts array<string>, gone array<boolean>, doubt array<boolean>, at array<int>, shown array<long>, keys array<long>, parents array<int>")
+    parsed = base.mapInArrow(parsing, "page_id long, url string, host long, template long, texts array<string>, gone array<boolean>, doubt array<boolean>, inside array<boolean>, linked array<boolean>, at array<int>, shown array<long>, keys array<long>, parents array<int>")
     trees = values.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("key", "value"))).alias("known"))
     trees = trees.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     side = lambda c: trees.select(F.col("site").alias(c), "salt", F.col("known.key").alias(f"{c}_keys"), F.col("known.value").alias(f"{c}_values"))
     met = dealt.join(side("host"), ["host", "salt"], "left").join(side("template"), ["template", "salt"], "left")
-    met = met.select("page_id", "url", "texts", "gone", "doubt", "at", "shown", "keys", "parents", F.coalesce("host_keys", "template_keys").alias("known"), F.when(F.col("host_keys").isNotNull(), F.col("host_values")).otherwise(F.col("template_values")).alias("of"))
+    met = met.select("page_id", "url", "texts", "gone", "doubt", "inside", "linked", "at", "shown", "keys", "parents", F.coalesce("host_keys", "template_keys").alias("known"), F.when(F.col("host_keys").isNotNull(), F.col("host_values")).otherwise(F.col("template_values")).alias("of"))
 
     def judging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 page = Page()
-                page.texts, page.gone, page.doubt, page.at, page.parents = (row[c] for c in ("texts", "gone", "doubt", "at", "parents"))
+                page.texts, page.gone, page.doubt, page.inside, page.linked, page.at, page.parents = (row[c] for c in ("texts", "gone", "doubt", "inside", "linked", "at", "parents"))
                 page.shown, page.keys = ([x % (1 << 64) for x in row[c]] for c in ("shown", "keys"))
                 known = None
                 if row["known"] is not None:

@@ -93,6 +93,29 @@ def test_an_advert_that_differs_on_each_page_goes_by_presentation(spark):
     assert _extracted(spark, bodies) == ["\n\n".join(f"Text {k} {j}" for j in range(1 + k % 7)) for k in range(40)]
 
 
+@pytest.mark.parametrize("tag", ["article", "div class=text", "main", "section"])
+@pytest.mark.parametrize("after", [True, False])
+def test_articles_of_one_shape_beside_lists_of_varying_length(spark, tag, after):
+    """Several hosts whose articles are all built alike while a list of links is not: the articles alone come."""
+    rows, want = [], {}
+    for host in range(3):
+        for k in range(40):
+            links = "<ul>" + "".join(f"<li><a href=/{j}>Link {host} {k} {j}</a></li>" for j in range(1 + k % 7)) + "</ul>"
+            text = f"<{tag}><h1>Title {host} {k}</h1><p>Article text {k} of <a href=/>host {host}</a></p></{tag.split()[0]}>"
+            rows.append((100 * host + k, f"https://h{host}.example/{k}", f"<body>{text + links if after else links + text}</body>"))
+            want[100 * host + k] = f"Title {host} {k}\n\nArticle text {k} of host {host}"
+    assert {r["page_id"]: r["text"] for r in pages.extract(_frame(spark, rows)).collect()} == want
+
+
+def test_what_says_much_of_its_own_stays_beside_what_varies(spark):
+    """Texts of one shape and of RICH characters, beside plain lists that vary and no article anywhere."""
+    text = lambda k: f"Text {k} " + " ".join(f"w{(k * 7919 + j) % 9973}" for j in range(60))
+    got = _extracted(spark, [f"<div class=a><p>{text(k)}</p></div><div class=b>{'<p>x</p>' * (1 + k % 7)}</div>" for k in range(40)])
+    assert all(t.startswith(text(k)) for k, t in enumerate(got))
+    index = [f"<div>{''.join(f'<p><a href=/>Entry {k} {j}</a></p>' for j in range(1 + k % 5))}</div>" for k in range(20)]
+    assert _extracted(spark, index) == ["\n\n".join(f"Entry {k} {j}" for j in range(1 + k % 5)) for k in range(20)]  # nothing but links: these are the page
+
+
 def test_a_class_word_inside_an_article_takes_nothing_from_it(spark):
     bodies = [f"<div>Menu</div><article><section class='social history'><p>Text {k}</p></section>{'<p class=widget>More</p>' * 0}<p class=widget>More {k}</p>{'<p>x</p>' * (k % 5)}</article>" for k in range(20)]
     got = _extracted(spark, bodies)
