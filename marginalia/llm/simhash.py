@@ -1,17 +1,17 @@
 """SimHash near-duplicates: 64-bit fingerprints, linked by vantage-point trees.
 
-A vantage-point tree over whole 64-bit fingerprints of unlike texts prunes little: distances to any
-vantage point crowd around 32 with a deviation of 4, so a ball of radius 4 crosses 84 % of every
-level. The radius is therefore shared out first. The 64 bits are cut into BLOCKS blocks; two fingerprints
-within 4 bits agree in BLOCKS - 4 of them at least. Each choice of that many blocks has a forest of its own:
-fingerprints that agree there (their distances to vantage points inside the blocks are equal) are one
-shard, two million shards a choice, and each shard has a vantage-point tree over all 64 bits.
-
-The tree splits a set at the median distance to a vantage point. Pairs across the split meet only where
-the triangle bound lets them, in the overlap of both sides within the radius of the border; all other
-pairs of branches are pruned. Shards of over CAP fingerprints (a dense group of near copies) are dealt to
-several tasks by such shells first: a fingerprint is queried in each overlapping shell within the
-bound |d(x, v) - d(y, v)| <= 4.
+A tree splits a set of fingerprints at the median distance to a vantage point. Pairs across the split meet only
+where the triangle bound lets them, in the overlap of both sides within the radius of the border; all other
+pairs of branches are pruned. Up to ONE_TREE distinct fingerprints are one tree. Its first level is dealt to tasks: the
+fingerprints are partitioned by their distance to a vantage point into shells, and a shell is queried with each
+shell that a ball of the radius can reach, |d(x, v) - d(y, v)| <= 4; every such pair of shells is a tree of its own.
+
+Beyond ONE_TREE, whole fingerprints prune too little to be one tree: distances to any vantage point crowd around
+32 with a deviation of 4, so a ball of radius 4 crosses 84 % of every level. The radius is shared out first then. The
+64 bits are cut into BLOCKS blocks; two fingerprints within 4 bits agree in BLOCKS - 4 of them at least. For each
+choice of that many blocks, fingerprints that agree there are a shard (two million shards a choice), and each
+shard is a tree over all 64 bits, cut into shells as above where it has over TREE_CAP fingerprints. Both ways find the
+same links.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.accumulators import Accumulator, AccumulatorParam
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import by_group, checkpoint, components, hot_keys
@@ -41,8 +42,10 @@ BINS, SLACK = 256, 0.1
 WIDEN = 4
 BLOCKS = 6
 LEVELS = 8
-#: Rows of a shard, of near_duplicates() and of similar(), and of a tree's leaf.
-TREE_CAP, CAP, LEAF = 32768, 2048, 128
+#: Rows of a shard, of near_duplicates() and of similar(), of a shell of the one tree, and of a tree's leaf.
+TREE_CAP, CAP, SHELL_CAP, LEAF = 32768, 2048, 1024, 128
+#: Distinct fingerprints that are one tree.
+ONE_TREE = 1 << 17
 #: Vantage points that are tried on two branches that overlap whole.
 TRIES = 3
 #: Makes the hashes of a second fingerprint out of those of the first.
@@ -95,9 +98,9 @@ def _signed(x: int) -> int:
 
 
 def _shards(nodes: DataFrame, agree: int, blocks: int, first: int = 0) -> DataFrame:
-    """One row for each fingerprint and tree: its leaf, by its distances to the vantage points.
+    """One row for each fingerprint and choice of ``agree`` blocks: its shard, that of those that are alike there.
 
-    There is a tree for each choice of ``agree`` blocks; its leaf is made of the leaves of those blocks.
+    Bits of a block are alike where the distances to LEVELS vantage points within it are.
     Two fingerprints within ``radius`` bits agree in ``blocks - radius`` blocks at least.
     """
     edges = [round(k * BITS / blocks) for k in range(blocks + 1)]
@@ -110,25 +113,43 @@ def _shards(nodes: DataFrame, agree: int, blocks: int, first: int = 0) -> DataFr
     return nodes.select("node", "fp", *leaves).select("node", "fp", F.explode(F.array(*trees)).alias("g"))
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cap: int = TREE_CAP) -> DataFrame:
+class _Counters(AccumulatorParam):
+    """Sums of counters that tasks send."""
+
+    def zero(self, value: Counter) -> Counter:
+        return Counter()
+
+    def addInPlace(self, value1: Counter, value2: Counter) -> Counter:  # noqa: N802
+        value1.update(value2)
+        return value1
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cap: int = TREE_CAP, seen: Accumulator | None = None) -> DataFrame:
     """Spanning edges (a, b) of the graph that joins distinct fingerprints within ``radius`` bits.
 
     nodes: (node, fp), one row for each distinct fingerprint. No pair list is made: each shard gives
-    the edges from its nodes to the smallest node that they reach inside the shard.
+    the edges from its nodes to the smallest node that they reach inside the shard. seen: adds what ``tree_join``
+    counts in all shards.
     """
-    split = _split(_shards(nodes, blocks - radius, blocks), radius, cap)
+    if nodes.count() <= ONE_TREE:
+        split = _split(nodes.select("node", "fp", F.lit(0).cast("long").alias("g")), radius, min(cap, SHELL_CAP))
+    else:
+        split = _split(_shards(nodes, blocks - radius, blocks), radius, cap)
 
     def run(part: pa.Table) -> Iterator[pa.RecordBatch]:
         g, node, fp = (part.column(c).to_numpy() for c in ("g", "node", "fp"))
         fp = fp.view(np.uint64)
         out_a, out_b = [], []
+        counted: Counter = Counter()
         for s, e in _groups(g):
-            root = tree_join(fp[s:e], radius)
+            root = tree_join(fp[s:e], radius, seen=counted)
             low = np.full(e - s, np.iinfo(np.int64).max)
             np.minimum.at(low, root, node[s:e])
             other = low[root] != node[s:e]
             out_a.append(node[s:e][other])
             out_b.append(low[root][other])
+        if seen is not None:
+            seen.add(counted)
         if out_a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
@@ -226,22 +247,27 @@ def _split(rows: DataFrame, radius: int, cap: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS, cap: int = TREE_CAP) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS, cap: int = TREE_CAP, seen: Accumulator | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable.
 
     Null and wordless texts have fingerprint 0 and link like any other. The fingerprints are what is
     linked: rows that share a doc_id are joined by their fingerprints only. Rows with a null doc_id link
     too; a group without any doc_id has a null component. Repeated rows stay repeated; other columns are
-    not read. An empty table gives an empty result.
+    not read. An empty table gives an empty result. seen: an accumulator (``counters``) of what the trees did.
     """
     hashed = checkpoint(fingerprints(docs, doc_id, text, words))
     nodes = checkpoint(hashed.groupBy("fp").agg(F.min("doc_id").alias("lowest")))
-    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius, blocks, cap))
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius, blocks, cap, seen))
     classes = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "lowest", F.coalesce("component", "fp").alias("class"))
     lowest = classes.groupBy("class").agg(F.min("lowest").alias("component_id"))
     return hashed.join(classes.join(lowest, "class").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def counters(spark: SparkSession) -> Accumulator:
+    """For ``seen``: how many pairs the trees compared, pruned by the triangle bound, and met in an overlap."""
+    return spark.sparkContext.accumulator(Counter(), _Counters())
+
+
 def sketch(hashes: np.ndarray) -> bytes:
     """One byte for the least hash of each of BINS bins, 0 for an empty one."""
     if not len(hashes):
@@ -326,8 +352,8 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     """(doc_id, component_id) of every row: groups of texts linked by a Jaccard similarity of their shingle
     sets of ``similarity`` or more; component_id is the smallest doc_id of the group.
 
-    Candidates come from the vantage-point trees of two fingerprints (pairs that agree in AGREE blocks and
-    differ in ``reach`` bits or fewer in one of them). In each shard a fixed-size sketch orders them into
+    Candidates come from shards of two fingerprints that agree in AGREE blocks: pairs there that differ in ``reach`` bits
+    or fewer. No tree is searched: a radius of 12 bits prunes nothing, and a shard has few texts. In each shard a fixed-size sketch orders them into
     a greatest spanning forest; its edges are verified on the whole shingle sets. Where one fails, the shard's
     other candidates between the parts are verified too, WIDEN times as many a row in each round, until no
     candidate that was not verified joins two parts. Pairs close to

@@ -50,6 +50,28 @@ def test_the_query_matches_plain_fingerprints_and_all_pairs(spark):
     assert [got[i]["component_id"] for i, _ in rows] == [rows[k][0] for k in _labels(fp)]
 
 
+@pytest.mark.parametrize("data", [DATA, "/root/testdata/sf0.1"])
+@pytest.mark.parametrize("one", [simhash.ONE_TREE, 0])
+def test_trees_split_prune_and_overlap_on_the_tables(spark, monkeypatch, data, one):
+    """What the operator itself does on the given tables, in one tree and in shards of agreeing blocks: the same links as all pairs."""
+    monkeypatch.setattr(simhash, "ONE_TREE", one)
+    seen = simhash.counters(spark)
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: (r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(docs, seen=seen).collect()}
+    if one:
+        assert min(seen.value[k] for k in ("compared", "pruned", "overlap")) > 0
+    ids = sorted(got)
+    fp = np.array([got[i][0] for i in ids], np.uint64)
+    label = np.arange(len(fp))  # an id's place
+    near = [np.flatnonzero(np.bitwise_count(fp ^ x) <= 4) for x in fp]
+    while True:
+        new = np.array([label[n].min() for n in near])
+        if (new == label).all():
+            break
+        label = new
+    assert [got[i][1] for i in ids] == [ids[k] for k in label]
+
+
 def _dense(n=150, seed=1):
     rng = np.random.default_rng(seed)
     base = int(rng.integers(1 << 62))
