@@ -2,7 +2,8 @@
 
 A text is its hashed character 2- to 4-grams, lower-cased, with every non-letter a border. Training
 (numpy, plain SGD, on the driver) uses a bounded sample of labelled rows, as counts of the n-grams of their
-whole texts; pieces of PIECE n-grams, drawn from all of a text, teach short texts too. Averaging and the
+whole texts. Each epoch draws DRAWS new pieces of PIECE n-grams from all of every text, so that texts count alike,
+whatever their lengths, and short ones are learned too. Averaging and the
 linear layer commute, so a prediction sums one row of (embedding x weights) for each n-gram of the whole text.
 """
 
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 #: most: the documented bounds of the sample, which hold what the driver gets, BUCKETS counts a row at most.
 ROWS_PER_LANG, LANGS = 400, 400
 BUCKETS, DIMENSIONS, EPOCHS, RATE, PIECE = 1 << 15, 16, 12, 2.0, 120
-#: Pieces of the longest texts.
-PIECES = 10
+#: Pieces of each text in each epoch.
+DRAWS = 6
 
 
 @cache
@@ -95,20 +96,19 @@ def fit(rows: list[tuple[Counts | str, str]], seed: int = 5) -> Model:
     rng = np.random.default_rng(seed)
     counted = [counted[k] for k in rng.permutation(len(counted))]
     held = counted[: len(counted) // 5]
-    draw = lambda c, n: rng.choice(c[0], n, p=c[1] / c[1].sum())
-    pieces, target = [], []
-    for c, lang in counted[len(counted) // 5 :]:
-        for _ in range(min(PIECES, 1 + int(c[1].sum()) // (4 * PIECE))):
-            pieces.append(draw(c, PIECE))
-            target.append(langs.index(lang))
+    taught = counted[len(counted) // 5 :]
+    steps_of = {id(c): np.cumsum(c[1]) for c, _ in counted}
+    draw = lambda c, n: c[0][np.searchsorted(steps_of[id(c)], rng.integers(steps_of[id(c)][-1], size=n), side="right")]
     emb = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
     weights, bias = rng.normal(0, 0.1, (DIMENSIONS, len(langs))), np.zeros(len(langs))
-    if pieces:
-        x, y = np.array(pieces), np.array(target)
+    if taught:
+        y = np.repeat([langs.index(lang) for _, lang in taught], DRAWS)
         share = np.bincount(y, minlength=len(langs)) / len(y)
         cost = 1 / np.maximum(share[y] * len(langs), 1e-3)
-        steps, total = 0, EPOCHS * (len(x) // 32 + 1)
+        steps, total = 0, EPOCHS * (len(y) // 32 + 1)
+        flat, inner = emb.reshape(-1), np.arange(DIMENSIONS)
         for _ in range(EPOCHS):
+            x = np.concatenate([draw(c, DRAWS * PIECE).reshape(DRAWS, PIECE) for c, _ in taught])
             order = rng.permutation(len(x))
             for k in range(0, len(order), 32):
                 own = order[k : k + 32]
@@ -123,7 +123,7 @@ def fit(rows: list[tuple[Counts | str, str]], seed: int = 5) -> Model:
                 back = p @ weights.T / PIECE
                 weights -= rate * mean.T @ p
                 bias -= 0.1 * rate * p.sum(axis=0)
-                np.add.at(emb, x[own].ravel(), -rate * PIECE * np.repeat(back, PIECE, axis=0))
+                np.add.at(flat, (x[own].reshape(-1, 1) * DIMENSIONS + inner).ravel(), (-rate * PIECE * np.repeat(back, PIECE, axis=0)).ravel())
     model = Model(langs, (emb @ weights).astype(np.float32), bias, 1.0, 0.0)
     z, y = [], []
     for c, lang in held:
