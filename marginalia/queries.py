@@ -24,7 +24,8 @@ from marginalia.plans.compression import Compressor
 from marginalia.plans.factors import CliqueVector, GraphicalModel
 from marginalia.plans.inference import Measurement
 from marginalia.plans.privacy import Noise
-from marginalia.plans.select import Mst, workload_scores
+from marginalia.plans.select import STRATEGIES, Mst, workload_scores
+from marginalia.sources.tables import load_coded, read_table, write_text
 from marginalia.streaming.transform import coded_stream
 from marginalia.types import Binning, Domain, Encoding
 
@@ -167,8 +168,11 @@ def mst_edges_noise_free(spark: SparkSession, d: str) -> DataFrame:
 
 
 def workload_scores_query(spark: SparkSession, d: str) -> DataFrame:
-    found = workload_scores(combinations(("a", "b", "c"), 2))
-    return spark.createDataFrame([("".join(c), s) for c, s in found.items()], "clique string, score int")
+    """Each subset of a workload's cliques with its score, its occupied cells and its rows, from one job."""
+    work = [("l_returnflag", "l_linestatus"), ("l_linestatus", "qty"), ("l_linenumber", "qty")]
+    scores = workload_scores(work)
+    found = M.count_cells(_coded(spark, d), scores, SIZES)
+    return spark.createDataFrame([("+".join(sorted(c)), s, len(found[c].cells), int(found[c].total)) for c, s in scores.items()], "clique string, score int, n_cells long, n long")
 
 
 def _compressor(spark: SparkSession, d: str) -> Compressor:
@@ -391,14 +395,105 @@ def stored_marginal(spark: SparkSession, d: str) -> DataFrame:
     return found.where("value > 0").withColumn("value", F.round("value", 6))
 
 
-def _generate(strategy: str, **params) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        t = _t(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax", "l_shipdate")
-        domain = {"l_returnflag": {"categories": FLAGS}, "l_linestatus": {"categories": STATUS}, "l_quantity": {"lower": 1, "upper": 50}, "l_discount": {"lower": 0, "upper": 0.1}, "l_tax": {"lower": 0, "upper": 0.08}}
-        p = Pipeline(strategy, epsilon=1.0, proc_epsilon=0.1, n_bins=10, seed=7, **params)
-        return p.fit(t, domain=domain).generate(spark, 1000, seed=7)
+_WROTE = ("parquet", "orc", "csv", "json", "coded")
+
+
+def readers_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Customers by segment and nation, written in each format and read again; "coded" is a CSV of codes with the JSON of
+    its domain."""
+    t = _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+    base, out = f"{shared_folder(spark)}/read-{uuid.uuid4().hex}", None
+    for kind in _WROTE:
+        path = f"{base}/{kind}"
+        if kind == "coded":
+            t.select(F.col("c_nationkey").alias("nation"), F.lit(0).alias("other")).write.option("header", True).csv(path)
+            write_text(spark, f"{base}/domain.json", '{"nation": 25}')
+            coded, domain = load_coded(spark, path, f"{base}/domain.json")
+            back = coded.where(F.col("nation") < domain["nation"]).select(F.lit(None).cast("string").alias("segment"), "nation", F.lit(0.0).alias("balance"))
+        else:
+            writer = t.write.format(kind).option("header", True) if kind == "csv" else t.write.format(kind)
+            writer.save(path)
+            back = read_table(spark, path, kind, t.schema).select(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+        own = back.groupBy(F.lit(kind).alias("format"), "segment", "nation").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("balance"), 2).alias("balance"))
+        out = own if out is None else out.union(own)
+    return out
+
+
+def binner_from_store(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of a whole pipeline's discretisation, and the rows it makes for given flags, after it was stored and loaded."""
+    t = _t(spark, d, "lineitem").select("l_returnflag", F.when(F.col("l_quantity") >= 5, F.col("l_quantity")).alias("q"), F.lit("same").alias("static"))
+    domain = {"l_returnflag": {"categories": FLAGS}, "q": {"lower": 5, "upper": 50}}
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    Pipeline("mst", epsilon=None, n_bins=9, iters=50, seed=3).fit(t, domain=domain, public=True).store(spark, path)
+    b = Pipeline.load(spark, path).binner
+    coded = b.transform(t)
+    return coded.groupBy("l_returnflag", F.when(F.col(b.flags["q"]) == 0, F.col("q")).alias("bin")).agg(F.count(F.lit(1)).alias("n")).withColumn("static", F.lit(str(b.static["static"])))
+
+
+def zero_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Rows in each quantity bin, and whether structural zeros (two intervals that overlap, and a category) cover it."""
+    t = _t(spark, d, "lineitem").select("l_returnflag", "l_quantity")
+    b = TableBinner("uniform", 10, domain={"l_returnflag": {"categories": FLAGS}, "l_quantity": {"lower": 0, "upper": 50}}, zeros={"l_quantity": [(14, 20), (10, 15), (41, 44)], "l_returnflag": ["N"]}).fit(t, public=True)
+    never = b.impossible()
+    n = b.transform(t).groupBy("l_returnflag", F.col("l_quantity").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return n.select("l_returnflag", "bin", "n", (F.col("bin").isin(never["l_quantity"]) | F.col("l_returnflag").isin(never["l_returnflag"])).alias("impossible"))
+
+
+def intervals_binned(spark: SparkSession, d: str) -> DataFrame:
+    """Times of orders since noon of the first of 1992, as intervals, in sixteen bins, with names that are taken."""
+    t = _t(spark, d, "orders").select((F.col("o_orderdate") - F.lit("1992-01-01 12:00:00").cast("timestamp_ntz")).alias("since"), F.when(F.col("o_totalprice") > 1000, F.col("o_totalprice")).alias("price"), F.lit(1).alias("price_NaN"), F.lit(2).alias("price_NaN_0"))
+    low, high = -12 * 3600 * X.MICROS, 2557 * 86_400 * X.MICROS
+    b = TableBinner("uniform", 16, domain={"since": {"lower": low, "upper": high}}).fit(t, public=True)
+    coded = b.transform(t)
+    flag = b.flags.get("price", "none")
+    return coded.groupBy(F.col("since").alias("bin"), F.lit(flag).alias("flag")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(flag) if flag in coded.columns else F.lit(0)).cast("long").alias("n_null"))
+
 
-    return run
+def conditioned_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by condition of a table that was generated for given conditions: as many of each as there were."""
+    made = generate_conditional(spark, d)
+    return made.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_acctbal").isNull() | ~F.col("c_nationkey").between(0, 25)).alias("n_odd"))
+
+
+def model_projection(spark: SparkSession, d: str) -> DataFrame:
+    """A pair that no clique holds: of the junction tree of a chain of pair tables, by parts of the tree."""
+    chain = [("l_returnflag", "l_linestatus"), ("l_linestatus", "qty"), ("l_linenumber", "qty")]
+    counts = M.TableCounts(_coded(spark, d), SIZES)(chain)
+    model = GraphicalModel(SIZES, chain).fit({c: f.dense() for c, f in counts.items()})
+    model.total = counts[chain[0]].total
+    model.marginals = model.belief_propagation(model.potentials)
+    found = model.project_many([("l_returnflag", "l_linenumber")])["l_returnflag", "l_linenumber"].values
+    return spark.createDataFrame([(i, j, round(float(found[i, j]), 4)) for i in range(3) for j in range(7)], "l_returnflag int, l_linenumber int, value double")
+
+
+def aim_first_choice(spark: SparkSession, d: str) -> DataFrame:
+    """What noise-free adaptive rounds measure first: the pair that the one-way tables answer worst."""
+    chosen = STRATEGIES["aim"](epsilon=None, compress=False, rounds=1).select(SIZES, M.TableCounts(_coded(spark, d), SIZES))
+    return spark.createDataFrame([tuple(m.clique) for m in chosen.measurements if len(m.clique) == 2], "a string, b string")
+
+
+def code_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of a coded table that its domain does not fit, by what is said of them."""
+    t = _coded(spark, d).select("l_returnflag", "qty", (F.col("l_linenumber") - 1).alias("below"), F.when(F.col("qty") > 0, F.col("qty")).alias("gap"), F.col("qty").cast("double").alias("fraction"))
+    said = []
+    for a, n in (("l_returnflag", 3), ("qty", 10), ("qty", 5), ("below", 7), ("gap", 10), ("fraction", 10), ("absent", 2)):
+        try:
+            M.check_codes(t, Domain.of({a: n}))
+            said.append((a, n, ""))
+        except ValueError as e:
+            said.append((a, n, str(e)))
+    return spark.createDataFrame(said, "name string, size int, said string")
+
+
+def fitted(spark: SparkSession, d: str, strategy: str, **params) -> Pipeline:
+    """A pipeline fitted to six columns of lineitem under a budget."""
+    t = _t(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax", "l_shipdate")
+    domain = {"l_returnflag": {"categories": FLAGS}, "l_linestatus": {"categories": STATUS}, "l_quantity": {"lower": 1, "upper": 50}, "l_discount": {"lower": 0, "upper": 0.1}, "l_tax": {"lower": 0, "upper": 0.08}}
+    return Pipeline(strategy, epsilon=1.0, proc_epsilon=0.1, n_bins=10, seed=7, **params).fit(t, domain=domain)
+
+
+def _generate(strategy: str, **params) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: fitted(spark, d, strategy, **params).generate(spark, 1000, seed=7)
 
 
 def generate_conditional(spark: SparkSession, d: str) -> DataFrame:
@@ -410,7 +505,7 @@ def generate_conditional(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (profile_columns, encode_categories, bin_uniform, bin_optimal_count, bin_privtree_noise_free, bin_inverse_midpoint, marginal_1way, marginal_2way, marginal_3way, marginal_weighted, marginals_all_pairs, marginal_dense, marginal_rollup, marginal_datetime, entropy_1way, mutual_information_pairs, mst_edge_weights, mst_edges_noise_free, compress_supports, compress_transform, null_flag_fill, compress_reverse, binner_round_trip, null_restore, private_bounds_noise_free, factor_product, factor_divide, factor_condition, conditional_distribution, quota_round, generate_rounded, generate_rounded_privbayes, generate_from_json, stream_codes, redrawn_codes, compressed_pairs, compressed_pair_errors, bin_privtree_2d, marginals_cube, distinct_columns, generate_from_store, stored_marginal, generate_conditional)
+    own = (profile_columns, encode_categories, bin_uniform, bin_optimal_count, bin_privtree_noise_free, bin_inverse_midpoint, marginal_1way, marginal_2way, marginal_3way, marginal_weighted, marginals_all_pairs, marginal_dense, marginal_rollup, marginal_datetime, entropy_1way, mutual_information_pairs, mst_edge_weights, mst_edges_noise_free, compress_supports, compress_transform, null_flag_fill, compress_reverse, binner_round_trip, null_restore, private_bounds_noise_free, factor_product, factor_divide, factor_condition, conditional_distribution, quota_round, generate_rounded, generate_rounded_privbayes, generate_from_json, stream_codes, redrawn_codes, compressed_pairs, compressed_pair_errors, bin_privtree_2d, marginals_cube, distinct_columns, generate_from_store, stored_marginal, readers_round_trip, binner_from_store, zero_bins, intervals_binned, conditioned_rows, model_projection, aim_first_choice, code_bounds, generate_conditional)
     out = {f.__name__: f for f in own} | {"workload_scores": workload_scores_query, "bounds_histogram": bounds_histogram_query}
     return out | {"generate_mst": _generate("mst"), "generate_aim": _generate("aim"), "generate_privbayes": _generate("priv-bayes")}
 
@@ -441,7 +536,16 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT s.low, s.high, s.q_low, s.q_high, (SELECT count(*) FROM lineitem l WHERE l.l_extendedprice >= s.low AND l.l_extendedprice < s.high AND l.l_quantity >= s.q_low AND l.l_quantity < s.q_high) AS n
       FROM (SELECT CASE a WHEN 0 THEN low ELSE (low + high) / 2 END AS low, CASE a WHEN 0 THEN (low + high) / 2 ELSE high END AS high, CASE b WHEN 0 THEN q_low ELSE (q_low + q_high) / 2 END AS q_low, CASE b WHEN 0 THEN (q_low + q_high) / 2 ELSE q_high END AS q_high
         FROM nodes, (VALUES (0), (1)) v(a), (VALUES (0), (1)) w(b) WHERE n > (SELECT count(*) / 64.0 FROM lineitem)) s)"""
+    plain = " UNION ALL ".join(f"SELECT '{k}' AS format, c_mktsegment AS segment, c_nationkey AS nation, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY ALL" for k in _WROTE if k != "coded")
     return {
+        "readers_round_trip": f"{plain} UNION ALL SELECT 'coded', NULL, c_nationkey, count(*), 0.0 FROM customer WHERE c_nationkey < 25 GROUP BY ALL",
+        "binner_from_store": "SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS l_returnflag, CASE WHEN l_quantity >= 5 THEN CAST(least(floor((l_quantity - 5) / 5), 8) AS INT) END AS bin, count(*) AS n, 'same' AS static FROM lineitem GROUP BY ALL",
+        "zero_bins": "SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS l_returnflag, CAST(least(floor(l_quantity / 5), 9) AS INT) AS bin, count(*) AS n, (bin IN (2, 3)) OR l_returnflag = 'N' AS impossible FROM lineitem GROUP BY ALL",
+        "intervals_binned": "SELECT CAST(least(greatest(floor((epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1992-01-01 12:00:00') + 43200000000) / ((2557 * 86400000000 + 43200000000) / 16.0)), 0), 15) AS INT) AS bin, CASE WHEN (SELECT count(*) FROM orders WHERE o_totalprice <= 1000) > 0 THEN 'price_NaN_1' ELSE 'none' END AS flag, count(*) AS n, count(*) FILTER (o_totalprice <= 1000) AS n_null FROM orders GROUP BY ALL",
+        "conditioned_rows": "SELECT c_mktsegment, count(*) AS n, 0::BIGINT AS n_odd FROM customer GROUP BY ALL",
+        "model_projection": f"{c}, fs AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM c GROUP BY ALL), sq AS (SELECT l_linestatus, qty, count(*) AS n FROM c GROUP BY ALL), lq AS (SELECT l_linenumber, qty, count(*) AS n FROM c GROUP BY ALL), s AS (SELECT l_linestatus, count(*) AS n FROM c GROUP BY ALL), q AS (SELECT qty, count(*) AS n FROM c GROUP BY ALL) SELECT l_returnflag, l_linenumber, round(sum(fs.n * sq.n / s.n::DOUBLE * lq.n / q.n), 4) AS value FROM fs JOIN sq USING (l_linestatus) JOIN s USING (l_linestatus) JOIN lq USING (qty) JOIN q USING (qty) GROUP BY ALL",
+        "aim_first_choice": f"{c}, {weights} SELECT a, b FROM w ORDER BY w DESC LIMIT 1",
+        "code_bounds": f"{c}, t AS (SELECT l_returnflag, qty, l_linenumber - 1 AS below, CASE WHEN qty > 0 THEN qty END AS gap FROM c) SELECT name, CAST(size AS INT) AS size, CASE WHEN name = 'absent' THEN 'column absent is missing' WHEN name = 'fraction' THEN 'column fraction must hold integers, not double' WHEN n_null > 0 THEN 'column ' || name || ' holds nulls' WHEN low < 0 OR high >= size THEN 'column ' || name || ' holds codes outside 0..' || (size - 1) ELSE '' END AS said FROM (VALUES ('l_returnflag', 3), ('qty', 10), ('qty', 5), ('below', 7), ('gap', 10), ('fraction', 10), ('absent', 2)) v(name, size) LEFT JOIN (" + " UNION ALL ".join(f"SELECT '{x}' AS name, min({x}) AS low, max({x}) AS high, count(*) - count({x}) AS n_null FROM t" for x in ("l_returnflag", "qty", "below", "gap")) + ") USING (name)",
         "compressed_pairs": f"{rare} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {a} AS i, {b} AS j, count(*) AS n FROM s GROUP BY ALL" for a, b in rare_pairs),
         "compressed_pair_errors": f"{rare} " + " UNION ALL ".join(off(a, b) for a, b in rare_pairs),
         "bin_privtree_2d": f"{boxes} SELECT low, high, q_low, q_high, n FROM nodes WHERE n > 0 AND n <= (SELECT count(*) / 64.0 FROM lineitem)",
@@ -469,7 +573,7 @@ def oracle_sql() -> dict[str, str]:
         "mutual_information_pairs": f"{c} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(({entropy(a)} + {entropy(b)} - {entropy(f'{a}, {b}')}) / sqrt({entropy(a)} * {entropy(b)}), 6) AS mi" for a, b in pairs),
         "mst_edge_weights": f"{c}, {weights} SELECT a, b, round(w, 1) AS w FROM w",
         "mst_edges_noise_free": f"{c}, {weights}, t AS (SELECT [x, y, z] AS es FROM w x, w y, w z WHERE (x.a, x.b) < (y.a, y.b) AND (y.a, y.b) < (z.a, z.b) AND len(list_distinct([x.a, x.b, y.a, y.b, z.a, z.b])) = 4 ORDER BY x.w + y.w + z.w DESC LIMIT 1) SELECT e.a AS a, e.b AS b FROM (SELECT unnest(es) AS e FROM t)",
-        "workload_scores": "SELECT * FROM (VALUES ('a', 2), ('b', 2), ('c', 2), ('ab', 4), ('ac', 4), ('bc', 4)) t(clique, score)",
+        "workload_scores": f"{c} " + " UNION ALL ".join(f"SELECT '{'+'.join(sorted(w))}' AS clique, CAST({k} AS INT) AS score, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(w)} FROM c)) AS n_cells, (SELECT count(*) FROM c) AS n" for w, k in ((("l_returnflag",), 1), (("l_linestatus",), 2), (("qty",), 2), (("l_linenumber",), 1), (("l_returnflag", "l_linestatus"), 3), (("l_linestatus", "qty"), 4), (("l_linenumber", "qty"), 3))),
         "compress_supports": f"{c}, {compress} SELECT k AS code FROM kept",
         "compress_transform": f"{c}, {compress} SELECT coalesce(kept.code, (SELECT count(*) FROM kept))::INT AS code, count(*) AS n FROM c LEFT JOIN kept ON kept.k = c.l_linenumber GROUP BY ALL",
         "compress_reverse": f"{c}, {compress} SELECT CASE WHEN kept.k IS NULL THEN -1 ELSE kept.k END AS code, count(*) AS n FROM c LEFT JOIN kept ON kept.k = c.l_linenumber GROUP BY ALL",
