@@ -1,5 +1,7 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, and its edge cases."""
 
+import hashlib
+
 import duckdb
 import numpy as np
 import public_tokenizers
@@ -30,6 +32,31 @@ def test_bpe_round_trip():
         assert ids.tolist() == want and decoded == theirs.decode(want, skip_special_tokens=False)
 
 
+def test_the_token_query_is_the_librarys(spark):
+    """Digests of every document's ids and decoded text, and columns of clashing names."""
+    theirs = Tokenizer.from_file(public_tokenizers.path(queries.VOCABULARY))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {}
+    for i, text in duckdb.sql(f"select doc_id, text from '{SMALL}/documents.parquet'").fetchall():
+        ids = theirs.encode(text or "", add_special_tokens=False).ids
+        want[i] = (len(ids), sha(",".join(map(str, ids))), sha(theirs.decode(ids, skip_special_tokens=False)))
+    assert {r["doc_id"]: tuple(r)[1:] for r in queries.op7_bpe(spark, SMALL).collect()} == want
+    odd = spark.createDataFrame([(1, None, 3, "x"), (None, "one", 4, "y"), (None, "one", 4, "y")], "doc_id long, text string, ids int, decoded string")
+    got = bpe.encode(odd, public_tokenizers.path(queries.VOCABULARY))
+    assert got.columns == ["doc_id", "ids", "decoded"]
+    one = theirs.encode("one", add_special_tokens=False).ids
+    assert sorted((r["doc_id"] or 0, r["ids"], r["decoded"]) for r in got.collect()) == [(0, one, "one"), (0, one, "one"), (1, [], "")]
+
+
+def test_words_between_tasks_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS_BETWEEN", 50)
+    own = bpe.SpeculativeBpe(public_tokenizers.path(queries.VOCABULARY))
+    texts = [" ".join(f"word{k}{j}" for j in range(40)) for k in range(5)]
+    first = [i.tolist() for i in own.ids_batch(texts)]
+    own.forget()
+    assert len(own.words) == len(own.marks) and [i.tolist() for i in own.ids_batch(texts)] == first
+
+
 def _brute_similar(texts):
     """The first text of each one's group, by the Jaccard similarity of sets of five words."""
     own = []
