@@ -102,7 +102,7 @@ class GraphicalGenerator(Synthesizer):
         else:
             given = [a for a in self.domain if a in condition.columns]
             rows = condition.select("_row_id", *[c.transform(a).alias(a) for a in given])
-        made = generate(self.model, rows, seed, method)
+        made = generate(self.model, rows, seed, method, numbered=n_records if condition is None else None)
         out = made.select("_row_id", *[c.reverse(a, seed).alias(a) for a in self.domain if a not in given])
         if condition is not None:
             out = out.join(condition.select("_row_id", *[F.col(f"`{a}`") for a in given]), "_row_id")
@@ -215,7 +215,7 @@ class Pipeline(Synthesizer):
     def generate(self, spark: SparkSession, n_records: int | None = None, condition_records: DataFrame | None = None, seed: int = 0, method: str = "round") -> DataFrame:
         """A new table. Condition columns come back unchanged, one row for each condition record.
 
-        method: "round" gives every code its exact share of rows (a shuffle for each column), "sample" draws
+        method: "round" gives every code its exact share of rows (without a shuffle, but for groups that hold condition columns), "sample" draws
         each row by itself (no shuffle).
         """
         if condition_records is None:

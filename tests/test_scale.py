@@ -11,6 +11,7 @@ from marginalia.contract import Chooser, Synthesizer
 from marginalia.operators import boxes, generate, marginals, profile, stored
 from marginalia.operators.marginals import TableCounts, cell_counts, count_cells, cube, redraw, rolled_up
 from marginalia.pipeline import GraphicalGenerator, Pipeline
+from marginalia.plans.compression import Compressor
 from marginalia.plans.dual import Dual
 from marginalia.plans.factors import Factor, GraphicalModel, SparseFactor
 from marginalia.plans.inference import Measurement, estimate
@@ -196,6 +197,72 @@ def test_a_group_of_all_rows_is_as_many_parts_as_its_rows_ask_for(spark, monkeyp
     assert all(abs(both.get((i, j), 0) - f.values[i, j]) <= 1.5 for i in range(3) for j in range(4))
 
 
+def _five(n):
+    """A model with two cliques of three that share a pair, and a column of its own."""
+    d = Domain.of({"a": 3, "b": 4, "c": 2, "e": 5, "f": 2})
+    p = np.random.default_rng(4).gamma(0.8, size=d.shape)
+    f = Factor(d, p * n / p.sum())
+    model = GraphicalModel(d, [("a", "b", "c"), ("b", "c", "e"), ("f",)], n)
+    model.fit({c: f.project(c) for c in model.cliques})
+    g = GraphicalGenerator("mst", epsilon=None).set_domain(d)
+    g.model, g.state, g.compressor = model, "trained", Compressor(d, {a: list(range(k)) for a, k in d.sizes.items()}, {})
+    return d, f, g
+
+
+def _shares(model, rows, given=()):
+    """Each group's codes are its quotas: within one of its rows times the conditional table."""
+    for a, on in generate.plan(model, given):
+        table, sizes = generate.conditional(model, a, on), [model.domain[b] for b in on]
+        cell = np.ravel_multi_index([rows[b].to_numpy() for b in on], sizes) if on else np.zeros(len(rows), int)
+        found = np.zeros(table.shape)
+        np.add.at(found, (cell, rows[a].to_numpy()), 1)
+        assert (abs(found - found.sum(axis=1, keepdims=True) * table) <= 1 + 1e-6).all()
+
+
+def test_numbered_rows_are_rounded_without_a_shuffle_of_rows(spark):
+    n = 20_000
+    d, f, g = _five(n)
+    sc = spark.sparkContext
+    stages = lambda: (x := sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)) and {x.apply(k).stageId(): x.apply(k).shuffleWriteRecords() for k in range(x.size())}
+    earlier = stages()
+    rows = g.generate(spark, n, seed=3).toPandas()
+    later = {k: v for k, v in stages().items() if k not in earlier}
+    assert later and max(later.values()) < n / 10  # cells and codes
+    assert sorted(rows["_row_id"]) == list(range(n)) and rows[list(d.attrs)].notna().all(axis=None)
+    _shares(g.model, rows)
+    # a and e say nothing of each other beyond b and c, nor does f of any: differences as of even dealing
+    for one, other, on in (("a", "e", ["b", "c"]), ("f", "a", []), ("f", "e", [])):
+        far = freedom = 0
+        for _, own in rows.groupby(on) if on else [(0, rows)]:
+            t = own.groupby([one, other]).size().unstack(fill_value=0).to_numpy()
+            want = t.sum(axis=1, keepdims=True) * t.sum(axis=0) / t.sum()
+            far, freedom = far + ((t - want) ** 2 / want).sum(), freedom + (t.shape[0] - 1) * (t.shape[1] - 1)
+        assert abs(far - freedom) < 4 * (2 * freedom) ** 0.5
+
+
+def test_rounded_rows_are_the_same_for_every_plan(spark, monkeypatch):
+    n = 3000
+    d, f, g = _five(n)
+    made = lambda: g.generate(spark, n, seed=3).orderBy("_row_id").collect()
+    want = made()
+    monkeypatch.setattr(generate, "COLUMNS_A_PLAN", 1)
+    monkeypatch.setattr(generate, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(generate, "ROWS_A_PART", 200)
+    assert made() == want
+    given = spark.range(n).select((F.col("id") * 7 + 5).alias("_row_id"), (F.col("id") % 5).cast("int").alias("e"))
+    rows = g.generate(spark, condition=given, seed=3).toPandas()
+    assert sorted(rows["_row_id"]) == [7 * k + 5 for k in range(n)] and ((rows["_row_id"] - 5) // 7 % 5 == rows["e"]).all()
+    _shares(g.model, rows, ("e",))
+
+
+def test_places_are_permuted_whole(spark):
+    sizes = [*range(1, 40), 1000, 4097]
+    places = spark.createDataFrame([(m, i) for m in sizes for i in range(m)], "m long, i long")
+    out = generate.permuted(places, F.col("i"), F.col("m"), F.xxhash64(F.lit(1), "m"), "to").toPandas()
+    assert all(sorted(own["to"]) == list(range(m)) for m, own in out.groupby("m")) and len(out) == sum(sizes)
+    assert (out["i"] == out["to"]).sum() < 4 * len(sizes)
+
+
 def test_tables_beyond_a_broadcast_give_the_same_rows(spark, monkeypatch):
     d = Domain.of({"a": 30, "b": 4, "c": 3})
     p = np.random.default_rng(2).gamma(0.3, size=d.shape)
