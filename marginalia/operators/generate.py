@@ -149,7 +149,8 @@ def permuted(df: DataFrame, at: Column, m: Column, key: Column, name: str) -> Da
     A turn by the key, then keyed Feistel rounds over x * y <= m places for whole x and y near the root of m: over the
     first of the m, then over the last, since the two leave out less than a root of m each. No row asks for another.
     """
-    df = df.withColumns({"_key": key, "_of": m, "_y": F.greatest(F.floor(F.sqrt(m)), F.lit(1)).cast("long")})
+    m = F.greatest(m, F.lit(1))  # no rows ask where there are none, but constants are worked out
+    df = df.withColumns({"_key": key, "_of": m, "_y": F.floor(F.sqrt(m)).cast("long")})
     df = df.withColumn("_x", F.expr("_of div _y")).withColumn(name, F.pmod(at + F.pmod("_key", "_of"), "_of"))
     for k, first in enumerate(("0L", "_of - _x * _y")):
         df = df.withColumn("_o", F.expr(f"{name} - ({first})")).withColumn("_in", F.expr("_o >= 0 and _o < _x * _y"))

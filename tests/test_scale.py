@@ -245,6 +245,7 @@ def test_rounded_rows_are_the_same_for_every_plan(spark, monkeypatch):
     d, f, g = _five(n)
     made = lambda: g.generate(spark, n, seed=3).orderBy("_row_id").collect()
     want = made()
+    assert g.generate(spark, 0).count() == 0 and g.generate(spark, 1).count() == 1
     monkeypatch.setattr(generate, "COLUMNS_A_PLAN", 1)
     monkeypatch.setattr(generate, "BROADCAST_CELLS", 0)
     monkeypatch.setattr(generate, "ROWS_A_PART", 200)
