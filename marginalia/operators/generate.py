@@ -163,6 +163,26 @@ def permuted(df: DataFrame, at: Column, m: Column, key: Column, name: str) -> Da
     return df.drop("_key", "_of", "_x", "_y", "_o", "_in", "_l", "_r")
 
 
+def reached(df: DataFrame, value: str, edges: str, most: int, name: str) -> DataFrame:
+    """df with how many of the row's sorted edges, an array of up to ``most``, are at or below the value.
+
+    A binary search with a column for each step: Spark compiles these with the rest of the stage, which it leaves where
+    a lambda walks the array.
+    """
+    df = df.withColumn(name, F.lit(0))
+    for step in (1 << k for k in reversed(range(most.bit_length()))):
+        df = df.withColumn(name, F.expr(f"if({value} >= get({edges}, {name} + {step - 1}), {name} + {step}, {name})"))
+    return df
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """df, in as many partitions: what is asked of it later is compiled by itself.
+
+    One method for several columns has over 8,000 bytes of code, beyond which the JVM interprets it.
+    """
+    return df.coalesce((1 << 31) - 1)
+
+
 def placed(df: DataFrame, seed: int, salt: str, row: str) -> tuple[DataFrame, DataFrame]:
     """df (with _g) with each row's place in its group, _at, and the group's rows, _m; and the groups (_g, m).
 
@@ -217,14 +237,17 @@ def _round(df: DataFrame, model: GraphicalModel, steps: Sequence[tuple[str, Cliq
             groups[s] = codes.groupBy(F.col(f"_to{sets[s]}").alias("_cell")).agg(F.max(f"_m{sets[s]}").alias("m"))
         asked = [f"{c}{sets[s]}" for s in after for c in ("_from", "_m")]
         lists = codes.groupBy(F.col("_cell").alias("_g")).agg(F.sort_array(F.collect_list(F.struct("hi", "code", *asked))).alias("_q"), F.max("hi").alias("_rows"))
+        lists = lists.select("_g", "_rows", *[F.col(f"_q.{c}").alias(f"_q_{c}") for c in ("hi", "code", *asked)])
         df = permuted(df.withColumn("_g", _cell(model, on)), F.col(f"_at{k}"), F.col(f"_m{k}"), F.xxhash64(F.lit(seed), F.lit(a), "_g"), "_rank")
         if table.size * (2 + len(asked)) <= BROADCAST_CELLS:
             df = df.join(F.broadcast(lists.drop("_rows")), "_g")
         else:  # ranks are dealt evenly: a group's list is repeated for every ROWS_A_PART of them
             parts = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_rows - 1) div {ROWS_A_PART}")))
-            df = df.withColumn("_part", F.expr(f"_rank div {ROWS_A_PART}")).join(lists.select("_g", parts.alias("_part"), "_q"), ["_g", "_part"]).drop("_part")
-        df = df.withColumn("_e", F.element_at(F.filter("_q", lambda q: F.col("_rank") < q["hi"]), 1))
-        places = {f"_at{sets[s]}": F.col("_rank") + F.col(f"_e._from{sets[s]}") for s in after} | {f"_m{sets[s]}": F.col(f"_e._m{sets[s]}") for s in after}
-        df = df.withColumns({a: F.col("_e.code").cast("int")} | places)
-        df, made = df.drop("_g", "_rank", "_q", "_e"), made + 1
+            df = df.withColumn("_part", F.expr(f"_rank div {ROWS_A_PART}")).join(lists.withColumn("_part", parts).drop("_rows"), ["_g", "_part"]).drop("_part")
+        df = reached(df, "_rank", "_q_hi", model.domain[a], "_k")
+        # every rank has a code; said to Spark, since it asks for keys that may be null whether they are, before it joins
+        got = {c: F.coalesce(F.get(f"_q_{c}", F.col("_k")), F.lit(0)) for c in ("code", *asked)}
+        places = {f"_at{sets[s]}": F.col("_rank") + got[f"_from{sets[s]}"] for s in after} | {f"_m{sets[s]}": got[f"_m{sets[s]}"] for s in after}
+        df = df.withColumns({a: got["code"].cast("int")} | places)
+        df, made = apart(df.drop("_g", "_rank", "_k", *[f"_q_{c}" for c in ("hi", *got)])), made + 1
     return df.drop(*[f"{c}{k}" for c in ("_at", "_m") for k in sets.values()])

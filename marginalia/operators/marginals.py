@@ -22,6 +22,8 @@ if TYPE_CHECKING:
 #: Cells that a task holds in arrays, in all and of one clique; other cliques are added up by their distinct cells.
 CELLS_A_PASS, DENSE_CELLS = 8_000_000, 2_000_000
 ROWS_A_PASS = 1 << 17
+#: Cells of a whole domain up to which rows are added up to its occupied cells once, before any clique is counted.
+CELLS_FIRST = 1 << 16
 
 
 def cell_id(clique: Sequence[str], domain: Domain) -> Column:
@@ -38,6 +40,14 @@ def marginal(df: DataFrame, columns: Sequence[str], weight: str | None = None, n
     return df.groupBy(*columns).agg(measure.alias(name))
 
 
+def occupied(df: DataFrame, domain: Domain, weight: str | None = None) -> tuple[DataFrame, str]:
+    """The occupied cells of the whole domain and the column that holds their rows or weights: every marginal of the rows
+    is one of these. A weight that is null makes its cell's NaN, as it does where rows are counted by themselves."""
+    name = next(n for n in (f"_n{'_' * k}" for k in range(len(domain.attrs) + 1)) if n not in domain)
+    measure = F.count(F.lit(1)) if weight is None else F.sum(F.coalesce(F.col(f"`{weight}`").cast("double"), F.lit(float("nan"))))
+    return df.groupBy(*[F.col(f"`{a}`") for a in domain]).agg(measure.alias(name)), name
+
+
 def dense_marginal(df: DataFrame, columns: Sequence[str], domain: Domain, name: str = "n") -> DataFrame:
     """A marginal with its zero cells, as a left join from the grid of cells (the grid's size is the domain's)."""
     grid = df.sparkSession.range(domain.size(columns))
@@ -210,14 +220,19 @@ def redraw(df: DataFrame, impossible: Mapping[str, Sequence[int]], domain: Domai
     return out.select(*[new.get(c, F.col(f"`{c}`")) for c in df.columns])
 
 
-def check_codes(df: DataFrame, domain: Domain) -> None:
-    """Raises ValueError where a column of the domain is absent, not whole-numbered, null, negative or too large."""
+def check_types(df: DataFrame, domain: Domain) -> None:
+    """Raises ValueError where a column of the domain is absent or not whole-numbered."""
     types = dict(df.dtypes)
     for a in domain:
         if a not in types:
             raise ValueError(f"column {a} is missing")
         if types[a] not in ("tinyint", "smallint", "int", "bigint"):
             raise ValueError(f"column {a} must hold integers, not {types[a]}")
+
+
+def check_codes(df: DataFrame, domain: Domain) -> None:
+    """Raises ValueError where a column of the domain is absent, not whole-numbered, null, negative or too large."""
+    check_types(df, domain)
     aggs = []
     for k, a in enumerate(domain):
         c = F.col(f"`{a}`")

@@ -15,7 +15,7 @@ from marginalia.contract import Synthesizer
 from marginalia.operators.binning import TableBinner
 from marginalia.operators.cut import cut
 from marginalia.operators.generate import generate
-from marginalia.operators.marginals import TableCounts, check_codes, redraw
+from marginalia.operators.marginals import CELLS_FIRST, TableCounts, check_codes, check_types, occupied, redraw
 from marginalia.plans.compression import Compressor
 from marginalia.plans.factors import GraphicalModel
 from marginalia.plans.inference import Measurement, estimate
@@ -68,14 +68,27 @@ class GraphicalGenerator(Synthesizer):
         """
         if self.domain is None:
             raise ValueError("Domain must be provided")
-        check_codes(df, self.domain)
-        counts = TableCounts(redraw(df, self.impossible, self.domain, self.strategy.seed), self.domain, weight)
-        chosen = None
-        if public or self.state is None:
-            chosen, self.public = self.strategy.select(self.domain, counts, public, self.impossible), public
-        elif self.public or self.state == "trained":
-            cliques = list(dict.fromkeys(m.clique for m in self.measurements))
-            chosen, self.public = self.strategy.remeasure(self.domain, counts, cliques, self.impossible), False
+        check_types(df, self.domain)
+        few = 0 < len(self.domain) and self.domain.size() <= CELLS_FIRST
+        drawn = any(self.impossible.values())
+        if drawn or not few:
+            check_codes(df, self.domain)
+        rows = redraw(df, self.impossible, self.domain, self.strategy.seed)
+        if few:  # the rows are read once, and the cells as often as the strategy asks
+            rows, weight = occupied(rows, self.domain, weight)
+            rows = rows.persist()
+        try:
+            if few and not drawn:
+                check_codes(rows, self.domain)
+            counts, chosen = TableCounts(rows, self.domain, weight), None
+            if public or self.state is None:
+                chosen, self.public = self.strategy.select(self.domain, counts, public, self.impossible), public
+            elif self.public or self.state == "trained":
+                cliques = list(dict.fromkeys(m.clique for m in self.measurements))
+                chosen, self.public = self.strategy.remeasure(self.domain, counts, cliques, self.impossible), False
+        finally:
+            if few:
+                rows.unpersist()
         if chosen:
             self.measurements, self.compressor = chosen.measurements, chosen.compressor
         self.state, self.model = "pretrained", None

@@ -263,15 +263,14 @@ def conditional_distribution_exact(spark: SparkSession, d: str) -> DataFrame:
 
 def generate_rounded(spark: SparkSession, d: str, stored: bool = False, strategy: str = "mst", **params) -> DataFrame:
     """One-way tables of as many rows as there are, generated by "round" from a noise-free model: those of the data."""
-    rows = _coded(spark, d).persist()
+    rows = _coded(spark, d)
     g = GraphicalGenerator(strategy, epsilon=None, compress=False, **params).set_domain(SIZES).fit(rows)
     n = rows.count()
-    rows.unpersist()
     if stored:
         g = GraphicalGenerator.from_json(g.to_json())
     made = g.generate(spark, n, seed=1)
     each = F.array(*[F.struct(F.lit(a).alias("a"), F.col(a).cast("int").alias("code")) for a in SIZES])
-    return made.select(F.explode(each).alias("e")).groupBy("e.a", "e.code").agg(F.count(F.lit(1)).alias("n"))
+    return M.marginal(made, list(SIZES)).select(F.explode(each).alias("e"), "n").groupBy("e.a", "e.code").agg(F.sum("n").alias("n"))
 
 
 def generate_from_json(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """What strategies ask of large domains, how rows are dealt, and structures that come from rows: against brute force."""
 
 import json
+import re
 from itertools import combinations, product
 
 import numpy as np
@@ -256,6 +257,52 @@ def test_rounded_rows_are_the_same_for_every_plan(spark, monkeypatch):
     _shares(g.model, rows, ("e",))
 
 
+def test_a_fit_reads_its_rows_once(spark, tmp_path):
+    """Where the whole domain has few cells; its measurements are those of the rows, with weights and without."""
+    n = 6000
+    synthetic = spark.range(n).select(*[F.pmod(F.xxhash64(F.lit(a), "id"), F.lit(D[a])).cast("int").alias(a) for a in D], (F.col("id") % 3).cast("double").alias("_n"))
+    synthetic.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    table = rows.toPandas()
+    sc = spark.sparkContext
+    stages = lambda: (x := sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)) and {x.apply(k).stageId(): x.apply(k).inputRecords() for k in range(x.size())}
+    for strategy, weight in (("mst", None), ("mst", "_n"), ("priv-bayes", None)):
+        earlier = stages()
+        g = GraphicalGenerator(strategy, epsilon=None, compress=False).set_domain(D).fit(rows, marginals_only=True, weight=weight)
+        read = sum(v for k, v in stages().items() if k not in earlier)
+        assert n <= read < 2 * n
+        for m in g.measurements:
+            want = np.zeros([D[a] for a in m.clique])
+            np.add.at(want, tuple(table[a].to_numpy() for a in m.clique), table["_n"].to_numpy() if weight else 1)
+            assert np.array_equal(m.y, want.ravel())
+    with pytest.raises(ValueError, match="codes outside"):
+        GraphicalGenerator("mst", epsilon=None).set_domain({**D.sizes, "a": 3}).fit(rows)
+
+
+def test_a_generated_column_is_compiled_code(spark):
+    """Every stage of the rows is compiled, no method is too long for the JVM to compile it (8,000 bytes), and no lambda
+    walks the quotas."""
+    d, f, g = _five(3000)
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = g.generate(spark, 3000, seed=3).groupBy(*d.attrs).count()
+        code = made._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert len(sizes) > len(d) and 0 < max(sizes) < 8000
+    assert "lambdafunction" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [1, 2, 5, 8, 300])
+def test_edges_reached_are_found_by_halves(spark, most):
+    edges = [3 * k for k in range(1, most + 1)]
+    rows = spark.range(3 * most + 4).withColumn("edges", F.array(*[F.lit(e).cast("long") for e in edges]))
+    out = generate.reached(rows, "id", "edges", most, "k").select("id", "k").collect()
+    assert all(r["k"] == sum(e <= r["id"] for e in edges) for r in out)
+
+
 def test_places_are_permuted_whole(spark):
     sizes = [*range(1, 40), 1000, 4097]
     places = spark.createDataFrame([(m, i) for m in sizes for i in range(m)], "m long, i long")
